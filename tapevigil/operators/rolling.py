@@ -120,9 +120,11 @@ def bucket_frame(keys: Sequence[str], window_ms: int, ts: str = "ts_ms") -> Wind
 
 def _chunked(df, keys, order, value, ts, halo, log_space, block_ms, chunk_rows) -> DataFrame:
     x = log1p_pos(F.col(value)) if log_space else F.col(value)
-    indexed = row_index(
-        df.withColumn("__x", x.cast("double")), keys, order, POS, ts, block_ms, total=TOTAL
-    )
+    prepared = df.withColumn("__x", x.cast("double"))
+    if POS in df.columns and TOTAL in df.columns:
+        indexed = prepared
+    else:
+        indexed = row_index(prepared, keys, order, POS, ts, block_ms, total=TOTAL)
     return row_chunks(indexed, halo, max(chunk_rows, halo))
 
 

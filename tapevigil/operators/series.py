@@ -60,8 +60,13 @@ def running(
     sums: dict[str, Column],
     ts: str = "ts_ms",
     block_ms: int = DEFAULT_BLOCK_MS,
+    total: str | None = None,
 ) -> DataFrame:
-    """Running totals per key (first row up to the current row, inclusive)."""
+    """Running totals per key (first row up to the current row, inclusive).
+
+    A sum of lit(1) named POS doubles as the row index; `total` then receives the
+    key's row count, so later stages need not index the rows again.
+    """
     blocked = df.withColumn(BLK, block_of(ts, block_ms))
     for out, expr in sums.items():
         blocked = blocked.withColumn(f"__v_{out}", expr)
@@ -69,8 +74,12 @@ def running(
         *[F.sum(f"__v_{o}").alias(f"__t_{o}") for o in sums]
     )
     before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum(f"__t_{POS}").over(Window.partitionBy(*keys)).alias(total)] if total else []
     carry = per_block.select(
-        *keys, BLK, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__c_{o}") for o in sums]
+        *keys,
+        BLK,
+        *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__c_{o}") for o in sums],
+        *extra,
     )
     inside = (
         Window.partitionBy(*keys, BLK)
