@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import clamp
 from tapevigil.operators.features import feature_array, informative
+from tapevigil.plans.storage import settle
 from tapevigil.schemas import FEATURES
 from tapevigil.sources.posts import finite_or_zero
 
@@ -176,12 +177,14 @@ def grow_trees(samples: DataFrame, center: list[float], scale: list[float], samp
 def fit(vectors: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
         min_rows: int = 50, identity: Sequence[str] | None = None) -> ForestModel | None:
     """Train on a vector table; None when it has fewer than max(20, min_rows) rows."""
-    data = clean_features(vectors)
+    identity = list(identity or vectors.columns)
+    # Read five times below (count, medians, MADs, sample, calibration).
+    data = settle(clean_features(vectors).select(*dict.fromkeys([*FEATURES, *identity])))
     n, center, scale = robust_scaler(data)
     if n < max(20, min_rows):
         return None
     size = min(sample, n)
-    rows = tree_samples(data, n, trees, size, seed, identity or vectors.columns)
+    rows = tree_samples(data, n, trees, size, seed, identity)
     width = 2 ** (math.ceil(math.log2(max(size, 2))) + 1) - 1
     nodes = grow_trees(rows, center, scale, size, seed)
     model = _pack(nodes, trees, width, size, center, scale, (0.0, 0.0), n)

@@ -36,12 +36,8 @@ def _levels(c: Column) -> Column:
 
 
 # Message shapes of the three supported venue dialects.
-_BINANCE = (
-    "struct<stream:string,data:struct<e:string,E:bigint,T:bigint,p:string,q:string,m:boolean,"
-    f"bids:{_PAIRS},asks:{_PAIRS},b:{_PAIRS},a:{_PAIRS}>,"
-    f"e:string,E:bigint,T:bigint,p:string,q:string,m:boolean,bids:{_PAIRS},asks:{_PAIRS},"
-    f"b:{_PAIRS},a:{_PAIRS}>"
-)
+_BINANCE_BODY = f"e:string,T:bigint,p:string,q:string,m:boolean,bids:{_PAIRS},asks:{_PAIRS},b:{_PAIRS},a:{_PAIRS}"
+_BINANCE = f"struct<stream:string,data:struct<{_BINANCE_BODY}>,{_BINANCE_BODY}>"
 _BYBIT_BOOK = f"struct<topic:string,ts:bigint,data:struct<b:{_PAIRS},a:{_PAIRS}>>"
 _BYBIT_TRADE = "struct<topic:string,ts:bigint,data:array<struct<T:bigint,p:string,v:string,S:string>>>"
 _MEXC_DATA = f"struct<bids:{_PV},asks:{_PV},deals:array<struct<t:bigint,p:string,v:string,S:string>>>"
@@ -54,13 +50,16 @@ def _parse(messages: DataFrame, venue: str, shape: str) -> DataFrame:
 
 def _binance(messages: DataFrame) -> DataFrame:
     parsed = _parse(messages, "binance", _BINANCE)
+    names = ("e", "T", "p", "q", "m", "bids", "asks", "b", "a")
     data = F.when(F.col("m.data").isNotNull(), F.col("m.data")).otherwise(
-        F.struct(*[F.col(f"m.{n}").alias(n) for n in ("e", "E", "T", "p", "q", "m", "bids", "asks", "b", "a")])
+        F.struct(*[F.col(f"m.{n}").alias(n) for n in names])
     )
+    # The event time key differs from the event type key only in case, so it is read by path.
+    event_ms = F.coalesce(F.get_json_object("raw", "$.data.E"), F.get_json_object("raw", "$.E")).cast("bigint")
     is_book = F.coalesce(F.col("m.stream").contains("depth"), F.lit(False)) | (
         F.col("d.bids").isNotNull() & F.col("d.asks").isNotNull()
     )
-    return parsed.withColumn("d", data).withColumn("is_book", is_book)
+    return parsed.withColumn("d", data).withColumn("event_ms", event_ms).withColumn("is_book", is_book)
 
 
 def trades_from_messages(messages: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def books_from_messages(messages: DataFrame) -> DataFrame:
     """Book snapshots out of raw messages."""
     recv = F.col("recv_ms")
     binance = _binance(messages).where("is_book").select(
-        "venue", "symbol", F.coalesce("d.E", recv).alias("ts_ms"),
+        "venue", "symbol", F.coalesce("event_ms", recv).alias("ts_ms"),
         _levels(_from_pairs(F.coalesce("d.bids", "d.b"))).alias("bids"),
         _levels(_from_pairs(F.coalesce("d.asks", "d.a"))).alias("asks"),
     )
