@@ -25,6 +25,7 @@ from tapevigil.functions.scalars import (
     wall_index,
 )
 from tapevigil.operators.series import DEFAULT_BLOCK_MS, fill_forward
+from tapevigil.plans.storage import settle
 from tapevigil.schemas import FEATURES, NEUTRAL
 
 EXCHANGE = ("volume", "order_book", "cvd")
@@ -144,14 +145,14 @@ def epochs(tick: Column, decay_every: int) -> Column:
     return F.floor((tick - 1) / decay_every).cast("bigint")
 
 
-def _assemble(obs: DataFrame, ttl_ms: int) -> DataFrame:
+def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: int) -> DataFrame:
     """Aggregate valid observations per (asset, at_ms) into raw feature inputs.
 
     A row is one series' latest observation at `at_ms`; expired rows are ignored.
     """
     age_ms = F.col("at_ms") - F.col("ts_ms")
     fresh = age_ms <= ttl_ms
-    decay = F.pow(F.lit(0.5), age_ms / 1000.0 / HALF_LIFE_S)
+    decay = F.pow(F.lit(0.5), age_ms / 1000.0 / half_life_s)
 
     def when(metric: str, value: Column, also: Column | None = None) -> Column:
         cond = fresh & (F.col("metric") == metric)
@@ -164,7 +165,7 @@ def _assemble(obs: DataFrame, ttl_ms: int) -> DataFrame:
     def only(metric: str, column: str) -> Column:
         return F.max(when(metric, F.col(column)))
 
-    close = age_ms <= CONCURRENT_MS
+    close = age_ms <= concurrent_ms
     d = F.col("divergence")
     return obs.groupBy("asset", "at_ms").agg(
         peak("volume", "z").alias("vol_z"),
@@ -238,7 +239,8 @@ def _vector(inputs: DataFrame) -> DataFrame:
 
 
 def features_at(events: DataFrame, at_ms: int, ttl_ms: int = TTL_MS, tick_ms: int = 5_000,
-                factor: float = 0.85, decay_every: int = 1) -> DataFrame:
+                factor: float = 0.85, decay_every: int = 1, half_life_s: float = HALF_LIFE_S,
+                concurrent_ms: int = CONCURRENT_MS) -> DataFrame:
     """One vector per asset as of `at_ms`; decays happen on multiples of tick_ms."""
     known = observations(events.where(F.col("ts_ms") <= at_ms))
     state = latest(known, []).withColumn("at_ms", F.lit(at_ms).cast("bigint"))
@@ -246,7 +248,7 @@ def features_at(events: DataFrame, at_ms: int, ttl_ms: int = TTL_MS, tick_ms: in
     last = totals.groupBy("asset").agg(F.max(F.struct("tick", "epoch", "in_usd", "out_usd", "bridge_usd", "hits")).alias("t"))
     now_tick = F.lit(-(-at_ms // tick_ms))
     aged = age_totals(last.select("asset", "t.*"), epochs(now_tick, decay_every), factor)
-    return _vector(_assemble(state, ttl_ms).join(aged, "asset", "left"))
+    return _vector(_assemble(state, ttl_ms, half_life_s, concurrent_ms).join(aged, "asset", "left"))
 
 
 def age_totals(totals: DataFrame, epoch_now: Column, factor: float) -> DataFrame:
@@ -259,7 +261,8 @@ def age_totals(totals: DataFrame, epoch_now: Column, factor: float) -> DataFrame
 
 
 def feature_grid(events: DataFrame, tick_ms: int = 1_000, ttl_ms: int = TTL_MS, factor: float = 0.9,
-                 decay_every: int = 1, block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
+                 decay_every: int = 1, block_ms: int = DEFAULT_BLOCK_MS, half_life_s: float = HALF_LIFE_S,
+                 concurrent_ms: int = CONCURRENT_MS) -> DataFrame:
     """Vectors for every (asset, tick) at which the asset has an observation within the TTL.
 
     Each thinned observation covers the ticks until its series' next one or its
@@ -278,7 +281,7 @@ def feature_grid(events: DataFrame, tick_ms: int = 1_000, ttl_ms: int = TTL_MS,
         .drop("__until")
         .withColumn("at_ms", F.col("tick") * tick_ms)
     )
-    inputs = _assemble(grid, ttl_ms)
+    inputs = settle(_assemble(grid, ttl_ms, half_life_s, concurrent_ms))
     totals = decayed_totals(obs, tick_ms, factor, decay_every).select(
         "asset", (F.col("tick") * tick_ms).alias("at_ms"),
         F.struct("epoch", "in_usd", "out_usd", "bridge_usd", "hits").alias("flow"),

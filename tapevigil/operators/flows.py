@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapevigil.operators.rolling import dynamic_z
-from tapevigil.operators.series import DEFAULT_BLOCK_MS, block_of, running, with_previous
+from tapevigil.operators.series import DEFAULT_BLOCK_MS, block_of, running, spread, with_previous
 from tapevigil.sources.registry import address_key
 
 FLOW_KEYS = ["chain", "symbol"]
@@ -120,30 +120,34 @@ def match_bridges(whales: DataFrame, flows: DataFrame, order: Sequence[str], flo
     """For every deposit the latest earlier bridge flow of similar size, any token or chain.
 
     min/max of the two USD values >= min_ratio means their logs differ by at most
-    ln(1/min_ratio), so both sides fall into equal or neighbouring log-size cells
-    and into equal or neighbouring time blocks. Only the bridge flows are copied
-    to their neighbours. Inside a cell the flows are walked backwards from each
+    ln(1/min_ratio). Both sides are cut into log-size cells and time blocks several
+    times that wide, and only bridge flows near a border are copied across it. Inside a cell the flows are walked backwards from each
     deposit until one fits, without listing pairs. Adds `precursor`
     (bridge, usd, lag_s, size_ratio, flow_id), NULL when nothing fits.
     """
-    cell_width = float(np.log(1.0 / min_ratio)) * (1.0 + 1e-9)
-    cell = F.floor(F.log("usd_value") / cell_width).cast("bigint")
+    reach = float(np.log(1.0 / min_ratio)) * (1.0 + 1e-9)
+    width, span = 4.0 * reach, 8 * window_ms
+    size = F.log("usd_value")
+
+    def cell(shift: float) -> Column:
+        return F.floor((size + shift) / width).cast("bigint")
+
     id_type = flows.schema[flow_id].dataType
-    near = F.array(*[F.col("__c") + d for d in (-1, 0, 1)])
-    spread = (
+    cells = ["__block", "__cell"]
+    nearby = (
         flows.where(F.col("usd_value") > 0)
         .select(
             F.col("ts_ms").alias("f_ts"), F.col("usd_value").alias("f_usd"), F.col("bridge").alias("f_bridge"),
-            F.col(flow_id).alias("f_id"), cell.alias("__c"), block_of("ts_ms", window_ms).alias("__b"),
+            F.col(flow_id).alias("f_id"),
+            F.array_distinct(F.array(cell(-reach), cell(reach))).alias("__cells"),
+            F.array_distinct(F.array(block_of("ts_ms", span), block_of(F.col("ts_ms") + window_ms, span))).alias("__blocks"),
         )
-        .withColumn("__cell", F.explode(near))
-        .withColumn("__block", F.explode(F.array("__b", F.col("__b") + 1)))
-        .drop("__c", "__b")
+        .withColumn("__cell", F.explode("__cells"))
+        .withColumn("__block", F.explode("__blocks"))
+        .drop("__cells", "__blocks")
     )
     deposits = whales.where((F.col("direction") == "inflow") & (F.col("usd_value") > 0))
-    slim = deposits.select(*order, "usd_value").withColumn("__cell", cell).withColumn(
-        "__block", block_of("ts_ms", window_ms)
-    )
+    slim = deposits.select(*order, "usd_value", cell(0.0).alias("__cell"), block_of("ts_ms", span).alias("__block"))
     order = list(order)
     schema = T.StructType([whales.schema[c] for c in order] + [
         T.StructField("precursor", T.StructType([
@@ -186,8 +190,8 @@ def match_bridges(whales: DataFrame, flows: DataFrame, order: Sequence[str], flo
         return out[[p is not None for p in out["precursor"]]]
 
     matched = (
-        slim.groupBy("__block", "__cell")
-        .cogroup(spread.groupBy("__block", "__cell"))
+        spread(slim, *cells).groupBy(*cells)
+        .cogroup(spread(nearby, *cells).groupBy(*cells))
         .applyInPandas(latest_fit, schema)
     )
     return whales.join(matched, order, "left")

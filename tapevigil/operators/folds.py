@@ -22,6 +22,7 @@ from tapevigil.operators.series import (
     block_of,
     row_chunks,
     row_index,
+    spread,
 )
 
 STATE = "__state"
@@ -42,6 +43,7 @@ def chunk_fold(
     summary_columns: Sequence[str],
 ) -> DataFrame:
     keys, order = list(keys), list(order)
+    chunked = spread(chunked, *keys, CHUNK)
     key_ddl = ", ".join(f"`{k}` {chunked.schema[k].dataType.simpleString()}" for k in [*keys, CHUNK])
 
     def to_summary(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import clamp
+from tapevigil.operators.series import spread
 from tapevigil.operators.features import feature_array, informative
 from tapevigil.plans.storage import settle
 from tapevigil.schemas import FEATURES
@@ -171,7 +172,7 @@ def grow_trees(samples: DataFrame, center: list[float], scale: list[float], samp
             todo += [(2 * node + 1, depth + 1, rows[left]), (2 * node + 2, depth + 1, rows[~left])]
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
 
-    return samples.groupBy("tree").applyInPandas(grow, NODE_DDL)
+    return spread(samples, "tree").groupBy("tree").applyInPandas(grow, NODE_DDL)
 
 
 def fit(vectors: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,

@@ -14,6 +14,7 @@ from tapevigil.functions.scalars import obi_direction
 from tapevigil.operators.folds import cooldown_gate
 from tapevigil.operators.rolling import dynamic_z
 from tapevigil.operators.series import DEFAULT_BLOCK_MS, row_frame, with_previous
+from tapevigil.plans.storage import settle
 
 KEYS = ["venue", "symbol"]
 ORDER = ["ts_ms", "snapshot_id"]
@@ -190,12 +191,12 @@ def order_book_events(books: DataFrame, levels: int = 20, decay_bps: float = 25.
                       obi_threshold: float = 0.35, interval_ms: int = 500,
                       block_ms: int = DEFAULT_BLOCK_MS, **z_args) -> DataFrame:
     """Published order-book observations in the normalised event layout."""
-    metrics = book_metrics(normalise_books(books), levels, decay_bps)
+    metrics = settle(book_metrics(normalise_books(books), levels, decay_bps))
     walls = wall_changes(metrics, levels, block_ms=block_ms).drop("bids", "asks", "walls")
     ranked = obi_percentile(walls, block_ms=block_ms)
     # Books without a mid price still feed the baselines but are never published.
     flags = obi_scores(metrics, obi_threshold, block_ms, **z_args).drop("obi")
-    full = ranked.join(flags, [*KEYS, *ORDER]).where(F.col("mid_price") > 0)
+    full = settle(ranked.join(flags, [*KEYS, *ORDER]).where(F.col("mid_price") > 0))
     return emission_gate(full, interval_ms, block_ms).select(
         F.concat_ws("-", F.lit("ob"), "venue", "symbol", "snapshot_id").alias("event_id"),
         "ts_ms",

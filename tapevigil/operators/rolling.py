@@ -21,8 +21,10 @@ from tapevigil.operators.series import (
     fill_forward,
     row_chunks,
     row_index,
+    spread,
     time_chunks,
 )
+from tapevigil.plans.storage import settle
 
 TOTAL = "__total"
 
@@ -207,14 +209,17 @@ def dynamic_z(df, keys, order, value, half_life_s=60.0, window=300, warmup=25, b
         return scored
     if not adaptive:
         return scored.withColumn(threshold, F.lit(float(base_threshold)))
-    return adaptive_threshold(scored, keys, order, out, base_threshold, threshold, ts=ts,
+    # The level needs a numbering pass and the rows: keep the Python stage from running again.
+    return adaptive_threshold(settle(scored), keys, order, out, base_threshold, threshold, ts=ts,
                               block_ms=block_ms, chunk_rows=chunk_rows)
 
 
 def _score(df, keys, order, value, ts, half_life_s, window, warmup, log_space, zero_is_normal,
            weight, limit, block_ms, chunk_rows, outputs: dict[str, str]) -> DataFrame:
     chunk_rows = max(chunk_rows, window)
-    chunked = _chunked(df, keys, order, value, ts, window, log_space, block_ms, chunk_rows)
+    chunked = spread(
+        _chunked(df, keys, order, value, ts, window, log_space, block_ms, chunk_rows), *keys, CHUNK
+    )
     schema = T.StructType(
         [*df.schema.fields] + [T.StructField(o, T.DoubleType()) for o in outputs]
     )
@@ -277,7 +282,7 @@ def adaptive_threshold(df, keys, order, z="z", base=3.0, out="threshold", keep=2
         return own
 
     scored = (
-        row_chunks(known, keep - 1, max(chunk_rows, keep))
+        spread(row_chunks(known, keep - 1, max(chunk_rows, keep)), *keys, CHUNK)
         .groupBy(*keys, CHUNK)
         .applyInPandas(level, schema)
     )

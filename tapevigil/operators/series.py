@@ -35,6 +35,16 @@ def block_of(ts: Column | str, width: int) -> Column:
     return F.floor(ts / F.lit(width)).cast("bigint")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows to the configured number of shuffle partitions ahead of a Python stage.
+
+    Python work is heavy per byte, so a stage sized by bytes alone would be merged
+    into too few tasks; an explicit count is kept as it is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
 def _cols(names: Iterable[str]) -> list[Column]:
     return [F.col(n) for n in names]
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tapevigil.functions.scalars import clamp, sentiment_label
 from tapevigil.functions.text import fingerprint
 from tapevigil.operators.rolling import dynamic_z
+from tapevigil.operators.series import spread
+from tapevigil.plans.storage import settle
 
 KEYS = ["ticker"]
 GROUP = ["ticker", "eval_ms"]
@@ -170,7 +172,7 @@ def age_cohorts(windowed: DataFrame, max_age_days: float = 30.0, need: int = 4)
         row["cohort_cv"] = 0.0 if mean <= 0 else sd / mean
         return row
 
-    return ages.groupBy(*GROUP).applyInPandas(densest, schema)
+    return spread(ages, *GROUP).groupBy(*GROUP).applyInPandas(densest, schema)
 
 
 def duplicate_ratio(posts: DataFrame, sample: int = 120, min_jaccard: float = 0.6) -> DataFrame:
@@ -294,10 +296,11 @@ def bot_farm_verdicts(windowed: DataFrame, mention_z: DataFrame | None = None, m
     mention_z: optional (ticker, eval_ms, mention_z). The cohort's posts are judged
     when there are enough of them, else all posts of the window.
     """
+    windowed = settle(windowed)
     cohorts = age_cohorts(windowed, max_age_days)
     authors = young_authors(windowed.withColumn("__limit", F.lit(float(max_age_days))))
     member = F.coalesce(F.col("age").between(F.col("age_lo"), F.col("age_hi")), F.lit(False))
-    flagged = authors.join(cohorts, GROUP, "left").withColumn("member", member)
+    flagged = settle(authors.join(cohorts, GROUP, "left").withColumn("member", member))
     totals = flagged.groupBy(*GROUP).agg(
         F.sum("author_posts").alias("posts"),
         F.count(F.lit(1)).alias("authors"),
@@ -305,7 +308,8 @@ def bot_farm_verdicts(windowed: DataFrame, mention_z: DataFrame | None = None, m
         F.count_if("member").alias("cohort_size"),
         F.max("cohort_cv").alias("cohort_cv"),
     ).withColumn("on_cohort", F.col("cohort_posts") >= max(6, min_posts // 2))
-    judged = (
+    totals = settle(totals)
+    judged = settle(
         windowed.join(totals.select(*GROUP, "on_cohort"), GROUP)
         .join(flagged.where("member").select(*GROUP, "author_id", "member"), [*GROUP, "author_id"], "left")
         .where(~F.col("on_cohort") | F.col("member").isNotNull())

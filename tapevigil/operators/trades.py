@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapevigil.functions.scalars import clamp
 from tapevigil.operators.rolling import TOTAL, bucket_frame, dynamic_z, rolling_window
 from tapevigil.operators.series import DEFAULT_BLOCK_MS, POS, row_frame, running
+from tapevigil.plans.storage import settle
 
 KEYS = ["venue", "symbol"]
 ORDER = ["ts_ms", "trade_id"]
@@ -193,7 +194,7 @@ def absorption(divergence: Column, z: Column) -> Column:
 def delta_scores(trades: DataFrame, window_ms: int = 300_000, session: str | None = None,
                  block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
     """Per trade: cvd, buy_ratio, divergence, window_delta, cvd_z and absorption."""
-    flows = window_delta(price_divergence(cumulative_delta(trades, session, block_ms)), window_ms)
+    flows = settle(window_delta(price_divergence(cumulative_delta(trades, session, block_ms)), window_ms))
     scored = dynamic_z(flows, KEYS, ORDER, "window_delta", half_life_s=window_ms / 3000.0, window=300,
                        warmup=20, base_threshold=2.5, zero_is_normal=True, out="cvd_z",
                        threshold=None, block_ms=block_ms)

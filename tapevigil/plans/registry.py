@@ -14,13 +14,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     """Register a query under `name`, with equivalent SQL when there is one."""
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return rounded(fn(spark, sf))
+            return rounded(fn(spark, sf), digits)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

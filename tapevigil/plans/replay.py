@@ -11,13 +11,13 @@ from tapevigil.operators.scoring import score_vectors, signals
 
 
 def replay(events: DataFrame, model: ForestModel | None = None, tick_ms: int = 1_000,
-           ttl_ms: int = 600_000, factor: float = 0.9) -> DataFrame:
+           ttl_ms: int = 600_000, factor: float = 0.9, **grid) -> DataFrame:
     """Signals for every informative vector; decays apply once per tick.
 
     Scoring happens on fixed ticks, so it does not depend on which event happened
     to arrive a second after the previous sweep.
     """
-    vectors = feature_grid(events, tick_ms, ttl_ms, factor)
+    vectors = feature_grid(events, tick_ms, ttl_ms, factor, **grid)
     return signals(score_vectors(informative(vectors), model))
 
 

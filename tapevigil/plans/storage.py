@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named in spark.checkpoint.dir; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names in spark.checkpoint.dir.
+    """Write df once as a parquet table in the shared folder and read it back.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster without one the plan is left as it is.
+    Several operators read their input more than once (a summary pass, then the
+    rows). Reading a table again costs a pruned scan; recomputing would repeat
+    shuffles and Python work, and a lost executor would repeat them too. On a
+    cluster that names no shared folder the plan is left as it is.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and context.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp")
-        if shared is None:
-            return df
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

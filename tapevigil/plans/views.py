@@ -166,7 +166,7 @@ def vectors(spark, sf) -> DataFrame:
 
     e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
     known = {
-        "volume_z": v / 20 - 1.5, "volume_spike_ratio": 1 + v / 30,
+        "volume_z": v / 20.7 - 1.5, "volume_spike_ratio": 1 + v / 30,
         "obi": (u % 20 - 10) / 10.0, "obi_abs": F.abs((u % 20 - 10) / 10.0), "obi_z": (e % 13 - 6) * 0.8,
         "cvd_z": (e % 17 - 8) * 0.7, "cvd_divergence": (e % 11 - 5) / 6.0, "wall_activity": (e % 5) * 0.5,
         "whale_inflow_z": (u % 9) * 0.6, "net_flow_norm": (e % 7 - 3) / 4.0, "liquidity_drop": (u % 10) / 12.0,
@@ -181,6 +181,39 @@ def vectors(spark, sf) -> DataFrame:
     ])
 
 
+def market_events(spark, sf) -> DataFrame:
+    """Normalised events of every metric, derived row by row from the event table."""
+    from tapevigil.sources.events import as_events
+
+    e, u, x = F.col("event_id"), F.col("user_id"), F.col("value")
+    names = F.array(*[F.lit(m) for m in EVENT_METRICS])
+    kind = (e % len(EVENT_METRICS) + 1).cast("int")
+    metric = F.element_at(names, kind)
+    raw = (
+        F.when(metric == "order_book", (u % 20 - 10) / 10.0).when(metric == "social_sentiment", (e % 21 - 10) / 11.0)
+        .when(metric == "bot_farm", (u % 25) / 25.0).when(metric == "liquidity", -(u % 60).cast("double")).otherwise(x)
+    )
+    source = F.when(kind <= 3, "exchange").when(kind <= 6, "onchain").otherwise("social")
+    meta = F.struct(
+        (1 + x / 30).alias("spike_ratio"), ((e % 4) * 3.0).alias("spread_bps"), (e % 3).alias("spoofed_walls"),
+        (u % 2).alias("absorbed_walls"), ((e % 11 - 5) / 6.0).alias("divergence"),
+        F.when(u % 2 == 0, "inflow").otherwise("outflow").alias("direction"),
+        F.when(u % 5 == 0, '{"bridge":"b"}').alias("bridge_precursor"), x.alias("acceleration"),
+    )
+    return as_events(table(spark, sf, "events").select(
+        F.concat(F.lit("e"), F.lpad(e.cast("string"), 12, "0")).alias("event_id"), millis("ts").alias("ts_ms"),
+        source.alias("source_type"), F.concat(F.lit("v"), (u % 3).cast("string")).alias("venue"),
+        F.concat(F.upper("event_type"), F.lit("/USDT")).alias("asset_pair"), metric.alias("metric_type"),
+        raw.alias("raw_value"), F.when(e % 11 != 0, (e % 17 - 8) * 0.7).alias("normalized_z_score"),
+        (x * 200_000.0).alias("usd_value"), F.lit(1.0).alias("confidence"), meta.alias("meta")))
+
+
+EVENT_METRICS = (
+    "volume", "order_book", "cvd", "wallet_transfer", "liquidity", "bridge_flow",
+    "social_mentions", "social_sentiment", "bot_farm",
+)
+
+
 # --- the same views as SQL ------------------------------------------------------
 
 SQL = {
@@ -255,13 +288,27 @@ from events""",
     "signals": """
 select event_id as signal_id, upper(event_type) as asset_pair, 'aggregate' as venue,
        epoch_us(ts) // 1000 as ts_ms, least(100e0, 50 + value * 0.5e0) as score
+from events""",
+    "market_events": """
+select concat('e', lpad(cast(event_id as varchar), 12, '0')) as event_id, epoch_us(ts) // 1000 as ts_ms,
+       case when event_id % 9 < 3 then 'exchange' when event_id % 9 < 6 then 'onchain' else 'social' end as source_type,
+       concat('v', cast(user_id % 3 as varchar)) as venue, concat(upper(event_type), '/USDT') as asset_pair,
+       upper(event_type) as asset,
+       ['volume', 'order_book', 'cvd', 'wallet_transfer', 'liquidity', 'bridge_flow', 'social_mentions',
+        'social_sentiment', 'bot_farm'][cast(event_id % 9 + 1 as int)] as metric,
+       case event_id % 9 when 1 then (user_id % 20 - 10) / 10e0 when 7 then (event_id % 21 - 10) / 11e0
+            when 8 then (user_id % 25) / 25e0 when 4 then -(user_id % 60)::double else value end as raw_value,
+       case when event_id % 11 <> 0 then (event_id % 17 - 8) * 0.7e0 end as z, value * 200000e0 as usd_value,
+       1 + value / 30 as spike, (event_id % 4) * 3e0 as spread, event_id % 3 + user_id % 2 as walls,
+       (event_id % 11 - 5) / 6e0 as divergence, case when user_id % 2 = 0 then 'inflow' else 'outflow' end as direction,
+       case when user_id % 5 = 0 then 1 else 0 end as hit, value as acceleration
 from events""",
     "vectors": """
 select event_id, upper(event_type) as asset, epoch_us(ts) // 1000 as ts_ms,
        (event_id % 3 + 1) / 3e0 as coverage,
        case when event_id % 3 = 0 then 1 else 0 end as label,
        concat('s', cast(user_id % 4 as varchar)) as scenario,
-       value / 20 - 1.5e0 as volume_z, 1 + value / 30 as volume_spike_ratio,
+       value / 20.7e0 - 1.5e0 as volume_z, 1 + value / 30 as volume_spike_ratio,
        (user_id % 20 - 10) / 10e0 as obi, abs((user_id % 20 - 10) / 10e0) as obi_abs,
        (event_id % 13 - 6) * 0.8e0 as obi_z, (event_id % 4) * 0.6e0 as spread_bps,
        (event_id % 17 - 8) * 0.7e0 as cvd_z,

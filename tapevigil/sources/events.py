@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapevigil.functions.scalars import base_asset
 from tapevigil.schemas import META, METRIC_TYPES, SOURCE_TYPES, WIRE
@@ -26,12 +27,12 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     Blank lines are dropped. A line without a timestamp is refused: results
     depend on event time only, never on the clock of the reader.
     """
-    with_bad = WIRE.add(_BAD, "string")
+    with_bad = T.StructType([*WIRE.fields, T.StructField(_BAD, T.StringType())])
     text = lines.where(F.trim(column) != "")
     e = text.withColumn("__e", F.from_json(
         column, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     )).withColumn("__keys", F.json_object_keys(F.col(column)))
-    allowed = F.array(*[F.lit(f.name) for f in WIRE.fields if f.name != _BAD])
+    allowed = F.array(*[F.lit(f.name) for f in WIRE.fields])
     extra = F.size(F.array_except(F.col("__keys"), allowed)) > 0
     rows = e.select(column, "__e.*", extra.alias("__extra"))
     shaped = rows.select(
