@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Severity ladder (label, lowest score, rank).
@@ -105,6 +107,42 @@ def base_asset(pair: Column) -> Column:
     return F.substring_index(F.substring_index(pair, "/", 1), ":", 1)
 
 
-def signed(x: Column, digits: int) -> Column:
-    """Fixed-point text with an explicit sign."""
-    return F.format_string(f"%+.{digits}f", x)
+_SPEC = re.compile(r"%(?:(%)|([+-]?)(\d*)(?:\.(\d+))?([fsd]))")
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed-point text, rounded half-even on the exact binary value (printf in Java is not)."""
+    return F.replace(F.format_number(x.cast("double"), digits), F.lit(","), F.lit(""))
+
+
+def text(template: str, *args) -> Column:
+    """printf-like text: %s, %d, %.2f, %+.1f, %5.1f, %-20s and %%."""
+    values = iter([F.col(a) if isinstance(a, str) else a for a in args])
+    parts, at = [], 0
+    for m in _SPEC.finditer(template):
+        parts.append(F.lit(template[at : m.start()]))
+        at = m.end()
+        percent, flag, width, digits, kind = m.groups()
+        if percent:
+            parts.append(F.lit("%"))
+            continue
+        value = next(values)
+        shown = fixed(value, int(digits or 0)) if kind == "f" else value.cast("string")
+        if flag == "+":
+            shown = F.when(F.startswith(shown, F.lit("-")), shown).otherwise(F.concat(F.lit("+"), shown))
+        if width:
+            size = F.greatest(F.lit(int(width)), F.length(shown))
+            pad = F.repeat(F.lit(" "), size - F.length(shown))
+            shown = F.concat(shown, pad) if flag == "-" else F.concat(pad, shown)
+        parts.append(shown)
+    parts.append(F.lit(template[at:]))
+    return F.concat(*parts)
+
+
+def layer(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters and projections above are then not rewritten in terms of the inputs,
+    which would multiply long expressions that several later columns refer to.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapevigil.functions.scalars import score_rank
+from tapevigil.functions.scalars import score_rank, text
 from tapevigil.operators.folds import cooldown_gate
 from tapevigil.operators.series import DEFAULT_BLOCK_MS
 
@@ -40,7 +40,7 @@ def route_alerts(signals: DataFrame, min_score: float = 80.0, cooldown_ms: int =
         F.col("gate_sent").alias("sent"),
         F.when(why == "first", "first alert").when(why == "escalation", "severity escalation")
         .when(why == "elapsed", "cooldown elapsed")
-        .otherwise(F.format_string("cooldown (%.0fs left)", left_s)).alias("reason"),
+        .otherwise(text("cooldown (%.0fs left)", left_s)).alias("reason"),
         why.alias("reason_code"),
         F.col("gate_count").alias("alert_count"),
     )

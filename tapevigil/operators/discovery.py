@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapevigil.functions.scalars import clamp
+from tapevigil.functions.scalars import clamp, text
 
 # Fixed value: quote currencies in preference order.
 QUOTES = ("USDT", "USDC", "USD", "FDUSD", "USD1")
@@ -134,9 +134,9 @@ def scan_candidates(
     )
     reasons = F.array_compact(F.array(
         F.when(moving, F.concat(
-            F.when(change > 0, "pump ").otherwise("dump "), F.format_string("%+.0f%%", change))),
-        F.when(surging, F.format_string("volume %.1fx baseline", F.col("surge"))),
-        F.when(recent, F.format_string("new listing (%.1fh old)", age_h)),
+            F.when(change > 0, "pump ").otherwise("dump "), text("%+.0f%%", change))),
+        F.when(surging, text("volume %.1fx baseline", F.col("surge"))),
+        F.when(recent, text("new listing (%.1fh old)", age_h)),
         F.when(fresh, F.lit("newly listed")),
     ))
     return (

@@ -251,6 +251,15 @@ def features_at(events: DataFrame, at_ms: int, ttl_ms: int = TTL_MS, tick_ms: in
     return _vector(_assemble(state, ttl_ms, half_life_s, concurrent_ms).join(aged, "asset", "left"))
 
 
+def vectors_from_state(state: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Vectors from rows that carry each asset's latest observations and flow totals (streaming state)."""
+    totals = state.groupBy("asset", "at_ms").agg(
+        *[F.max(c).alias(c) for c in ("in_usd", "out_usd", "bridge_usd", "hits")]
+    )
+    inputs = _assemble(state, ttl_ms, HALF_LIFE_S, CONCURRENT_MS)
+    return _vector(inputs.join(totals, ["asset", "at_ms"]))
+
+
 def age_totals(totals: DataFrame, epoch_now: Column, factor: float) -> DataFrame:
     passed = epoch_now - F.col("epoch")
     shrink = F.pow(F.lit(factor), passed)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapevigil.functions.scalars import clamp
+from tapevigil.functions.scalars import clamp, layer, text
 
 # Source weights.
 WEIGHTS = {"exchange": 0.40, "onchain": 0.35, "social": 0.25}
@@ -23,11 +23,7 @@ def _mag(name: str) -> Column:
 
 
 def _pct(x: Column) -> Column:
-    return F.format_string("%.0f%%", x * 100)
-
-
-def _text(template: str, *args: Column) -> Column:
-    return F.format_string(template, *args)
+    return text("%.0f%%", x * 100)
 
 
 def _points(*terms: Column) -> Column:
@@ -76,23 +72,20 @@ def exchange_rules(df: DataFrame) -> DataFrame:
         _if(washing, clamp(18.0 * confirms + 8.0 * (vz - 2.5), 0, 55)),
     )
     reasons = F.array(
-        F.when(vz > 3.0, _text("volume %.1fσ above 5m baseline", vz)),
-        F.when(obi_abs > 0.35, _text("order book %s %s-heavy", _pct(obi_abs), F.when(obi > 0, "bid").otherwise("ask"))),
-        F.when(loud_book, _text("book imbalance %.1fσ vs its own baseline (OBI %+.2f)", obi_z, obi)),
-        F.when(one_sided, _text("CVD %.1fσ — one-sided aggression", cvd)),
+        F.when(vz > 3.0, text("volume %.1fσ above 5m baseline", vz)),
+        F.when(obi_abs > 0.35, text("order book %s %s-heavy", _pct(obi_abs), F.when(obi > 0, "bid").otherwise("ask"))),
+        F.when(loud_book, text("book imbalance %.1fσ vs its own baseline (OBI %+.2f)", obi_z, obi)),
+        F.when(one_sided, text("CVD %.1fσ — one-sided aggression", cvd)),
         F.when(F.abs(div) > 0.4, F.concat(F.lit("price/CVD divergence — "), F.when(
             div > 0, "absorption by passive wall").otherwise("markup without real buying"))),
         F.when(walls > 1.0, F.lit("large passive walls pulled/consumed")),
-        F.when(disp > 0.5, _text("cross-venue book disagreement (%.2f)", disp)),
+        F.when(disp > 0.5, text("cross-venue book disagreement (%.2f)", disp)),
         F.when(washing, F.concat(
-            _text("wash-trading signature: %.0fx volume with no net delta, flat book", spike),
+            text("wash-trading signature: %.0fx volume with no net delta, flat book", spike),
             F.when(tight, ", abnormally tight spread").otherwise(""))),
     )
-    return (
-        df.withColumn("ex", clamp(points, 0, 100))
-        .withColumn("wash", _if(washing, clamp(confirms / 3.0 * (vz / 5.0), 0, 1)))
-        .withColumn("ex_reasons", reasons)
-    )
+    wash = _if(washing, clamp(confirms / 3.0 * (vz / 5.0), 0, 1))
+    return layer(df, ex=clamp(points, 0, 100), wash=wash, ex_reasons=reasons)
 
 
 def onchain_rules(df: DataFrame) -> DataFrame:
@@ -105,14 +98,14 @@ def onchain_rules(df: DataFrame) -> DataFrame:
         _ladder((to_cex > 0.3, clamp(25.0 * to_cex, 0, 25)), (bridge > 0.4, clamp(12.0 * bridge, 0, 12))),
     )
     reasons = F.array(
-        F.when(whale > 2.0, _text("whale transfer %.1fσ vs history", whale)),
-        F.when(net > 0.3, _text("net CEX deposits (flow index %+.2f)", net))
+        F.when(whale > 2.0, text("whale transfer %.1fσ vs history", whale)),
+        F.when(net > 0.3, text("net CEX deposits (flow index %+.2f)", net))
         .when(net < -0.3, "large CEX withdrawals — supply squeeze setup"),
-        F.when(drop > 0.30, _text("DEX liquidity -%.0f%% in one block", drop * 100)),
+        F.when(drop > 0.30, text("DEX liquidity -%.0f%% in one block", drop * 100)),
         F.when(to_cex > 0.3, "bridged stablecoins landing on CEX (pre-positioning)")
         .when(bridge > 0.4, "elevated bridge stablecoin flow"),
     )
-    return df.withColumn("oc", clamp(points, 0, 100)).withColumn("oc_reasons", reasons)
+    return layer(df, oc=clamp(points, 0, 100), oc_reasons=reasons)
 
 
 def social_rules(df: DataFrame) -> DataFrame:
@@ -125,16 +118,16 @@ def social_rules(df: DataFrame) -> DataFrame:
         _if(mood_abs > 0.6, clamp(15.0 * mood_abs, 0, 15)),
     )
     reasons = F.array(
-        F.when(mz > 3.0, _text("mention rate %.1fσ above baseline", mz)),
+        F.when(mz > 3.0, text("mention rate %.1fσ above baseline", mz)),
         F.when(accel > 0.4, F.lit("mention volume accelerating")),
-        F.when(farm > 0.5, _text("bot-farm pattern (confidence %s)", _pct(farm))),
-        F.when(mood_abs > 0.6, _text("extreme %s sentiment (%+.2f)", F.when(mood > 0, "bullish").otherwise("bearish"), mood)),
+        F.when(farm > 0.5, text("bot-farm pattern (confidence %s)", _pct(farm))),
+        F.when(mood_abs > 0.6, text("extreme %s sentiment (%+.2f)", F.when(mood > 0, "bullish").otherwise("bearish"), mood)),
     )
-    return df.withColumn("so", clamp(points, 0, 100)).withColumn("so_reasons", reasons)
+    return layer(df, so=clamp(points, 0, 100), so_reasons=reasons)
 
 
 def fuse(df: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """Noisy-OR of the three sources, never below their weighted mean; adds base and active."""
+    """Noisy-OR of the three sources, never below their weighted mean; adds fused and active."""
     scores = {"exchange": F.col("ex"), "onchain": F.col("oc"), "social": F.col("so")}
     defaults = {"exchange": 0.4, "onchain": 0.35, "social": 0.25}
     weighted = _points(*[s * weights.get(k, defaults[k]) for k, s in scores.items()])
@@ -144,9 +137,7 @@ def fuse(df: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
         clean = clean * (1.0 - clamp(s / 100.0, 0.0, 0.985) * w)
     active = _points(*[(s >= 30).cast("int") for s in scores.values()])
     base = F.greatest(weighted, (1.0 - clean) * 100.0 * 0.95)
-    return df.withColumn("active", active).withColumn(
-        "base", F.when(F.col("active") >= 2, base * (1.0 + 0.18 * (F.col("active") - 1))).otherwise(base)
-    )
+    return layer(df, active=active, fused=base * F.when(active >= 2, 1.0 + 0.18 * (active - 1)).otherwise(1.0))
 
 
 def _playbooks() -> list[tuple[Column, float, str]]:
@@ -195,35 +186,31 @@ def rule_scores(vectors: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> D
     """Adds ex/oc/so, rule_score and rule_reasons (all texts, in rule order)."""
     out = fuse(social_rules(onchain_rules(exchange_rules(vectors))), weights)
     plays = _playbooks()
-    base = F.col("base")
+    base = F.col("fused")
     for cond, bonus, _ in plays:
         base = base + _if(cond, F.lit(bonus))
+    out = layer(out, base=base, __art=artificial(), __stress=stress())
     loud = (_f("volume_z") > 2.0) | (_f("mention_z") > 2.0)
-    out = out.withColumn("base", base).withColumn("__art", artificial()).withColumn("__stress", stress())
     damp = 0.40 + 0.60 * (F.col("__art") / 0.45)
     damp = damp + (1.0 - damp) * F.col("__stress")
-    out = out.withColumn(
-        "damping", F.when(loud & (F.col("__art") < 0.45), damp).otherwise(F.lit(1.0))
-    )
+    out = layer(out, damping=F.when(loud & (F.col("__art") < 0.45), damp).otherwise(F.lit(1.0)))
     shock = self_evident()
     product = (_f("volume_z") / 3.0) * (_f("obi_abs") / 0.5) * (_mag("cvd_z") / 3.0)
     floor = clamp(62.0 + F.least(product, F.lit(8.0)) * 5.0, 0, 100)
     damped = F.col("base") * F.col("damping")
     score = clamp(F.when(shock, F.greatest(damped, floor)).otherwise(damped), 0, 100)
-    headline = F.when(shock, _text(
+    headline = F.when(shock, text(
         "⚑ %s: volume %.1fσ, book %s one-sided, CVD %+.1fσ",
         F.when(_f("cvd_z") < 0, "SELL-OFF").otherwise("BUY PANIC"), _f("volume_z"), _pct(_f("obi_abs")), _f("cvd_z"),
     ))
     tail = F.array(
-        F.when(F.col("active") >= 2, _text("corroborated across %d independent data sources", F.col("active"))),
+        F.when(F.col("active") >= 2, text("corroborated across %d independent data sources", F.col("active"))),
         *[F.when(cond, F.lit(text)) for cond, _, text in plays],
         F.when(F.col("damping") < 0.9, F.lit("organic-activity profile — no artificial-flow markers")),
     )
     reasons = F.array_compact(
         F.concat(F.array(headline), F.col("ex_reasons"), F.col("oc_reasons"), F.col("so_reasons"), tail)
     )
-    return (
-        out.withColumn("rule_score", score)
-        .withColumn("rule_reasons", reasons)
-        .drop("ex_reasons", "oc_reasons", "so_reasons", "base", "active", "__art", "__stress", "damping")
+    return layer(out, rule_score=score, rule_reasons=reasons).drop(
+        "ex_reasons", "oc_reasons", "so_reasons", "fused", "base", "active", "__art", "__stress", "damping"
     )

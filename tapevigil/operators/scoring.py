@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapevigil.functions.scalars import clamp, severity
+from tapevigil.functions.scalars import clamp, layer, severity, text
 from tapevigil.operators.forest import ForestModel, ml_scores
 from tapevigil.operators.rules import WEIGHTS, rule_scores, self_evident
 from tapevigil.schemas import FEATURES
@@ -21,18 +21,15 @@ def composite(scored: DataFrame, trained: bool = True, ml_blend: float = 0.5) ->
         blended = (1.0 - blend) * rule + blend * ml
         value = F.when((rule >= 60) & (ml < rule), F.greatest(blended, rule * 0.9 + ml * 0.1)).otherwise(blended)
         unusual = F.when(
-            (ml >= 70) & (rule < 40), F.format_string("ML flags unusual multi-feature state (%.0f/100)", ml)
+            (ml >= 70) & (rule < 40), text("ML flags unusual multi-feature state (%.0f/100)", ml)
         )
         reasons = F.array_compact(F.concat(F.col("rule_reasons"), F.array(unusual)))
     else:
         value, reasons = rule, F.col("rule_reasons")
     thin = (F.col("coverage") <= 0.34) & ~self_evident()
     score = clamp(F.when(thin, value * 0.82).otherwise(value), 0.0, 100.0)
-    return (
-        scored.withColumn("score", score)
-        .withColumn("severity", severity(F.col("score")))
-        .withColumn("reasons", F.slice(reasons, 1, 8))
-    )
+    out = layer(scored, score=score)
+    return layer(out, severity=severity(F.col("score")), reasons=F.slice(reasons, 1, 8))
 
 
 def top_features(limit: int = 10, floor: float = 0.05, digits: int = 4) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapevigil.functions.scalars import clamp, sentiment_label
+from tapevigil.functions.scalars import clamp, sentiment_label, text
 from tapevigil.functions.text import fingerprint
 from tapevigil.operators.rolling import dynamic_z
 from tapevigil.operators.series import spread
@@ -52,7 +52,9 @@ def tick_series(posts: DataFrame, tick_ms: int = 5_000, window_ms: int = 300_000
     nxt = F.coalesce(F.lead("slot_ms").over(Window.partitionBy(*KEYS).orderBy("slot_ms")),
                      F.col("slot_ms") + window_ms + tick_ms)
     real = F.col("tick_ms") == F.col("slot_ms")
-    dense = slots.withColumn("tick_ms", F.explode(F.sequence(F.col("slot_ms"), nxt - tick_ms, F.lit(tick_ms))))
+    dense = slots.withColumn("__last", nxt - tick_ms).withColumn(
+        "tick_ms", F.explode(F.sequence("slot_ms", "__last", F.lit(tick_ms)))
+    )
     for c in ("n", "edge_n"):
         dense = dense.withColumn(c, F.when(real, F.col(c)).otherwise(F.lit(0)))
     for c in ("s", "edge_s"):
@@ -261,15 +263,15 @@ def farm_score(measures: DataFrame, min_posts: int = 12, max_age_days: float = 3
         + F.when(moving, clamp(0.15 * (mz - 3.0) / 5.0, 0.0, 0.15)).otherwise(0.0)
     )
     said = F.array_compact(F.array(
-        F.when(uniform, F.format_string(
+        F.when(uniform, text(
             f"%d accounts with uniform age (CV=%.2f, <{max_age_days:.0f}d) driving %.0f%% of posts",
             accounts, cv, share * 100)),
-        F.when(dup > floor, F.concat(F.format_string("%.0f%% near-duplicate posts", dup * 100),
+        F.when(dup > floor, F.concat(text("%.0f%% near-duplicate posts", dup * 100),
                                      F.when(on, " in cohort").otherwise(""))),
-        F.when(cad > 0.55, F.format_string("mechanical posting cadence (%.2f)", cad)),
-        F.when(fol > 0.6, F.format_string("uniform low-follower authors (%.2f)", fol)),
-        F.when(per_author > 3.0, F.format_string("%.1f posts/author", per_author)),
-        F.when(moving, F.format_string("mention spike z=%.1f", mz)),
+        F.when(cad > 0.55, text("mechanical posting cadence (%.2f)", cad)),
+        F.when(fol > 0.6, text("uniform low-follower authors (%.2f)", fol)),
+        F.when(per_author > 3.0, text("%.1f posts/author", per_author)),
+        F.when(moving, text("mention spike z=%.1f", mz)),
     ))
     said = F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("no coordination signals")))
     zero = F.lit(0.0)

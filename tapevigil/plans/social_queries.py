@@ -66,7 +66,7 @@ def tracked_mentions(spark, sf):
 
 
 _TICKS = f"""
-, mood as (select t.post_id, ticker, ts_ms, (user_id % 21 - 10) / 10e0 as s from texts t join events on event_id = post_id),
+, mood as (select t.post_id, ticker, ts_ms, (user_id % 21 - 10) / 11e0 as s from texts t join events on event_id = post_id),
 slots as (select *, (ts_ms + {HOUR - 1}) // {HOUR} * {HOUR} as slot from mood),
 sl as (select ticker, slot, coalesce(lead(slot) over (partition by ticker order by slot), slot + {DAY + HOUR}) as nx from (select distinct ticker, slot from slots)),
 grid as (select ticker, unnest(range(slot, nx, {HOUR})) as tick_ms from sl),
@@ -82,7 +82,7 @@ acc as (
 
 
 def _ticks(spark, sf):
-    e = v.table(spark, sf, "events").select(F.col("event_id"), ((F.col("user_id") % 21 - 10) / 10.0).alias("mood"))
+    e = v.table(spark, sf, "events").select(F.col("event_id"), ((F.col("user_id") % 21 - 10) / 11.0).alias("mood"))
     x = v.texts(spark, sf).join(e, F.col("event_id") == F.col("post_id"))
     return so.tick_series(x, HOUR, DAY, "mood")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapevigil.functions.scalars import text as printf
+
 # Marks, colours and module names used in rendered alerts.
 SEVERITY_MARKS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "⚪"}
 SEVERITY_COLOURS = {
@@ -68,15 +70,15 @@ def render_html(signals: DataFrame, out: str = "html") -> DataFrame:
     empty = F.array().cast(_NONE)
     modules = F.transform(_ranked(F.col("contributions"), False), lambda e: F.concat(
         F.lit("  <code>"), F.rpad(_lookup(MODULE_NAMES, e["k"], F.initcap(e["k"])), 11, " "), F.lit("</code> "),
-        bar(e["v"], 8), F.format_string(" %5.1f", e["v"])))
+        bar(e["v"], 8), printf(" %5.1f", e["v"])))
     evidence = F.transform(F.slice("reasons", 1, 6), lambda r: F.concat(F.lit("  • "), escape_html(r)))
     features = _joined(F.transform(F.slice(_ranked(F.col("features"), True), 1, 5),
-                                   lambda e: F.format_string("%s=%+.2f", e["k"], e["v"])), " | ")
+                                   lambda e: printf("%s=%+.2f", e["k"], e["v"])), " | ")
     text = _lines(
         _one(
             F.concat(mark(), F.lit(" <b>MANIPULATION ALERT — "), escape_html(F.col("asset_pair")), F.lit("</b>")),
             "",
-            F.concat(F.format_string("<b>Score:</b> <code>%.1f/100</code>  ", F.col("score")), bar(F.col("score"))),
+            F.concat(printf("<b>Score:</b> <code>%.1f/100</code>  ", F.col("score")), bar(F.col("score"))),
             F.concat(F.lit("<b>Severity:</b> "), F.upper("severity")),
             F.concat(F.lit("<b>Venue:</b> "), escape_html(F.col("venue"))),
             "",
@@ -88,7 +90,7 @@ def render_html(signals: DataFrame, out: str = "html") -> DataFrame:
             F.lit("  <code>"), features, F.lit("</code>")))).otherwise(empty),
         _one(
             "",
-            F.format_string("<i>ML %.0f · Rules %.0f · %.0fms</i>", "ml_score", "rule_score", "latency_ms"),
+            printf("<i>ML %.0f · Rules %.0f · %.0fms</i>", "ml_score", "rule_score", "latency_ms"),
             F.concat(F.lit("<i>"), _stamp("yyyy-MM-dd HH:mm:ss"), F.lit(" UTC</i>")),
         ),
     )
@@ -99,18 +101,18 @@ def render_embed(signals: DataFrame, out: str = "embed", sender: str = "Market S
     """Webhook payload with a rich embed, as a struct (to_json gives the wire form)."""
     modules = _joined(F.transform(_ranked(F.col("contributions"), False), lambda e: F.concat(
         F.lit("`"), F.rpad(_lookup(MODULE_NAMES, e["k"], e["k"]), 11, " "), F.lit("` "), bar(e["v"], 8),
-        F.format_string(" %5.1f", e["v"]))), "\n")
+        printf(" %5.1f", e["v"]))), "\n")
     evidence = F.left(_joined(F.transform(F.slice("reasons", 1, 6), lambda r: F.concat(F.lit("• "), r)), "\n"), F.lit(1024))
     features = F.concat(F.lit("```"), _joined(F.transform(
         F.slice(_ranked(F.col("features"), True), 1, 6),
-        lambda e: F.format_string("%-20s %+.3f", e["k"], e["v"])), "\n"), F.lit("```"))
+        lambda e: printf("%-20s %+.3f", e["k"], e["v"])), "\n"), F.lit("```"))
 
     def field(name: str, value: Column, inline: bool, when: Column | None = None) -> Column:
         f = F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(inline).alias("inline"))
         return f if when is None else F.when(when, f)
 
     fields = F.array_compact(F.array(
-        field("Composite Score", F.concat(F.format_string("**%.1f** / 100\n`", F.col("score")), bar(F.col("score")), F.lit("`")), True),
+        field("Composite Score", F.concat(printf("**%.1f** / 100\n`", F.col("score")), bar(F.col("score")), F.lit("`")), True),
         field("Severity", F.upper("severity"), True),
         field("Venue", F.col("venue"), True),
         field("Module Contributions", modules, False, F.size("contributions") > 0),
@@ -118,7 +120,7 @@ def render_embed(signals: DataFrame, out: str = "embed", sender: str = "Market S
         field("Key Features", features, False, F.size("features") > 0),
     ))
     footer = F.concat(
-        F.format_string("ML %.0f · Rules %.0f · %.0fms · id ", "ml_score", "rule_score", "latency_ms"),
+        printf("ML %.0f · Rules %.0f · %.0fms · id ", "ml_score", "rule_score", "latency_ms"),
         F.col("signal_id").cast("string"))
     embed = F.struct(
         F.concat(mark(), F.lit(" Manipulation Alert — "), F.col("asset_pair")).alias("title"),
@@ -134,12 +136,12 @@ def render_plain(signals: DataFrame, out: str = "plain") -> DataFrame:
     """Console / log text."""
     empty = F.array().cast(_NONE)
     modules = _joined(F.transform(_ranked(F.col("contributions"), False),
-                                  lambda e: F.format_string("%s=%.0f", e["k"], e["v"])), ", ")
+                                  lambda e: printf("%s=%.0f", e["k"], e["v"])), ", ")
     text = _lines(
         _one(
             F.concat(mark(), F.lit(" MANIPULATION ALERT — "), F.col("asset_pair"), F.lit(" @ "), F.col("venue")),
-            F.concat(F.format_string("   Score %.1f/100 [", F.col("score")), bar(F.col("score")), F.lit("] "), F.upper("severity")),
-            F.concat(F.format_string("   ML %.0f | Rules %.0f | %.1fms | ", "ml_score", "rule_score", "latency_ms"),
+            F.concat(printf("   Score %.1f/100 [", F.col("score")), bar(F.col("score")), F.lit("] "), F.upper("severity")),
+            F.concat(printf("   ML %.0f | Rules %.0f | %.1fms | ", "ml_score", "rule_score", "latency_ms"),
                      _stamp("yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")),
         ),
         F.when(F.size("contributions") > 0, _one(F.concat(F.lit("   Modules: "), modules))).otherwise(empty),
