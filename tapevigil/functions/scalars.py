@@ -139,6 +139,11 @@ def text(template: str, *args) -> Column:
     return F.concat(*parts)
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with `value` computed once; a lambda body would repeat it per element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def layer(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 

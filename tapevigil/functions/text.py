@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapevigil.functions.scalars import bind
+
 # Word weights of the default sentiment lexicon.
 POSITIVE = {
     "moon": 1.0, "mooning": 1.0, "bullish": 0.9, "pump": 0.7, "pumping": 0.8, "rally": 0.8,
@@ -74,7 +76,6 @@ def lexicon_sentiment(text: Column) -> Column:
     Each hit is scaled by the intensifiers and negations among the two tokens
     before it. Texts without any lexicon word skip the per-token work.
     """
-    tokens = tokenize(normalize_text(text))
     lexicon, boosts = _weights(POSITIVE | NEGATIVE), _weights(INTENSIFIERS)
     negations = F.array(*[F.lit(w) for w in NEGATIONS])
     words = F.array(*[F.lit(w) for w in POSITIVE | NEGATIVE])
@@ -83,26 +84,34 @@ def lexicon_sentiment(text: Column) -> Column:
         boost = F.coalesce(F.try_element_at(boosts, prev), F.lit(1.0))
         return F.when(F.array_contains(negations, prev), boost * NEGATION_FACTOR).otherwise(boost)
 
-    def contribution(token: Column, i: Column) -> Column:
-        weight = F.try_element_at(lexicon, token)
-        before = F.slice(tokens, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))
-        scale = F.aggregate(before, F.lit(1.0), lambda acc, prev: acc * factor(prev))
-        return F.when(weight.isNotNull(), weight * scale)
-
-    hits = F.filter(F.transform(tokens, contribution), lambda c: c.isNotNull())
-    total = F.aggregate(hits, F.lit(0.0), lambda acc, c: acc + c)
-    n = F.size(hits)
-    raw = F.tanh(total / F.sqrt(n) / 1.6)
-    label = F.when(raw > 0.15, "positive").when(raw < -0.15, "negative").otherwise("neutral")
-    scored = F.struct(
-        F.round(raw, 4).alias("score"),
-        label.alias("label"),
-        F.round(F.least(F.lit(1.0), 0.35 + 0.12 * n), 3).alias("confidence"),
-    )
+    def contributions(tokens: Column) -> Column:
+        def one(token: Column, i: Column) -> Column:
+            before = F.slice(tokens, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))
+            scale = F.aggregate(before, F.lit(1.0), lambda acc, prev: acc * factor(prev))
+            return F.when(F.array_contains(words, token), F.try_element_at(lexicon, token) * scale)
+
+        return F.filter(F.transform(tokens, one), lambda c: c.isNotNull())
+
+    def verdict(raw: Column, n: Column) -> Column:
+        label = F.when(raw > 0.15, "positive").when(raw < -0.15, "negative").otherwise("neutral")
+        return F.struct(
+            F.round(raw, 4).alias("score"),
+            label.alias("label"),
+            F.round(F.least(F.lit(1.0), 0.35 + 0.12 * n), 3).alias("confidence"),
+        )
+
     silent = F.struct(
         F.lit(0.0).alias("score"), F.lit("neutral").alias("label"), F.lit(0.25).alias("confidence")
     )
-    return F.when(F.arrays_overlap(tokens, words), scored).otherwise(silent)
+
+    def scored(hits: Column) -> Column:
+        total = F.aggregate(hits, F.lit(0.0), lambda acc, c: acc + c)
+        return bind(F.tanh(total / F.sqrt(F.size(hits)) / 1.6), lambda raw: verdict(raw, F.size(hits)))
+
+    return bind(
+        tokenize(normalize_text(text)),
+        lambda tokens: F.when(F.arrays_overlap(tokens, words), bind(contributions(tokens), scored)).otherwise(silent),
+    )
 
 
 def model_sentiment(df: DataFrame, text: str, scorer: Callable[[list[str]], list[dict[str, float]]],
@@ -133,12 +142,14 @@ def model_sentiment(df: DataFrame, text: str, scorer: Callable[[list[str]], list
 
 def fingerprint(text: Column) -> Column:
     """Distinct three-word shingles; the distinct words when there are fewer than three."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    shingles = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, 3), " "),
-    )
-    return F.array_distinct(F.when(F.size(words) < 3, words).otherwise(shingles))
+    def shingles(words: Column) -> Column:
+        triples = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))),
+            lambda i: F.array_join(F.slice(words, i, 3), " "),
+        )
+        return F.array_distinct(F.when(F.size(words) < 3, words).otherwise(triples))
+
+    return bind(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), shingles)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -24,6 +24,7 @@ from tapevigil.sources.posts import finite_or_zero
 
 NODE_DDL = "tree int, node int, feature int, threshold double, path double"
 EXACT_MEDIAN_ROWS = 1_000_000
+SLAB = 8192
 EULER = 0.5772156649015329
 
 
@@ -180,7 +181,8 @@ def fit(vectors: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
     """Train on a vector table; None when it has fewer than max(20, min_rows) rows."""
     identity = list(identity or vectors.columns)
     # Read five times below (count, medians, MADs, sample, calibration).
-    data = settle(clean_features(vectors).select(*dict.fromkeys([*FEATURES, *identity])))
+    columns = list(dict.fromkeys([*FEATURES, *identity]))
+    data = settle(spread(clean_features(vectors).select(*columns), *identity))
     n, center, scale = robust_scaler(data)
     if n < max(20, min_rows):
         return None
@@ -208,8 +210,8 @@ def raw_scores(model: ForestModel, values: Column) -> Column:
         out = np.empty(len(batch))
         x_all = np.nan_to_num(np.stack(batch.to_numpy()).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
         x_all = (x_all - center) / scale
-        for lo in range(0, len(x_all), 1024):
-            x = x_all[lo : lo + 1024]
+        for lo in range(0, len(x_all), SLAB):
+            x = x_all[lo : lo + SLAB]
             rows = np.arange(len(x))
             depth = np.zeros(len(x))
             for t in range(feature.shape[0]):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapevigil.operators import features as ft
 from tapevigil.operators import forest, rules, scoring
+from tapevigil.operators.series import spread
 from tapevigil.plans import replay as rp
 from tapevigil.plans import views as v
 from tapevigil.plans.registry import query
@@ -354,7 +355,7 @@ def score_calibration(spark, sf):
 @query("anomaly_scores")
 def anomaly_scores(spark, sf):
     """Isolation forest trained on the newest vectors, applied to all of them."""
-    vec = v.vectors(spark, sf)
+    vec = spread(v.vectors(spark, sf), "event_id")
     model = forest.fit(forest.training_buffer(vec, order=("ts_ms", "event_id")), identity=["event_id"])
     return forest.ml_scores(vec, model).select("event_id", "ml_score")
 

@@ -236,10 +236,10 @@ def bot_farm_verdicts(spark, sf):
 @query("social_events", with_views("texts", body=_TICKS + f"""
 , {_MENTION_Z.replace("num as (", "num as (", 1)}
 select concat('sm-', ticker, '-', tick_ms) as event_id, tick_ms as ts_ms, ticker as asset_pair, 'social_mentions' as metric_type,
-       round(rate, 5) as raw_value, round(z, 5) as normalized_z_score, 1e0 as confidence, round(round(acceleration, 4), 5) as acceleration from dyn
+       round(rate, 7) as raw_value, round(z, 7) as normalized_z_score, 1e0 as confidence, round(acceleration, 4) as acceleration from dyn
 union all
-select concat('ss-', ticker, '-', tick_ms), tick_ms, ticker, 'social_sentiment', round(sentiment, 5), null,
-       round(greatest(0.1e0, least(1e0, posts_in_window / 30e0)), 5), null from acc"""), digits=5)
+select concat('ss-', ticker, '-', tick_ms), tick_ms, ticker, 'social_sentiment', round(sentiment, 7), null,
+       round(greatest(0.1e0, least(1e0, posts_in_window / 30e0)), 7), null from acc"""), digits=7)
 def social_events(spark, sf):
     from tapevigil.operators.rolling import dynamic_z
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapevigil.functions.scalars import bind
 from tapevigil.sources.registry import address_key
 
 # Fixed value: topic of the ERC-20 Transfer(address,address,uint256) event.
@@ -15,14 +16,15 @@ LIMB = 16
 
 def hex_double(digits: Column) -> Column:
     """Unsigned hex digits of any length as DOUBLE, in 64-bit limbs."""
+    def combine(padded: Column) -> Column:
+        limbs = F.transform(
+            F.sequence(F.lit(0), (F.length(padded) / LIMB).cast("int") - 1),
+            lambda i: F.conv(F.substr(padded, i * LIMB + 1, F.lit(LIMB)), 16, 10).cast("double"),
+        )
+        return F.aggregate(limbs, F.lit(0.0), lambda acc, v: acc * float(2**64) + v)
+
     width = (F.ceil(F.length(digits) / LIMB) * LIMB).cast("int")
-    padded = F.lpad(digits, width, "0")
-    limbs = F.transform(
-        F.sequence(F.lit(0), (width / LIMB).cast("int") - 1),
-        lambda i: F.conv(F.substr(padded, i * LIMB + 1, F.lit(LIMB)), 16, 10).cast("double"),
-    )
-    value = F.aggregate(limbs, F.lit(0.0), lambda acc, v: acc * float(2**64) + v)
-    return F.when(F.length(digits) > 0, value).otherwise(F.lit(0.0))
+    return F.when(F.length(digits) > 0, bind(F.lpad(digits, width, "0"), combine)).otherwise(F.lit(0.0))
 
 
 def number(text: Column) -> Column:

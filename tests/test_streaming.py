@@ -1,6 +1,7 @@
 import tempfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapevigil.operators import alerts, features, rolling, trades
@@ -17,10 +18,10 @@ def feed(spark, sf):
     state.enable_state_store(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    def make(df):
+    def make(df, files=4):
         path = tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
-        cut = df.withColumn("__p", F.ntile(4).over(__import__("pyspark").sql.Window.orderBy("ts_ms")))
-        for i in range(1, 5):
+        cut = df.withColumn("__p", F.ntile(files).over(Window.orderBy("ts_ms")))
+        for i in range(1, files + 1):
             cut.where(F.col("__p") == i).drop("__p").coalesce(1).write.mode("append").parquet(path)
         return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
 
@@ -68,26 +69,26 @@ def test_flushed_buckets_match_batch(spark, sf, feed):
 
 def test_window_dedup_and_join(spark, sf, feed):
     t = v.trades(spark, sf)
-    got = drain(windows.volume_buckets(feed(t), "1 hour", "1 minute"), "tumbling").count()
+    got = drain(windows.volume_buckets(feed(t, 2), "1 hour", "1 minute"), "tumbling").count()
     assert 0 < got <= trades.volume_buckets(t, HOUR).count()
-    assert drain(windows.first_seen(feed(t.select("symbol", "ts_ms")), ["symbol"], "60 days"), "firsts").count() == 5
+    assert drain(windows.first_seen(feed(t.select("symbol", "ts_ms"), 2), ["symbol"], "60 days"), "firsts").count() == 5
     posts = t.select(F.col("symbol").alias("ticker"), "ts_ms", F.col("size").alias("sentiment"))
-    assert drain(windows.sliding_mentions(feed(posts), "6 hours", "1 hour", "1 minute"), "slides").count() > 0
+    assert drain(windows.sliding_mentions(feed(posts, 2), "6 hours", "1 hour", "1 minute"), "slides").count() > 0
     money = t.select("trade_id", "ts_ms", (F.col("size") * 1000).alias("usd_value"), F.lit("inflow").alias("direction"))
     flows = t.where("trade_id % 3 = 0").select("ts_ms", (F.col("size") * 1000).alias("usd_value"), F.lit("b").alias("bridge"))
-    joined = drain(windows.bridge_candidates(feed(money), feed(flows), 86_400), "joined")
+    joined = drain(windows.bridge_candidates(feed(money, 1), feed(flows, 1), 86_400), "joined")
     assert joined.where("flow_ms > ts_ms or size_ratio < 0.75").count() == 0 and joined.count() > 0
 
 
 def test_score_stream_matches_batch_state(spark, sf, feed):
     e = v.market_events(spark, sf)
     out, ckpt = (tempfile.mkdtemp(prefix="run-score-", dir="/tmp") for _ in range(2))
-    scoring.score_stream(feed(e), out, ckpt).awaitTermination()
+    scoring.score_stream(feed(e, 2), out, ckpt).awaitTermination()
     rows = spark.read.parquet(out)
     assert rows.count() > 0 and rows.where("score < 0 or score > 100").count() == 0
-    latest = drain(state.latest_observations(feed(e)), "latest")
+    latest = drain(state.latest_observations(feed(e, 2)), "latest")
     last = latest.groupBy("asset").agg(F.max("at_ms").alias("at_ms"))
-    for asset, at in [(r.asset, r.at_ms) for r in last.collect()]:
+    for asset, at in [(r.asset, r.at_ms) for r in last.orderBy("asset").limit(2).collect()]:
         vec = features.vectors_from_state(latest.where((F.col("asset") == asset) & (F.col("at_ms") == at)))
         want = features.features_at(e, at).where(F.col("asset") == asset)
         a, b = vec.first(), want.first()
