@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import tapevigil
 from tapevigil.plans.views import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,11 +18,23 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if getattr(context, "tapevigil_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(tapevigil.__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="run-package-", dir="/tmp"), "tapevigil")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "tapevigil"))
+    context.tapevigil_shipped = True
+
+
 def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     """Register a query under `name`, with equivalent SQL when there is one."""
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return rounded(fn(spark, sf), digits)
 

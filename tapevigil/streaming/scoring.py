@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tapevigil.operators.features import TTL_MS, informative, vectors_from_state
 from tapevigil.operators.forest import ForestModel
 from tapevigil.operators.scoring import score_vectors, signals
+from tapevigil.plans.storage import settle
 from tapevigil.streaming.state import latest_observations
 
 
@@ -30,7 +31,8 @@ def score_stream(events: DataFrame, out_path: str, checkpoint: str, model: Fores
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is retried after a failure overwrites its own folder.
-        score_batch(batch, model).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        # Scoring reads the batch several times; the stateful stage must run once.
+        score_batch(settle(batch), model).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     writer = latest_observations(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -222,6 +222,7 @@ class LatestPerAsset(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _batch(rows, ["ts_ms", "event_id"])
         epoch, inflow, outflow, bridge, hits = self.totals.get() if self.totals.exists() else (None, 0.0, 0.0, 0.0, 0)
+        fresh = {}
         for r in pdf.to_dict("records"):
             now = -(-int(r["ts_ms"]) // self.tick_ms) - 1
             if epoch is not None and now > epoch:
@@ -234,8 +235,11 @@ class LatestPerAsset(StatefulProcessor):
                 hits += int(r["hit"])
             elif r["metric"] == "bridge_flow":
                 bridge += r["usd"]
-            self.latest.updateValue((f"{r['metric']}|{r['venue']}",), tuple(
-                None if v is None or v != v else v for v in (r[f] for f in self.fields)))
+            fresh[f"{r['metric']}|{r['venue']}"] = tuple(
+                None if v is None or v != v else v for v in (r[f] for f in self.fields))
+        # One state write per series and batch.
+        for series, row in fresh.items():
+            self.latest.updateValue((series,), row)
         self.totals.update((int(epoch), inflow, outflow, bridge, int(hits)))
         at = int(pdf["ts_ms"].iloc[-1])
         kept = []
