@@ -6,6 +6,7 @@ the state store; sessions need the RocksDB state store provider.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,13 +217,14 @@ class LatestPerAsset(StatefulProcessor):
         self.fields = [f.split()[0] for f in LATEST_COLUMNS.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getMapState("latest", "series string", LATEST_COLUMNS)
+        # One small JSON object per asset: a handful of series, read and written once per batch.
+        self.latest = handle.getValueState("latest", "series string")
         self.totals = handle.getValueState("totals", "epoch bigint, inflow double, outflow double, bridge double, hits bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _batch(rows, ["ts_ms", "event_id"])
         epoch, inflow, outflow, bridge, hits = self.totals.get() if self.totals.exists() else (None, 0.0, 0.0, 0.0, 0)
-        fresh = {}
+        fresh = json.loads(self.latest.get()[0]) if self.latest.exists() else {}
         for r in pdf.to_dict("records"):
             now = -(-int(r["ts_ms"]) // self.tick_ms) - 1
             if epoch is not None and now > epoch:
@@ -237,17 +239,15 @@ class LatestPerAsset(StatefulProcessor):
                 bridge += r["usd"]
             fresh[f"{r['metric']}|{r['venue']}"] = tuple(
                 None if v is None or v != v else v for v in (r[f] for f in self.fields))
-        # One state write per series and batch.
-        for series, row in fresh.items():
-            self.latest.updateValue((series,), row)
         self.totals.update((int(epoch), inflow, outflow, bridge, int(hits)))
         at = int(pdf["ts_ms"].iloc[-1])
         kept = []
-        for series, row in list(self.latest.iterator()):
+        for series, row in list(fresh.items()):
             if at - row[2] > self.ttl_ms:
-                self.latest.removeKey(series)
+                del fresh[series]
             else:
                 kept.append((key[0], at, *row, inflow, outflow, bridge, int(hits)))
+        self.latest.update((json.dumps(fresh),))
         yield pd.DataFrame(kept, columns=["asset", "at_ms", *self.fields, "in_usd", "out_usd", "bridge_usd", "hits"])
 
     def close(self) -> None:
