@@ -145,7 +145,8 @@ def epochs(tick: Column, decay_every: int) -> Column:
     return F.floor((tick - 1) / decay_every).cast("bigint")
 
 
-def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: int) -> DataFrame:
+def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: int,
+              extra: Sequence[Column] = ()) -> DataFrame:
     """Aggregate valid observations per (asset, at_ms) into raw feature inputs.
 
     A row is one series' latest observation at `at_ms`; expired rows are ignored.
@@ -187,6 +188,7 @@ def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: in
         only("social_sentiment", "value").alias("sentiment"),
         only("bot_farm", "value").alias("farm"),
         F.max("ts_ms").alias("last_update_ms"),
+        *extra,
     )
 
 
@@ -227,7 +229,7 @@ def _vector(inputs: DataFrame) -> DataFrame:
         "sentiment_abs": F.abs(unit("sentiment")),
         "bot_farm_score": unit("farm", 0.0),
     }
-    return with_neutral(inputs, known, [
+    shaped = [
         F.col("asset"),
         F.col("at_ms").alias("ts_ms"),
         exchange.alias("exchange_fresh"),
@@ -235,7 +237,10 @@ def _vector(inputs: DataFrame) -> DataFrame:
         social.alias("social_fresh"),
         coverage.alias("coverage"),
         F.col("last_update_ms"),
-    ])
+    ]
+    features = [known[f].alias(f) for f in FEATURES]
+    # The generator keeps later filters on features from being rewritten over the inputs.
+    return inputs.select(F.inline(F.array(F.struct(*shaped, *features))))
 
 
 def features_at(events: DataFrame, at_ms: int, ttl_ms: int = TTL_MS, tick_ms: int = 5_000,
@@ -253,11 +258,8 @@ def features_at(events: DataFrame, at_ms: int, ttl_ms: int = TTL_MS, tick_ms: in
 
 def vectors_from_state(state: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """Vectors from rows that carry each asset's latest observations and flow totals (streaming state)."""
-    totals = state.groupBy("asset", "at_ms").agg(
-        *[F.max(c).alias(c) for c in ("in_usd", "out_usd", "bridge_usd", "hits")]
-    )
-    inputs = _assemble(state, ttl_ms, HALF_LIFE_S, CONCURRENT_MS)
-    return _vector(inputs.join(totals, ["asset", "at_ms"]))
+    totals = [F.max(c).alias(c) for c in ("in_usd", "out_usd", "bridge_usd", "hits")]
+    return _vector(_assemble(state, ttl_ms, HALF_LIFE_S, CONCURRENT_MS, totals))
 
 
 def age_totals(totals: DataFrame, epoch_now: Column, factor: float) -> DataFrame:
