@@ -1,7 +1,76 @@
-"""Corpus pipeline: language ID, line dedup, near duplicates, source mix, token ids."""
-STAGES = []
+"""Corpus pipeline over documents: what a training corpus goes through, as five stages.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir), works on
+every row of docs and returns what it keeps, with all columns of docs but for
+the last stage. Nulls, empty and long texts, repeated rows and further columns
+are handled as the operators' modules state; an empty table stays empty.
+
+1. language: documents with no letters, or unlike every language, go.
+2. lines: lines of recurring templates go from the texts; n_chars follows.
+3. near duplicates: one document of each group linked by similarity stays.
+4. mix: rows are left out or repeated until sources have their target weights.
+5. tokens: ids of each row's text, and the digest of the bytes they decode to.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapevigil.llm import bpe, jaccard, langid, linededup, mixing
+from tapevigil.llm.common import stored
+from tapevigil.llm.queries import tokenizer
+from tapevigil.plans.registry import ship
+
+#: Cosine with the nearest language below which a text is like none of them.
+LEAST_SCORE = 0.02
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    ship(spark)
+    told = langid.predict(F.col("text"), langid.fit(docs.filter("doc_id IS NOT NULL")))
+    names = docs.columns
+    judged = docs.select(F.struct("*").alias("row"), told.alias("told"))
+    kept = judged.filter((F.col("told.lang_pred") != langid.UNKNOWN) & (F.col("told.score") >= LEAST_SCORE))
+    return kept.select(*[F.col("row").getField(n).alias(n) for n in names])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their lines of recurring templates."""
+    out = linededup.deduplicated(docs)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[changed.get(n, F.col("row").getField(n)).alias(n) for n in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group."""
+    ship(spark)
+    return jaccard.distinct_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of every row; ids are packed 32-bit integers."""
+    ship(spark)
+    ranks, pattern = tokenizer()
+    ids = docs.select("doc_id", "lang", "source", bpe.encode(spark, F.col("text"), ranks, pattern).alias("ids"))
+    raw = ids.withColumn("raw", bpe.decode(spark, F.col("ids"), ranks, pattern))
+    return raw.select("doc_id", "lang", "source", bpe.token_count(F.col("ids")).alias("n_tokens"), "ids", F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_jaccard", near_duplicates), ("source_mix", mix), ("byte_bpe", tokens)]
+
+#: Language ID and similarity can't be told in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapevigil.llm import bpe, langid, mixing, tokencount, urlfilter
+from tapevigil.llm import bpe, embdedup, hamming, jaccard, langid, linededup, mixing, substring, tokencount, urlfilter
 from tapevigil.llm.common import stored
 from tapevigil.plans.registry import ship
 
@@ -55,6 +55,26 @@ def language_id(spark, sf):
     return found.select("doc_id", "held_out", "p.lang_pred", F.round("p.score", 9).alias("score"))
 
 
+@query("op2_line_dedup", linededup.SQL)
+def line_dedup(spark, sf):
+    """Lines of recurring templates, removed from every document."""
+    out = linededup.deduplicated(table(spark, sf, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_substring_dedup")
+def substring_dedup(spark, sf):
+    """Words in repeated windows, removed from every document."""
+    out = substring.deduplicated(table(spark, sf, "documents"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_ngram_jaccard")
+def ngram_jaccard(spark, sf):
+    """Class and number of links of every document, word 5-grams, similarity 0.8 or more."""
+    return jaccard.joined(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 @query("op5_url_filter")
 def url_filter(spark, sf):
     """Verdict on every page's URL; the trees learn from the URLs that the rules label."""
@@ -75,6 +95,14 @@ def byte_bpe(spark, sf):
     )
 
 
+@query("op7_hamming_search", hamming.SQL)
+def hamming_search(spark, sf):
+    """The 10 nearest sign codes of every vector whose id is divisible by 50, among all vectors."""
+    codes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    found = hamming.search(codes, codes.filter("id % 50 = 0"))
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+
+
 @query("op8_token_counts")
 def token_counts(spark, sf):
     """Unigram token counts of every document."""
@@ -83,6 +111,12 @@ def token_counts(spark, sf):
     return counted.select("doc_id", "c.n_tokens", "c.n_pretokens")
 
 
+@query("op9_embedding_dedup")
+def embedding_dedup(spark, sf):
+    """Links, component and kept flag of every vector, cosine 0.93 or more within a label."""
+    return embdedup.linked(table(spark, sf, "embeddings"))
+
+
 @query("op10_source_mix", mixing.SQL)
 def source_mix(spark, sf):
     """Words that the mix takes of every document."""
