@@ -140,7 +140,7 @@ def predict(text: Column, prototypes: dict[str, list[int]]) -> Column:
     @F.pandas_udf("lang_pred string, score double, margin double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder()
-        known = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), -1)
+        known = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
         if names:
             known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)
         for texts in batches:
