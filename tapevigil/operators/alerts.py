@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import score_rank, text
 from tapevigil.operators.folds import cooldown_gate
-from tapevigil.operators.series import DEFAULT_BLOCK_MS
+from tapevigil.operators.ranks import quantiles
+from tapevigil.operators.series import DEFAULT_BLOCK_MS, on_keys
 
 ALERT_KEYS = ["asset_pair", "venue"]
 ALERT_ORDER = ["ts_ms", "signal_id"]
@@ -27,8 +28,8 @@ def route_alerts(signals: DataFrame, min_score: float = 80.0, cooldown_ms: int =
     """Decide for every signal whether it is sent, and why.
 
     Per (asset, venue) the first alert goes out, then one of higher severity than
-    the last sent, or one a cooldown after it. Signals below min_score do not
-    touch that state.
+    the last sent, or one a cooldown after it. Signals below min_score, or without a
+    score, do not touch that state.
     """
     eligible = above_threshold(signals, min_score).withColumn("severity_rank", score_rank(F.col("score")))
     gated = cooldown_gate(eligible, ALERT_KEYS, ALERT_ORDER, cooldown_ms, rank="severity_rank",
@@ -44,7 +45,7 @@ def route_alerts(signals: DataFrame, min_score: float = 80.0, cooldown_ms: int =
         why.alias("reason_code"),
         F.col("gate_count").alias("alert_count"),
     )
-    below = signals.where(~(F.col("score") >= min_score)).select(
+    below = signals.where(~F.coalesce(F.col("score") >= min_score, F.lit(False))).select(
         *signals.columns, F.lit(False).alias("sent"), F.lit("below threshold").alias("reason"),
         F.lit("below").alias("reason_code"), F.lit(None).cast("bigint").alias("alert_count"),
     )
@@ -57,9 +58,9 @@ def dispatch_summary(routed: DataFrame, by: Sequence[str] = (*ALERT_KEYS, "reaso
     )
 
 
-def alert_history(sent: DataFrame, asset: str | None = None, n: int = 12, buffer: int = 200) -> DataFrame:
-    """Newest n of the newest `buffer` alerts, optionally of one asset."""
-    newest = sent.orderBy(*[F.desc(c) for c in ALERT_ORDER]).limit(buffer)
+def alert_history(sent: DataFrame, asset: str | None = None, n: int = 12, buffer: int | None = None) -> DataFrame:
+    """Newest n alerts, optionally of one asset and only of the newest `buffer` of all assets."""
+    newest = sent if buffer is None else sent.orderBy(*[F.desc(c) for c in ALERT_ORDER]).limit(buffer)
     chosen = newest if asset is None else newest.where(F.col("asset_pair") == asset)
     return chosen.orderBy(*[F.desc(c) for c in ALERT_ORDER]).limit(n)
 
@@ -116,10 +117,10 @@ def baseline_table(scored: DataFrame, label: str = "label") -> DataFrame:
 
 def scenario_table(scored: DataFrame, scenario: str = "scenario") -> DataFrame:
     """Mean, interpolated p10/p90 and share at or above 80 per scenario."""
-    return scored.groupBy(scenario).agg(
+    means = scored.groupBy(scenario).agg(
         F.avg("score").alias("mean_score"),
-        F.percentile("score", 0.1).alias("p10"),
-        F.percentile("score", 0.9).alias("p90"),
         F.avg((F.col("score") >= 80).cast("double")).alias("share_80"),
         F.count(F.lit(1)).alias("n"),
     )
+    ranks = quantiles(scored, [scenario], "score", {"p10": 0.1, "p90": 0.9}).drop("n")
+    return on_keys(means, ranks, [scenario], "left").select(scenario, "mean_score", "p10", "p90", "share_80", "n")

@@ -274,7 +274,7 @@ def scan_statistics(tickers: DataFrame, quotes: Sequence[str] = QUOTES,
 
 def movers(tickers: DataFrame, limit: int = 15, **params) -> DataFrame:
     """Largest absolute moves across venues, each scan judged without history."""
-    limit = max(1, min(limit, 30))
+    limit = max(1, limit)
     found = discover(tickers, max_symbols=limit, history=False, **params)
     ranked = Window.partitionBy("scan").orderBy(F.desc(F.abs("change_pct")), "venue", "symbol")
     return found.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= limit)

@@ -20,6 +20,7 @@ from tapevigil.operators.series import (
     DEFAULT_BLOCK_MS,
     POS,
     block_of,
+    on_keys,
     row_chunks,
     row_index,
     spread,
@@ -77,7 +78,7 @@ def chunk_fold(
             out[name] = values
         return out
 
-    return chunked.join(states, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(run, schema)
+    return on_keys(chunked, states, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(run, schema)
 
 
 # --- change points -----------------------------------------------------------

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from tapevigil.functions.scalars import clamp
 from tapevigil.operators.series import spread
 from tapevigil.operators.features import feature_array, informative
+from tapevigil.operators.ranks import quantiles
 from tapevigil.plans.storage import settle
 from tapevigil.schemas import FEATURES
 from tapevigil.sources.posts import finite_or_zero
 
 NODE_DDL = "tree int, node int, feature int, threshold double, path double"
-EXACT_MEDIAN_ROWS = 1_000_000
 SLAB = 8192
 EULER = 0.5772156649015329
 
@@ -103,12 +103,17 @@ def clean_features(vectors: DataFrame) -> DataFrame:
 
 
 def robust_scaler(vectors: DataFrame) -> tuple[int, list[float], list[float]]:
-    """Row count, medians and 1.4826 x MAD (1 where negligible), in two aggregations."""
+    """Row count, medians and 1.4826 x MAD (1 where negligible), by exact rank selection."""
     n = vectors.count()
-    mid = F.median if n <= EXACT_MEDIAN_ROWS else (lambda c: F.percentile_approx(c, 0.5, 1_000_000))
-    center = [float(v or 0.0) for v in vectors.agg(*[mid(F.col(f)) for f in FEATURES]).first()]
-    mads = vectors.agg(*[mid(F.abs(F.col(f) - c)) for f, c in zip(FEATURES, center)]).first()
-    scale = [float(m or 0.0) * 1.4826 for m in mads]
+    long = vectors.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in FEATURES])).alias("__f", "__x"))
+
+    def medians(rows: DataFrame) -> list[float]:
+        found = {r["__f"]: r["mid"] for r in quantiles(rows, ["__f"], "__x", {"mid": 0.5}).collect()}
+        return [float(found.get(i) or 0.0) for i in range(len(FEATURES))]
+
+    center = medians(long)
+    middle = F.element_at(F.array(*map(F.lit, center)), F.col("__f") + 1)
+    scale = [m * 1.4826 for m in medians(long.withColumn("__x", F.abs(F.col("__x") - middle)))]
     return n, center, [s if s >= 1e-8 else 1.0 for s in scale]
 
 
@@ -192,12 +197,16 @@ def fit(vectors: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
     nodes = grow_trees(rows, center, scale, size, seed)
     model = _pack(nodes, trees, width, size, center, scale, (0.0, 0.0), n)
     raw = data.select(raw_scores(model, feature_array()).alias("raw"))
-    p50, p01 = raw.agg(F.percentile("raw", F.array(F.lit(0.5), F.lit(0.01))) if n <= EXACT_MEDIAN_ROWS
-                       else F.percentile_approx("raw", [0.5, 0.01], 1_000_000)).first()[0]
-    model.calibration = (float(p50), float(p01))
+    model.calibration = calibration(raw, "raw")
     return model
 
 
+def calibration(rows: DataFrame, raw: str) -> tuple[float, float]:
+    """Exact median and first percentile of the raw scores."""
+    found = quantiles(rows, [], raw, {"p50": 0.5, "p01": 0.01}).first()
+    return float(found["p50"]), float(found["p01"])
+
+
 def raw_scores(model: ForestModel, values: Column) -> Column:
     """-2^(-mean depth / c(sample)) for an array of the twenty features; lower is stranger."""
     feature, threshold, path = model.feature, model.threshold, model.path

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tapevigil.functions import kernels
 from tapevigil.functions.scalars import log1p_pos
+from tapevigil.operators.ranks import order_statistics
 from tapevigil.operators.series import (
     CHUNK,
     DEFAULT_BLOCK_MS,
@@ -19,6 +20,7 @@ from tapevigil.operators.series import (
     HALO,
     POS,
     fill_forward,
+    on_keys,
     row_chunks,
     row_index,
     spread,
@@ -35,7 +37,7 @@ def rolling_window(
     order: Sequence[str],
     value: str,
     window_ms: int = 300_000,
-    max_samples: int = 20_000,
+    max_samples: int | None = None,
     ts: str = "ts_ms",
     prefix: str = "w_",
     chunk_ms: int | None = None,
@@ -43,7 +45,7 @@ def rolling_window(
     """Count, sum, mean, sample variance, std and first time of the trailing window.
 
     The frame holds rows no later in `order` than the current one, at most
-    `window_ms` older, and the newest `max_samples` of those. Each row enters the
+    `window_ms` older, and only the newest `max_samples` of those where that is given. Each row enters the
     frame once and leaves it once, so the cost is a sort per chunk instead of a
     rescan of the frame per row. Values are taken relative to the chunk's first
     value to keep the variance stable.
@@ -54,15 +56,20 @@ def rolling_window(
         chunked.withColumn("__rn", F.row_number().over(inside))
         .withColumn("__c", F.first(value).over(inside))
         .withColumn("__next_ts", F.lead(ts, 1).over(inside))
-        .withColumn("__cap_ts", F.lead(ts, max_samples).over(inside))
     )
-    leaves_by_count = F.col("__cap_ts").isNotNull() & (F.col("__cap_ts") <= F.col(ts) + window_ms)
+    by_time = F.col(ts) + window_ms
+    leaves = by_time, F.lit(1e18)
+    if max_samples is not None:
+        rows = rows.withColumn("__cap_ts", F.lead(ts, max_samples).over(inside))
+        by_count = F.coalesce(F.col("__cap_ts") <= by_time, F.lit(False))
+        leaves = (F.when(by_count, F.col("__cap_ts")).otherwise(by_time),
+                  F.when(by_count, F.col("__rn") + (max_samples - 0.5)).otherwise(1e18))
     enter = F.struct(
         F.col(ts).alias("t"), F.col("__rn").cast("double").alias("pos"), F.lit(1).alias("sign")
     )
     leave = F.struct(
-        F.when(leaves_by_count, F.col("__cap_ts")).otherwise(F.col(ts) + window_ms).alias("t"),
-        F.when(leaves_by_count, F.col("__rn") + (max_samples - 0.5)).otherwise(1e18).alias("pos"),
+        leaves[0].alias("t"),
+        leaves[1].alias("pos"),
         F.lit(-1).alias("sign"),
     )
     swept = rows.withColumn("__e", F.explode(F.array(enter, leave)))
@@ -228,7 +235,7 @@ def _score(df, keys, order, value, ts, half_life_s, window, warmup, log_space, z
     use_ewma, use_robust = bool(kinds & {"ewma", "blend"}), bool(kinds & {"robust", "blend"})
     if use_ewma:
         state = _ewma_carry(chunked, keys, ts, half_life_s, chunk_rows)
-        chunked = chunked.join(state, [*keys, CHUNK], "left")
+        chunked = on_keys(chunked, state, [*keys, CHUNK], "left")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, kind="stable")
@@ -293,26 +300,17 @@ def adaptive_threshold(df, keys, order, z="z", base=3.0, out="threshold", keep=2
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], ms: str, order: Sequence[str],
-                    budget_ms: float = 200.0, keep: int = 2048) -> DataFrame:
-    """Nearest-rank percentiles over the newest `keep` samples; breaches over all of them."""
-    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    # The rank filter prunes map-side first, so a hot key never ships more than `keep` rows.
-    recent = df.withColumn("__rk", F.row_number().over(newest)).where(F.col("__rk") <= keep)
-    sorted_ms = recent.groupBy(*keys).agg(F.sort_array(F.collect_list(ms)).alias("__s"))
-    n = F.size("__s")
+                    budget_ms: float = 200.0, keep: int | None = None) -> DataFrame:
+    """Nearest-rank percentiles and breaches of all samples, or of the newest `keep` of each key."""
+    if keep is not None:
+        newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+        # The rank filter prunes map-side first, so a hot key never ships more than `keep` rows.
+        df = df.withColumn("__rk", F.row_number().over(newest)).where(F.col("__rk") <= keep)
 
-    def pick(q: float) -> Column:
-        return F.round(F.element_at("__s", F.greatest(F.lit(1), F.ceil(F.lit(q) * n).cast("int"))), 2)
+    def nearest(q: float):
+        return lambda n: F.greatest(F.lit(1), F.ceil(F.lit(q) * n))
 
+    found = order_statistics(df, keys, ms, {"p50": nearest(0.50), "p95": nearest(0.95), "p99": nearest(0.99), "max": lambda n: n})
     breaches = df.groupBy(*keys).agg(F.count_if(F.col(ms) > budget_ms).alias("breaches"))
-    return (
-        sorted_ms.select(
-            *keys,
-            n.cast("bigint").alias("count"),
-            pick(0.50).alias("p50"),
-            pick(0.95).alias("p95"),
-            pick(0.99).alias("p99"),
-            F.round(F.element_at("__s", -1), 2).alias("max"),
-        )
-        .join(breaches, list(keys))
-    )
+    return on_keys(found, breaches, keys).select(
+        *keys, F.col("n").alias("count"), *[F.round(c, 2).alias(c) for c in ("p50", "p95", "p99", "max")], "breaches")

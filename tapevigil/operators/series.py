@@ -10,7 +10,8 @@ key into blocks and move only per-block summaries between them:
   precede the chunk, for "previous k rows" frames;
 * time chunks  - spans of time plus a halo, for "previous w milliseconds" frames.
 
-Every helper is lazy and returns exactly what the unblocked window would.
+Every helper is lazy and returns exactly what the unblocked window would, rows with
+NULL keys included: they are one key.
 """
 
 from __future__ import annotations
@@ -49,6 +50,16 @@ def _cols(names: Iterable[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+            extra: Column | None = None) -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the result has left's keys once."""
+    named = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True) if extra is None else extra
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(named, same, how).drop(*[f"__k_{k}" for k in keys])
+
+
 def plan_block_ms(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000) -> int:
     """Measure the hottest key and pick a block width holding about target_rows of it."""
     hot = (
@@ -99,7 +110,7 @@ def running(
     rows = blocked
     for out in sums:
         rows = rows.withColumn(out, F.sum(f"__v_{out}").over(inside))
-    rows = rows.join(carry, [*keys, BLK])
+    rows = on_keys(rows, carry, [*keys, BLK])
     for out in sums:
         rows = rows.withColumn(out, F.col(out) + F.col(f"__c_{out}"))
     return rows.drop(BLK, *[f"__v_{o}" for o in sums], *[f"__c_{o}" for o in sums])
@@ -127,8 +138,7 @@ def row_index(
     )
     inside = Window.partitionBy(*keys, BLK).orderBy(*order)
     return (
-        blocked.withColumn(out, F.row_number().over(inside))
-        .join(base, [*keys, BLK])
+        on_keys(blocked.withColumn(out, F.row_number().over(inside)), base, [*keys, BLK])
         .withColumn(out, (F.col(out) + F.col("__base")).cast("bigint"))
         .drop(BLK, "__base")
     )
@@ -153,8 +163,7 @@ def with_previous(
     carry = tails.select(*keys, BLK, F.lag("__tail").over(across).alias("__carry"))
     inside = Window.partitionBy(*keys, BLK).orderBy(*order)
     out = (
-        blocked.withColumn("__prev", F.lag("__row").over(inside))
-        .join(carry, [*keys, BLK])
+        on_keys(blocked.withColumn("__prev", F.lag("__row").over(inside)), carry, [*keys, BLK])
         .withColumn("__prev", F.coalesce("__prev", "__carry"))
     )
     for name in fields:
@@ -186,8 +195,7 @@ def fill_forward(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        blocked.withColumn(out, F.last(column, ignorenulls=True).over(inside))
-        .join(carry, [*keys, BLK])
+        on_keys(blocked.withColumn(out, F.last(column, ignorenulls=True).over(inside)), carry, [*keys, BLK])
         .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))
         .drop(BLK, "__carry")
     )

@@ -8,17 +8,19 @@ are thinned to one row per (ticker, tick) before any window runs.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import clamp, sentiment_label, text
 from tapevigil.functions.text import fingerprint
+from tapevigil.operators.cells import blocked, celled, cells, similar
 from tapevigil.operators.rolling import dynamic_z
-from tapevigil.operators.series import spread
+from tapevigil.operators.series import on_keys, spread
 from tapevigil.plans.storage import settle
 
 KEYS = ["ticker"]
@@ -177,41 +179,41 @@ def age_cohorts(windowed: DataFrame, max_age_days: float = 30.0, need: int = 4)
     return spread(ages, *GROUP).groupBy(*GROUP).applyInPandas(densest, schema)
 
 
-def duplicate_ratio(posts: DataFrame, sample: int = 120, min_jaccard: float = 0.6) -> DataFrame:
-    """Share of near-duplicate pairs among the newest `sample` posts per (ticker, evaluation).
+def duplicate_ratio(posts: DataFrame, sample: int | None = None, min_jaccard: float = 0.6) -> DataFrame:
+    """Share of near-duplicate pairs among all posts per (ticker, evaluation), or the newest `sample` of each.
 
-    The rank filter prunes before the shuffle, so a group is never larger than
-    `sample`; overlaps are one small matrix product per group, no pairs are listed.
+    Equal fingerprints are counted first; the different ones are compared in cells
+    of bounded size, which put out sums and no pairs.
     """
-    newest = Window.partitionBy(*GROUP).orderBy(F.desc("ts_ms"), F.desc("post_id"))
-    recent = posts.withColumn("__rk", F.row_number().over(newest)).where(F.col("__rk") <= sample)
-    prints = recent.select(*GROUP, F.transform(fingerprint(F.col("text")), lambda s: F.xxhash64(s)).alias("__p"))
-    lists = prints.where(F.size("__p") > 0).groupBy(*GROUP).agg(F.collect_list("__p").alias("__ps"))
-
-    @F.pandas_udf("double")
-    def ratio(groups: pd.Series) -> pd.Series:
-        return pd.Series([_near_pairs(g, min_jaccard) for g in groups])
-
     seen = posts.select(*GROUP).distinct()
-    return seen.join(lists, GROUP, "left").select(
-        *GROUP, F.coalesce(F.when(F.size("__ps") >= 3, ratio("__ps")), F.lit(0.0)).alias("duplicate_ratio")
+    if sample is not None:
+        newest = Window.partitionBy(*GROUP).orderBy(F.desc("ts_ms"), F.desc("post_id"))
+        posts = posts.withColumn("__rk", F.row_number().over(newest)).where(F.col("__rk") <= sample)
+    prints = posts.select(*GROUP, F.array_sort(F.transform(fingerprint(F.col("text")), lambda s: F.xxhash64(s))).alias("prints"))
+    counted = settle(prints.where(F.size("prints") > 0).groupBy(*GROUP, "prints").agg(F.count(F.lit(1)).alias("n")))
+
+    def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches, (*GROUP, "a", "b")):
+            lists = cell["prints"].combine_chunks()
+            own, n = np.asarray(cell["own"]), np.asarray(cell["n"]).astype(float)
+            near = similar([np.asarray(lists[i].values) for i in range(len(lists))], min_jaccard)
+            if cell["a"][0] != cell["b"][0]:
+                near &= own[:, None] != own[None, :]
+            if near.any():
+                pairs = pa.array([float(n @ near @ n) / 2])
+                yield pa.RecordBatch.from_arrays([cell[k].combine_chunks()[:1] for k in GROUP] + [pairs], names=[*GROUP, "pairs"])
+
+    places = [*GROUP, "a", "b"]
+    dealt = celled(blocked(counted, GROUP), "prints").repartition(*places).sortWithinPartitions(*places)
+    near = dealt.mapInArrow(near_pairs, "ticker string, eval_ms bigint, pairs double").groupBy(*GROUP).agg(F.sum("pairs").alias("near"))
+    n = F.col("n")
+    sizes = counted.groupBy(*GROUP).agg(F.sum("n").alias("posts"), F.sum(n * (n - 1) / 2).alias("same"))
+    share = (F.col("same") + F.coalesce("near", F.lit(0.0))) / (F.col("posts") * (F.col("posts") - 1) / 2)
+    return on_keys(on_keys(seen, sizes, GROUP, "left"), near, GROUP, "left").select(
+        *GROUP, F.coalesce(F.when(F.col("posts") >= 3, share), F.lit(0.0)).alias("duplicate_ratio")
     )
 
 
-def _near_pairs(prints, min_jaccard: float) -> float:
-    n = len(prints)
-    if n < 3:
-        return 0.0
-    sizes = np.array([len(p) for p in prints])
-    _, ids = np.unique(np.concatenate([np.asarray(p) for p in prints]), return_inverse=True)
-    table = np.zeros((n, ids.max() + 1), dtype=np.float32)
-    table[np.repeat(np.arange(n), sizes), ids] = 1.0
-    shared = table @ table.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    close = shared / union >= min_jaccard - 1e-7
-    return float(np.triu(close, 1).sum()) / (n * (n - 1) / 2)
-
-
 def cadence(posts: DataFrame) -> DataFrame:
     """1 - CV of the positive gaps between posts, clamped; 0 below six posts or four gaps."""
     counted = posts.groupBy(*GROUP, "ts_ms").agg(F.count(F.lit(1)).alias("n"))
@@ -302,7 +304,7 @@ def bot_farm_verdicts(windowed: DataFrame, mention_z: DataFrame | None = None, m
     cohorts = age_cohorts(windowed, max_age_days)
     authors = young_authors(windowed.withColumn("__limit", F.lit(float(max_age_days))))
     member = F.coalesce(F.col("age").between(F.col("age_lo"), F.col("age_hi")), F.lit(False))
-    flagged = settle(authors.join(cohorts, GROUP, "left").withColumn("member", member))
+    flagged = settle(on_keys(authors, cohorts, GROUP, "left").withColumn("member", member))
     totals = flagged.groupBy(*GROUP).agg(
         F.sum("author_posts").alias("posts"),
         F.count(F.lit(1)).alias("authors"),
@@ -312,22 +314,21 @@ def bot_farm_verdicts(windowed: DataFrame, mention_z: DataFrame | None = None, m
     ).withColumn("on_cohort", F.col("cohort_posts") >= max(6, min_posts // 2))
     totals = settle(totals)
     judged = settle(
-        windowed.join(totals.select(*GROUP, "on_cohort"), GROUP)
-        .join(flagged.where("member").select(*GROUP, "author_id", "member"), [*GROUP, "author_id"], "left")
-        .where(~F.col("on_cohort") | F.col("member").isNotNull())
-    )
-    measures = (
-        totals.join(age_variation(windowed).withColumnRenamed("age_cv", "__all_cv"), GROUP, "left")
-        .join(duplicate_ratio(judged), GROUP, "left")
-        .join(cadence(judged), GROUP, "left")
-        .join(follower_uniformity(judged), GROUP, "left")
-        .withColumn("age_cv", F.when(F.col("on_cohort") & F.col("cohort_cv").isNotNull(), F.col("cohort_cv"))
-                    .otherwise(F.col("__all_cv")))
+        on_keys(
+            on_keys(windowed, totals.select(*GROUP, "on_cohort"), GROUP),
+            flagged.where("member").select(*GROUP, "author_id", "member"), [*GROUP, "author_id"], "left",
+        ).where(~F.col("on_cohort") | F.col("member").isNotNull())
     )
+    measures = totals
+    for found in (age_variation(windowed).withColumnRenamed("age_cv", "__all_cv"), duplicate_ratio(judged),
+                  cadence(judged), follower_uniformity(judged)):
+        measures = on_keys(measures, found, GROUP, "left")
+    measures = measures.withColumn("age_cv", F.when(
+        F.col("on_cohort") & F.col("cohort_cv").isNotNull(), F.col("cohort_cv")).otherwise(F.col("__all_cv")))
     if mention_z is None:
         measures = measures.withColumn("mention_z", F.lit(None).cast("double"))
     else:
-        measures = measures.join(mention_z, GROUP, "left")
+        measures = on_keys(measures, mention_z, GROUP, "left")
     return farm_score(measures, min_posts, max_age_days, age_cv_threshold, duplicate_threshold)
 
 

@@ -25,7 +25,7 @@ rt as (
   from rt r join el e on e.asset_pair = r.asset_pair and e.venue = r.venue and e.rn = r.rn + 1,
        lateral (select e.rk > r.last_rk or e.ts_ms - r.last >= {DAY} as ok) l),
 routed as (select asset_pair, venue, signal_id, sent, code as reason_code, cnt as alert_count from rt
-           union all select asset_pair, venue, signal_id, false, 'below', null from signals where not score >= 60)"""
+           union all select asset_pair, venue, signal_id, false, 'below', null from signals where not coalesce(score >= 60, false))"""
 
 
 def _routed(spark, sf):
@@ -50,7 +50,7 @@ def dispatch_summary(spark, sf):
 
 
 @query("alert_history", with_views("signals", body=_ROUTE + """
-select signal_id, asset_pair from (select s.* from routed join signals s using (signal_id) where sent order by s.ts_ms desc, signal_id desc limit 200)
+select signal_id, asset_pair from (select s.* from routed join signals s using (signal_id) where sent)
 where asset_pair = 'CLICK' order by ts_ms desc, signal_id desc limit 12"""))
 def alert_history(spark, sf):
     return al.alert_history(_routed(spark, sf).where("sent"), "CLICK").select("signal_id", "asset_pair")

@@ -348,15 +348,14 @@ with p as (select quantile_cont(-value, 0.5) as p50, quantile_cont(-value, 0.01)
 select event_id, round(greatest(0e0, least(100e0, (p50 + value) / (p50 - p01) * 100)), 6) as ml_score from events, p""")
 def score_calibration(spark, sf):
     raw = v.table(spark, sf, "events").select("event_id", (-F.col("value")).alias("raw"))
-    p50, p01 = raw.agg(F.percentile("raw", F.array(F.lit(0.5), F.lit(0.01)))).first()[0]
-    return raw.select("event_id", forest.calibrated(F.col("raw"), p50, p01).alias("ml_score"))
+    return raw.select("event_id", forest.calibrated(F.col("raw"), *forest.calibration(raw, "raw")).alias("ml_score"))
 
 
 @query("anomaly_scores")
 def anomaly_scores(spark, sf):
-    """Isolation forest trained on the newest vectors, applied to all of them."""
+    """Isolation forest trained on all informative vectors, applied to all vectors."""
     vec = spread(v.vectors(spark, sf), "event_id")
-    model = forest.fit(forest.training_buffer(vec, order=("ts_ms", "event_id")), identity=["event_id"])
+    model = forest.fit(ft.informative(vec), identity=["event_id"])
     return forest.ml_scores(vec, model).select("event_id", "ml_score")
 
 

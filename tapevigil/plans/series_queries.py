@@ -309,7 +309,7 @@ def change_points(spark, sf):
 with recent as (
   select event_type, value, row_number() over (partition by event_type order by ts desc, event_id desc) as rk
   from events),
-s as (select event_type, list_sort(array_agg(value)) as l, count(*) as n from recent where rk <= 2048 group by 1)
+s as (select event_type, list_sort(array_agg(value)) as l, count(*) as n from recent group by 1)
 select event_type, n as count, round(l[cast(greatest(1, ceil(0.5 * n)) as int)], 2) as p50,
        round(l[cast(greatest(1, ceil(0.95 * n)) as int)], 2) as p95,
        round(l[cast(greatest(1, ceil(0.99 * n)) as int)], 2) as p99, round(l[n], 2) as max,

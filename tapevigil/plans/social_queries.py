@@ -157,7 +157,7 @@ def age_cohorts(spark, sf):
 def _dup_sql(src: str) -> str:
     return f"""
 dr as (select *, row_number() over (partition by ticker, eval_ms order by ts_ms desc, post_id desc) as rk from {src}),
-dw as (select ticker, eval_ms, post_id, regexp_extract_all(lower(text), '[a-z0-9$#]+') as ws from dr where rk <= 120),
+dw as (select ticker, eval_ms, post_id, regexp_extract_all(lower(text), '[a-z0-9$#]+') as ws from dr),
 dp as (select ticker, eval_ms, post_id, case when len(ws) < 3 then list_distinct(ws)
          else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end as f from dw),
 dd as (select a.ticker, a.eval_ms, count(*) as pairs, count(*) filter (len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))) >= 0.6) as dup

@@ -129,10 +129,10 @@ def pool_reserves(spark, sf) -> DataFrame:
 
 def posts(spark, sf) -> DataFrame:
     e, d = table(spark, sf, "events"), table(spark, sf, "documents")
-    return e.join(d, F.col("doc_id") == F.col("event_id") % 200).select(
+    return e.join(d, F.col("doc_id") == F.col("event_id")).select(
         F.col("event_id").alias("post_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author_id"),
-        F.substring("text", 1, 200).alias("text"),
+        "text",
         millis("ts").alias("ts_ms"),
         F.upper("event_type").alias("ticker"),
         (F.col("user_id") % 60 + 0.01 * (F.col("user_id") % 7)).alias("author_age_days"),
@@ -271,10 +271,10 @@ select concat(upper(event_type), '/WETH') as pool, epoch_us(ts) // 1000 as ts_ms
 from events""",
     "posts": """
 select event_id as post_id, concat('u', cast(user_id as varchar)) as author_id,
-       substr(text, 1, 200) as text, epoch_us(ts) // 1000 as ts_ms, upper(event_type) as ticker,
+       text, epoch_us(ts) // 1000 as ts_ms, upper(event_type) as ticker,
        user_id % 60 + 0.01e0 * (user_id % 7) as author_age_days,
        (user_id * 7) % 500 as author_followers
-from events join documents on doc_id = event_id % 200""",
+from events join documents on doc_id = event_id""",
     "texts": """
 select event_id as post_id, upper(event_type) as ticker, epoch_us(ts) // 1000 as ts_ms,
        concat('$', upper(event_type), ' ',
