@@ -44,15 +44,32 @@ def with_neutral(df: DataFrame, known: Mapping[str, Column], extra: Sequence[Col
     )
 
 
-def observations(events: DataFrame) -> DataFrame:
-    """Events that carry features, keyed by asset; venue is blank where it does not matter."""
+def is_urgent() -> Column:
+    """Whether an event is extreme enough for its asset to be scored at once."""
+    metric, zero = F.col("metric_type"), F.lit(0.0)
+    extreme = (
+        (F.abs(F.coalesce("normalized_z_score", zero)) >= 4.0)
+        | ((metric == "liquidity") & (F.abs("raw_value") >= 30))
+        | ((metric == "bot_farm") & (F.col("raw_value") >= 0.6))
+        | ((metric == "wallet_transfer") & (F.coalesce("usd_value", zero) >= 5_000_000))
+    )
+    return F.coalesce(extreme & (metric != "manipulation_score"), F.lit(False))
+
+
+def observations(events: DataFrame, with_urgent: bool = False) -> DataFrame:
+    """Events that carry features, keyed by asset; venue is blank where it does not matter.
+
+    with_urgent adds `urgent` and the urgent events of other metrics, whose metric is then blank.
+    """
     metric = F.col("metric_type")
     truthy = F.col("meta.bridge_precursor").isNotNull() & ~F.col("meta.bridge_precursor").isin(
         "", "null", "false", "{}"
     )
-    return events.where(metric.isin(*OBSERVED)).select(
+    observed = metric.isin(*OBSERVED)
+    urgent = [is_urgent().alias("urgent")] if with_urgent else []
+    return events.where(observed | is_urgent() if with_urgent else observed).select(
         base_asset(F.col("asset_pair")).alias("asset"),
-        metric.alias("metric"),
+        (F.when(observed, metric).otherwise("") if with_urgent else metric).alias("metric"),
         F.when(metric.isin(*EXCHANGE), F.col("venue")).otherwise("").alias("venue"),
         "ts_ms",
         "event_id",
@@ -66,6 +83,7 @@ def observations(events: DataFrame) -> DataFrame:
         F.coalesce("meta.acceleration", F.lit(0.0)).alias("acceleration"),
         F.coalesce("meta.direction", F.lit("")).alias("direction"),
         truthy.cast("int").alias("hit"),
+        *urgent,
     )
 
 

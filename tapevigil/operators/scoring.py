@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import clamp, layer, severity, text
+from tapevigil.operators.features import is_urgent
 from tapevigil.operators.forest import ForestModel, ml_scores
 from tapevigil.operators.rules import WEIGHTS, rule_scores, self_evident
 from tapevigil.schemas import FEATURES
@@ -76,14 +77,7 @@ def signals(scored: DataFrame, venue: str = "aggregate") -> DataFrame:
 
 def urgent_events(events: DataFrame) -> DataFrame:
     """Events extreme enough to be scored at once."""
-    metric = F.col("metric_type")
-    zero = F.lit(0.0)
-    return events.where(
-        (F.abs(F.coalesce("normalized_z_score", zero)) >= 4.0)
-        | ((metric == "liquidity") & (F.abs("raw_value") >= 30))
-        | ((metric == "bot_farm") & (F.col("raw_value") >= 0.6))
-        | ((metric == "wallet_transfer") & (F.coalesce("usd_value", zero) >= 5_000_000))
-    ).where(metric != "manipulation_score")
+    return events.where(is_urgent())
 
 
 def select_signals(sigs: DataFrame, urgent_assets: DataFrame, floor: float = 40.0,

@@ -55,4 +55,5 @@ def load_all() -> None:
         market_queries,
         series_queries,
         social_queries,
+        stream_queries,
     )

@@ -15,10 +15,7 @@ from tapevigil.streaming.state import latest_observations
 
 def score_batch(state_rows: DataFrame, model: ForestModel | None, floor: float = 40.0) -> DataFrame:
     """Signals of one micro-batch of latest_observations rows: scores of `floor` and above, or urgent assets."""
-    urgent = state_rows.where(F.col("at_ms") == F.col("ts_ms")).where(
-        (F.abs("z") >= 4.0) | ((F.col("metric") == "liquidity") & (F.abs("value") >= 30))
-        | ((F.col("metric") == "bot_farm") & (F.col("value") >= 0.6))
-    ).select(F.col("asset").alias("asset_pair")).distinct().withColumn("urgent", F.lit(True))
+    urgent = state_rows.where("urgent").select(F.col("asset").alias("asset_pair")).distinct().withColumn("urgent", F.lit(True))
     scored = signals(score_vectors(informative(vectors_from_state(state_rows, TTL_MS)), model))
     return scored.join(urgent, "asset_pair", "left").where(
         (F.col("score") >= floor) | F.coalesce("urgent", F.lit(False))

@@ -210,55 +210,87 @@ LATEST_COLUMNS = (
 
 
 class LatestPerAsset(StatefulProcessor):
-    """Newest observation of every series of an asset, and its decayed flow totals."""
+    """Newest observation of every series of an asset, and its decayed flow totals.
 
-    def __init__(self, tick_ms, factor, ttl_ms):
-        self.tick_ms, self.factor, self.ttl_ms = tick_ms, factor, ttl_ms
+    A timer puts out a quiet asset again every `sweep_ms`, decayed and without
+    expired observations; when none is left, its state is removed.
+    """
+
+    def __init__(self, tick_ms, factor, ttl_ms, sweep_ms):
+        self.tick_ms, self.factor, self.ttl_ms, self.sweep_ms = tick_ms, factor, ttl_ms, sweep_ms
         self.fields = [f.split()[0] for f in LATEST_COLUMNS.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         # One small JSON object per asset: a handful of series, read and written once per batch.
         self.latest = handle.getValueState("latest", "series string")
         self.totals = handle.getValueState("totals", "epoch bigint, inflow double, outflow double, bridge double, hits bigint")
 
+    def _load(self) -> tuple[list, dict]:
+        totals = list(self.totals.get()) if self.totals.exists() else [None, 0.0, 0.0, 0.0, 0]
+        return totals, json.loads(self.latest.get()[0]) if self.latest.exists() else {}
+
+    def _decay(self, totals: list, ts: int) -> None:
+        now = -(-int(ts) // self.tick_ms) - 1
+        epoch = totals[0]
+        if epoch is not None and now > epoch:
+            shrink = self.factor ** (now - epoch)
+            totals[1:4] = [x * shrink for x in totals[1:4]]
+            totals[4] = max(0, totals[4] - (now - epoch))
+        totals[0] = now if epoch is None else max(epoch, now)
+
+    def _put(self, key, at: int, totals: list, fresh: dict, urgent: bool) -> pd.DataFrame:
+        """Keep what is still fresh at time `at`, and its next timer; the rows to put out."""
+        fresh = {series: row for series, row in fresh.items() if at - row[2] <= self.ttl_ms}
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if fresh:
+            self.totals.update((int(totals[0]), *totals[1:4], int(totals[4])))
+            self.latest.update((json.dumps(fresh),))
+            self.handle.registerTimer(at + self.sweep_ms)
+        else:
+            self.totals.clear()
+            self.latest.clear()
+        rows = [(key[0], at, *row, *totals[1:4], int(totals[4]), urgent) for row in fresh.values()]
+        return pd.DataFrame(rows, columns=["asset", "at_ms", *self.fields, "in_usd", "out_usd", "bridge_usd", "hits", "urgent"])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _batch(rows, ["ts_ms", "event_id"])
-        epoch, inflow, outflow, bridge, hits = self.totals.get() if self.totals.exists() else (None, 0.0, 0.0, 0.0, 0)
-        fresh = json.loads(self.latest.get()[0]) if self.latest.exists() else {}
+        totals, fresh = self._load()
         for r in pdf.to_dict("records"):
-            now = -(-int(r["ts_ms"]) // self.tick_ms) - 1
-            if epoch is not None and now > epoch:
-                shrink = self.factor ** (now - epoch)
-                inflow, outflow, bridge, hits = inflow * shrink, outflow * shrink, bridge * shrink, max(0, hits - (now - epoch))
-            epoch = now if epoch is None else max(epoch, now)
+            self._decay(totals, r["ts_ms"])
             if r["metric"] == "wallet_transfer":
-                inflow += r["usd"] if r["direction"] == "inflow" else 0.0
-                outflow += r["usd"] if r["direction"] == "outflow" else 0.0
-                hits += int(r["hit"])
+                totals[1] += r["usd"] if r["direction"] == "inflow" else 0.0
+                totals[2] += r["usd"] if r["direction"] == "outflow" else 0.0
+                totals[4] += int(r["hit"])
             elif r["metric"] == "bridge_flow":
-                bridge += r["usd"]
-            fresh[f"{r['metric']}|{r['venue']}"] = tuple(
-                None if v is None or v != v else v for v in (r[f] for f in self.fields))
-        self.totals.update((int(epoch), inflow, outflow, bridge, int(hits)))
-        at = int(pdf["ts_ms"].iloc[-1])
-        kept = []
-        for series, row in list(fresh.items()):
-            if at - row[2] > self.ttl_ms:
-                del fresh[series]
-            else:
-                kept.append((key[0], at, *row, inflow, outflow, bridge, int(hits)))
-        self.latest.update((json.dumps(fresh),))
-        yield pd.DataFrame(kept, columns=["asset", "at_ms", *self.fields, "in_usd", "out_usd", "bridge_usd", "hits"])
+                totals[3] += r["usd"]
+            if r["metric"]:
+                fresh[f"{r['metric']}|{r['venue']}"] = tuple(
+                    None if v is None or v != v else v for v in (r[f] for f in self.fields))
+        yield self._put(key, int(pdf["ts_ms"].iloc[-1]), totals, fresh, bool(pdf["urgent"].any()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = int(expiredTimerInfo.getExpiryTimeInMs())
+        totals, fresh = self._load()
+        self._decay(totals, at)
+        yield self._put(key, at, totals, fresh, False)
 
     def close(self) -> None:
         pass
 
 
-def latest_observations(events: DataFrame, tick_ms: int = 5_000, factor: float = 0.85, ttl_ms: int = 600_000) -> DataFrame:
-    """Per micro-batch, the live observations and flow totals of every asset that had an event."""
+def latest_observations(events: DataFrame, tick_ms: int = 5_000, factor: float = 0.85, ttl_ms: int = 600_000,
+                        sweep_ms: int = 60_000, delay: str = "10 seconds") -> DataFrame:
+    """The live observations and flow totals of every asset that had an event, or whose sweep is due.
+
+    `urgent` marks the rows of an asset that had an urgent event in the batch, of
+    whatever metric. Rows later than `delay` are dropped by the watermark.
+    """
     from tapevigil.operators.features import observations
 
-    return observations(events).groupBy("asset").transformWithStateInPandas(
-        LatestPerAsset(tick_ms, factor, ttl_ms),
-        f"asset string, at_ms bigint, {LATEST_COLUMNS}, in_usd double, out_usd double, bridge_usd double, hits bigint",
-        outputMode="Append", timeMode="None")
+    rows = with_event_time(observations(events, with_urgent=True), delay)
+    return rows.groupBy("asset").transformWithStateInPandas(
+        LatestPerAsset(tick_ms, factor, ttl_ms, sweep_ms),
+        f"asset string, at_ms bigint, {LATEST_COLUMNS}, in_usd double, out_usd double, bridge_usd double, hits bigint, urgent boolean",
+        outputMode="Append", timeMode="EventTime")

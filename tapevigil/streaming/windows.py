@@ -14,10 +14,6 @@ def with_event_time(df: DataFrame, delay: str, ts_ms: str = "ts_ms") -> DataFram
     return df.withColumn("ts", F.timestamp_millis(ts_ms)).withWatermark("ts", delay)
 
 
-def read_trades(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
 def volume_buckets(trades: DataFrame, bucket: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
     """Tumbling volume per (venue, symbol), emitted once the watermark passes the bucket."""
     timed = with_event_time(trades, delay)
@@ -76,3 +72,15 @@ def bridge_candidates(deposits: DataFrame, flows: DataFrame, window_s: int = 180
     )
     return left.join(right, near).where(ratio >= min_ratio).withColumn("size_ratio", F.round(ratio, 3)).drop(
         "cell", "flow_cell", "flow_ts")
+
+
+def latest_bridge(deposits: DataFrame, flows: DataFrame, deposit_id: str, window_s: int = 1800, min_ratio: float = 0.75,
+                  delay: str = "1 minute") -> DataFrame:
+    """The newest fitting bridge flow of every deposit that has one (ties: larger flow, later bridge name).
+
+    A deposit is put out when the watermark has passed it, so no earlier flow of it can still arrive.
+    """
+    found = bridge_candidates(deposits, flows, window_s, min_ratio, delay)
+    best = F.max(F.struct("flow_ms", "flow_usd", "bridge", "size_ratio")).alias("f")
+    return found.groupBy("ts", deposit_id, "ts_ms", "usd_value").agg(best).select(
+        deposit_id, "ts_ms", "usd_value", "f.flow_ms", "f.flow_usd", "f.bridge", "f.size_ratio")

@@ -94,3 +94,69 @@ def test_score_stream_matches_batch_state(spark, sf, feed):
         a, b = vec.first(), want.first()
         for f in features.FEATURES:
             assert abs(a[f] - b[f]) < 1e-9, (asset, f)
+
+
+def folder():
+    return tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
+
+
+def put(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def run(stream, out, checkpoint):
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def test_late_rows_are_dropped_and_a_restart_goes_on(spark):
+    schema = "venue string, symbol string, ts_ms bigint, trade_id bigint, price double, size double"
+    path, out, checkpoint = folder(), folder(), folder()
+    stream = lambda: windows.volume_buckets(spark.readStream.schema(schema).parquet(path), "1 minute", "30 seconds")
+    put(spark, path, [("v", "S", 10_000, 1, 1.0, 1.0), ("v", "S", 200_000, 2, 1.0, 2.0)], schema)
+    first = run(stream(), out, checkpoint).collect()
+    assert [(r.bucket_ms, r.volume) for r in first] == [(0, 1.0)]
+    put(spark, path, [("v", "S", 20_000, 3, 1.0, 50.0), ("v", "S", 215_000, 4, 1.0, 4.0), ("v", "S", 400_000, 5, 1.0, 8.0)], schema)
+    second = run(stream(), out, checkpoint).collect()
+    assert sorted((r.bucket_ms, r.volume) for r in second) == [(0, 1.0), (180_000, 6.0)]
+
+
+def test_cooldown_state_survives_a_restart(spark):
+    state.enable_state_store(spark)
+    schema = "asset_pair string, venue string, ts_ms bigint, signal_id bigint, score double"
+    path, out, checkpoint = folder(), folder(), folder()
+    stream = lambda: state.route_alerts(spark.readStream.schema(schema).parquet(path))
+    put(spark, path, [("A", "v", 1_000, 1, 85.0), ("A", "v", 2_000, 2, 86.0)], schema)
+    run(stream(), out, checkpoint)
+    put(spark, path, [("A", "v", 3_000, 3, 95.0), ("A", "v", 400_000, 4, 85.0)], schema)
+    got = {r.signal_id: (r.reason_code, r.alert_count) for r in run(stream(), out, checkpoint).collect()}
+    assert got == {1: ("first", 1), 2: ("cooldown", 1), 3: ("escalation", 2), 4: ("elapsed", 3)}
+
+
+def test_quiet_asset_is_swept_then_forgotten(spark, sf):
+    state.enable_state_store(spark)
+    schema = v.market_events(spark, sf).schema
+    base = v.market_events(spark, sf).where("metric_type = 'wallet_transfer'").limit(1)
+
+    def event(pair, ts, usd, metric="wallet_transfer"):
+        row = base.withColumn("asset_pair", F.lit(pair)).withColumn("ts_ms", F.lit(ts).cast("bigint"))
+        row = row.withColumn("usd_value", F.lit(usd)).withColumn("normalized_z_score", F.lit(0.0)).withColumn("metric_type", F.lit(metric))
+        return row.withColumn("event_id", F.lit(f"{pair}{ts}")).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+    path, out, checkpoint = folder(), folder(), folder()
+    stream = lambda: state.latest_observations(
+        spark.readStream.schema(schema).parquet(path), tick_ms=5_000, ttl_ms=100_000, sweep_ms=60_000, delay="1 second")
+    event("Q/USDT", 1_000, 9e6).unionByName(event("Q/USDT", 1_001, 5.0)).write.mode("append").parquet(path)
+    rows = run(stream(), out, checkpoint).where("asset = 'Q'").collect()
+    assert len(rows) == 1 and rows[0].urgent and rows[0].at_ms == 1_001
+    for at in (70_000, 150_000, 400_000, 600_000):
+        event("P/USDT", at, 1.0).write.mode("append").parquet(path)
+        run(stream(), out, checkpoint)
+    rows = spark.read.parquet(out).where("asset = 'Q'").orderBy("at_ms").collect()
+    assert [r.at_ms for r in rows] == [1_001, 61_001] and not rows[1].urgent
+    assert rows[1].in_usd <= rows[0].in_usd
+    event("Q/USDT", 700_000, 7.0).write.mode("append").parquet(path)
+    last = run(stream(), out, checkpoint).where("asset = 'Q' and at_ms = 700000").first()
+    assert max(last.in_usd, last.out_usd) <= 7.0 and not last.urgent
