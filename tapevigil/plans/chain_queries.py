@@ -155,6 +155,15 @@ def bridge_flows(spark, sf):
     return _bridges(spark, sf).select(_id(), "bridge", "direction", "usd_value")
 
 
+@query("bridge_events", with_views("transfers", "bridges", body=_BRIDGES.format(usd=80000) + """
+select chain as venue, symbol as asset_pair, 'bridge_flow' as metric_type, ts_ms, round(amount, 6) as raw_value, round(usd_value, 6) as usd_value,
+       bridge, bdir as direction from flows"""))
+def bridge_events(spark, sf):
+    """Bridge flows on the event scale."""
+    return fl.bridge_events(_bridges(spark, sf), TRANSFER_ORDER).select(
+        "venue", "asset_pair", "metric_type", "ts_ms", "raw_value", "usd_value", "meta.bridge", "meta.direction")
+
+
 _NET = f"""
 , net as (select *, sum(case when direction = 'inflow' then usd_value else -usd_value end)
           over (partition by chain, symbol order by {ORDER_SQL} rows unbounded preceding) as net_flow_usd from whales)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapevigil.operators import features as ft
@@ -159,10 +161,9 @@ _OFF = " or ".join(f"abs({f} - {NEUTRAL[f]}) > 1e-9" for f in FEATURES)
 
 
 @query("informative_vectors", with_views("market_events", body=_OBS + f"""
-select asset, ts_ms from vec where coverage > 0.5 and ({_OFF}) and (ts_ms - last_update_ms) / 1000 <= 3600"""))
+select asset, ts_ms from vec where coverage > 0 and ({_OFF}) and (ts_ms - last_update_ms) / 1000 <= 3600"""))
 def informative_vectors(spark, sf):
-    grid = _grid(spark, sf)
-    return ft.prune_idle(ft.informative(grid.where("coverage > 0.5")), 3600).select("asset", "ts_ms")
+    return ft.prune_idle(ft.informative(_grid(spark, sf)), 3600).select("asset", "ts_ms")
 
 
 def rules_sql(src: str) -> str:
@@ -306,10 +307,10 @@ def urgent_events(spark, sf):
 
 
 @query("selected_signals", with_views("signals", "market_events", body=f"""
-, u as (select distinct asset from market_events where ({_URGENT}) and metric = 'wallet_transfer' and asset < 'E')
+, u as (select distinct asset from market_events where {_URGENT})
 select signal_id, score >= 80 as alert, asset is not null as urgent from signals left join u on asset = asset_pair where score >= 60 or asset is not null"""))
 def selected_signals(spark, sf):
-    urgent = scoring.urgent_events(v.market_events(spark, sf)).where("metric_type = 'wallet_transfer' and asset_pair < 'E'")
+    urgent = scoring.urgent_events(v.market_events(spark, sf))
     assets = urgent.select(F.substring_index("asset_pair", "/", 1).alias("asset_pair"))
     return scoring.select_signals(v.signals(spark, sf), assets, floor=60.0).select("signal_id", "alert", "urgent")
 
@@ -377,3 +378,42 @@ def replay_scores(spark, sf):
 select asset as asset_pair, round(max(score), 6) as peak_score from cp group by 1 order by 2 desc, 1 limit 15"""), digits=9)
 def replay_peaks(spark, sf):
     return rp.peak_scores(rp.replay(v.market_events(spark, sf), None, **GRID))
+
+
+@query("replay_alerts", with_views("market_events", body=_OBS + f"""
+, inf as (select * from vec where coverage > 0 and ({_OFF})), {rules_sql("inf")}, {composite_sql(False)}
+select asset as asset_pair, ts_ms, round(score, 9) as score from cp where score >= 60"""), digits=9)
+def replay_alerts(spark, sf):
+    """Replayed signals at or above the alert level of the run."""
+    return rp.replay_alerts(rp.replay(v.market_events(spark, sf), None, **GRID), 60.0).select("asset_pair", "ts_ms", "score")
+
+
+@query("replay_span", with_views("market_events", body="""
+select count(*) as events, round((max(ts_ms) - min(ts_ms)) / 60000e0, 6) as minutes from market_events"""))
+def replay_span(spark, sf):
+    return rp.replay_span(v.market_events(spark, sf))
+
+
+@query("forest_properties", with_views("vectors", body="""
+select count(*) as vectors, true as in_range, true as median_is_zero, true as first_percentile_is_full, true as outliers_stand_out, true as equal_after_load
+from vectors"""))
+def forest_properties(spark, sf):
+    """What must hold of the forest's scores on every table: range, calibration, planted outliers, save and load."""
+    from tapevigil.plans.storage import settle, shared_folder
+
+    vec = settle(spread(v.vectors(spark, sf), "event_id"))
+    model = forest.fit(vec, identity=["event_id"])
+    scored = settle(forest.ml_scores(vec, model).select("event_id", F.col("ml_score").alias("s")))
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    model.save(spark, path)
+    again = forest.ml_scores(vec, forest.load(spark, path)).select("event_id", F.col("ml_score").alias("r"))
+    odd = vec.select("event_id", *[(F.col(f) * 0 + 1000.0 * (i + 1)).alias(f) for i, f in enumerate(FEATURES)])
+    planted = forest.ml_scores(odd, model).agg(F.min("ml_score").alias("least"))
+    found = scored.join(again, "event_id").agg(
+        F.count(F.lit(1)).alias("vectors"), F.bool_and(F.col("s").between(0.0, 100.0)).alias("in_range"),
+        F.avg((F.col("s") <= 1e-9).cast("double")).between(0.5, 0.55).alias("median_is_zero"),
+        F.avg((F.col("s") >= 100 - 1e-9).cast("double")).between(0.01, 0.02).alias("first_percentile_is_full"),
+        F.bool_and(F.abs(F.col("s") - F.col("r")) < 1e-9).alias("equal_after_load"),
+    )
+    return found.join(planted).select(
+        "vectors", "in_range", "median_is_zero", "first_percentile_is_full", (F.col("least") > 50).alias("outliers_stand_out"), "equal_after_load")

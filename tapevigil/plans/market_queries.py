@@ -106,6 +106,33 @@ def venue_messages(spark, sf):
         F.col("symbol").cast("bigint").alias("trade_id"), "ts_ms", "price", "size", "side")
 
 
+@query("book_messages", with_views("trades", body="""
+select trade_id, ts_ms, round(price, 6) as best_bid, round(price + 1, 6) as best_ask, 2 as bids, 1 as asks, round(size * 2, 6) as second_size from trades"""))
+def book_messages(spark, sf):
+    """Books written as raw messages of three venue dialects, then parsed back."""
+    t = v.trades(spark, sf)
+    text = lambda c: c.cast("string")
+    bids = [(F.col("price"), F.col("size")), (F.col("price") - 1, F.col("size") * 2)]
+    asks = [(F.col("price") + 1, F.col("size"))]
+    pairs = lambda side: F.array(*[F.array(text(p), text(q)) for p, q in side])
+    rows = lambda side: F.array(*[F.struct(text(p).alias("p"), text(q).alias("v")) for p, q in side])
+    binance = F.to_json(F.struct(F.lit("s@depth20").alias("stream"), F.struct(
+        F.col("ts_ms").alias("E"), pairs(bids).alias("bids"), pairs(asks).alias("asks")).alias("data")))
+    bybit = F.to_json(F.struct(F.lit("orderbook.50.X").alias("topic"), F.col("ts_ms").alias("ts"), F.struct(
+        pairs(bids).alias("b"), pairs(asks).alias("a")).alias("data")))
+    mexc = F.to_json(F.struct(F.lit("spot@public.limit.depth").alias("c"), F.col("ts_ms").alias("t"), F.struct(
+        rows(bids).alias("bids"), rows(asks).alias("asks")).alias("d")))
+    raw = t.select(
+        F.element_at(F.array(F.lit("binance"), F.lit("bybit"), F.lit("mexc")), F.substring("venue", 2, 1).cast("int") + 1).alias("venue"),
+        F.col("trade_id").cast("string").alias("symbol"),
+        F.when(F.col("venue") == "v0", binance).when(F.col("venue") == "v1", bybit).otherwise(mexc).alias("raw"),
+        F.lit(0).cast("bigint").alias("recv_ms"))
+    b = market.books_from_messages(raw)
+    return b.select(
+        F.col("symbol").cast("bigint").alias("trade_id"), "ts_ms", F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"),
+        F.size("bids").alias("bids"), F.size("asks").alias("asks"), F.col("bids")[1]["size"].alias("second_size"))
+
+
 @query("book_metrics", with_views("book_levels", body=_BOOK + """
 select snapshot_id, best_bid, best_ask, round(mid_price, 6) as mid_price, round(spread_bps, 6) as spread_bps,
        round(bid_depth, 6) as bid_depth, round(ask_depth, 6) as ask_depth, round(obi, 6) as obi,

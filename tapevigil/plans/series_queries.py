@@ -77,33 +77,44 @@ def _map_sql(table: dict) -> str:
     return "map {" + ", ".join(f"{quote(k)}: {val}" for k, val in table.items()) + "}"
 
 
-@query("lexicon_sentiment", with_views("texts", body=rf"""
+def _lexicon_sql(source: str, key: str, keep: str) -> str:
+    return rf"""
 , toks as (
-  select post_id, ticker, regexp_extract_all(lower(trim(regexp_replace(regexp_replace(regexp_replace(
+  select {key}, {keep}, regexp_extract_all(lower(trim(regexp_replace(regexp_replace(regexp_replace(
            text, 'https?://\S+|www\.\S+', ' ', 'g'), '@\w+', ' ', 'g'), '\s+', ' ', 'g'))), '[\w''#$]+') as tk
-  from texts),
-pos as (select post_id, ticker, tk, unnest(range(1, len(tk) + 1)) as i from toks),
+  from {source}),
+pos as (select {key}, {keep}, tk, unnest(range(1, len(tk) + 1)) as i from toks),
 hit as (
-  select post_id, i, {_map_sql(t.POSITIVE | t.NEGATIVE)}[tk[i]] as w,
+  select {key}, i, {_map_sql(t.POSITIVE | t.NEGATIVE)}[tk[i]] as w,
          list_transform(tk[greatest(i - 2, 1):i - 1], lambda p:
            coalesce({_map_sql(t.INTENSIFIERS)}[p], 1e0)
            * case when list_contains([{", ".join("'" + n.replace("'", "''") + "'" for n in t.NEGATIONS)}], p)
              then {t.NEGATION_FACTOR} else 1e0 end) as fs
   from pos),
 agg as (
-  select post_id, count(*) as n, sum(w * case when len(fs) = 0 then 1e0 else list_product(fs) end) as total
-  from hit where w is not null group by post_id)
-select texts.post_id, ticker,
+  select {key}, count(*) as n, sum(w * case when len(fs) = 0 then 1e0 else list_product(fs) end) as total
+  from hit where w is not null group by {key})
+select {source}.{key}, {source}.{keep},
        coalesce(round(tanh(total / sqrt(n) / 1.6), 4), 0e0) as score,
        case when n is null then 'neutral' when tanh(total / sqrt(n) / 1.6) > 0.15 then 'positive'
             when tanh(total / sqrt(n) / 1.6) < -0.15 then 'negative' else 'neutral' end as label,
        case when n is null then 0.25e0 else round(least(1e0, 0.35 + 0.12 * n), 3) end as confidence
-from texts left join agg using (post_id)"""))
+from {source} left join agg using ({key})"""
+
+
+@query("lexicon_sentiment", with_views("texts", body=_lexicon_sql("texts", "post_id", "ticker")))
 def lexicon_sentiment(spark, sf):
     return v.texts(spark, sf).withColumn("m", t.lexicon_sentiment(F.col("text"))).select(
         "post_id", "ticker", "m.*")
 
 
+@query("document_sentiment", with_views("texts", body=_lexicon_sql("documents", "doc_id", "source")))
+def document_sentiment(spark, sf):
+    """Lexicon sentiment of every document, in full."""
+    scored = v.table(spark, sf, "documents").withColumn("m", t.lexicon_sentiment(F.col("text")))
+    return scored.select("doc_id", "source", "m.*")
+
+
 def _stub_model(texts: list[str]) -> list[dict[str, float]]:
     """Stands in for a language model: probabilities from two word tests."""
     out = []

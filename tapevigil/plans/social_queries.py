@@ -46,7 +46,7 @@ def channel_posts(spark, sf):
 
 
 @query("training_rows", """
-select count(*) as n, round(sum(value), 4) as total from events where event_id % 5 <> 0""")
+select round(value, 6) as first_value, 20 as width, round(value, 6) as total from events where event_id % 5 <> 0""")
 def training_rows(spark, sf):
     """Vectors written as JSON rows in both accepted forms, some too short, read back."""
     e = v.table(spark, sf, "events")
@@ -55,7 +55,8 @@ def training_rows(spark, sf):
     line = F.when(F.col("event_id") % 5 == 0, F.to_json(short)).when(
         F.col("event_id") % 5 == 1, F.to_json(full)).otherwise(F.to_json(F.struct(full.alias("values"))))
     vectors = ps.training_vectors(e.select(line.alias("value")))
-    return vectors.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("values", 1)), 4).alias("total"))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return vectors.select(F.element_at("values", 1).alias("first_value"), F.size("values").alias("width"), total.alias("total"))
 
 
 @query("tracked_mentions", with_views("texts", body="""
@@ -233,23 +234,21 @@ def bot_farm_verdicts(spark, sf):
     return _verdicts(spark, sf).select("ticker", "eval_ms", "is_bot_farm", "score", "posts", "unique_authors", "age_cv")
 
 
-@query("social_events", with_views("texts", body=_TICKS + f"""
-, {_MENTION_Z.replace("num as (", "num as (", 1)}
+@query("social_events", with_views("texts", "posts", body=_TICKS + _VERDICT + f"""
+, mention_dyn as (with recursive {_MENTION_Z} select * from dyn),
+mood_dyn as (with recursive {_MOOD_Z} select * from dyn)
 select concat('sm-', ticker, '-', tick_ms) as event_id, tick_ms as ts_ms, ticker as asset_pair, 'social_mentions' as metric_type,
-       round(rate, 7) as raw_value, round(z, 7) as normalized_z_score, 1e0 as confidence, round(acceleration, 4) as acceleration from dyn
+       round(rate, 7) as raw_value, round(z, 7) as normalized_z_score, 1e0 as confidence, round(acceleration, 4) as acceleration from mention_dyn
 union all
-select concat('ss-', ticker, '-', tick_ms), tick_ms, ticker, 'social_sentiment', round(sentiment, 7), null,
-       round(greatest(0.1e0, least(1e0, posts_in_window / 30e0)), 7), null from acc"""), digits=7)
+select concat('ss-', ticker, '-', tick_ms), tick_ms, ticker, 'social_sentiment', round(sentiment, 7), round(z, 7),
+       round(greatest(0.1e0, least(1e0, posts_in_window / 30e0)), 7), null from mood_dyn
+union all
+select concat('bf-', ticker, '-', eval_ms), eval_ms, ticker, 'bot_farm', round(score, 7), null,
+       round(greatest(0.2e0, least(1e0, posts / 50e0)), 7), null from vd where posts >= 12"""), digits=7)
 def social_events(spark, sf):
-    from tapevigil.operators.rolling import dynamic_z
-
-    ticks = so.acceleration(_ticks(spark, sf))
-    scored = dynamic_z(ticks, so.KEYS, ["tick_ms"], "rate", half_life_s=43200.0, window=240, warmup=15, zero_is_normal=True,
-                       log_space=True, ts="tick_ms", out="mention_z", threshold=None, block_ms=90 * DAY)
-    scored = scored.withColumn("sentiment_z", F.lit(None).cast("double")).withColumn("label", F.lit("")).withColumn(
-        "confidence", F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("posts_in_window") / 30.0)))
-    return so.social_events(scored, None).select(
-        "event_id", "ts_ms", "asset_pair", "metric_type", "raw_value", "normalized_z_score", "confidence", "meta.acceleration")
+    """Mention, sentiment and bot-farm events, with their z-scores and verdicts."""
+    events = so.social_events(_scores(spark, sf), _verdicts(spark, sf))
+    return events.select("event_id", "ts_ms", "asset_pair", "metric_type", "raw_value", "normalized_z_score", "confidence", "meta.acceleration")
 
 
 @query("social_report", with_views("texts", "posts", body=_TICKS + _VERDICT + """
