@@ -5,7 +5,7 @@ one class. A table's key is the signs of a class's vector against `bits` random
 hyperplanes. `bits` follows the largest label's size, so that keys hold about
 `OCCUPANCY` vectors each; the number of tables follows from the chance that a
 pair at the threshold shares a key in some table, at least `recall`. Classes that
-share a key are dealt into cells of bounded size (`graph.celled`), where cosines
+share a key are dealt into cells of bounded size (`operators.cells`), where cosines
 are computed in double precision; a pair counts in the first table in which it
 shares a key. Cells put out link counts and who is connected, never pairs.
 
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.llm.common import stored
-from tapevigil.llm.graph import blocked, celled, cells, components, least_linked
+from tapevigil.llm.graph import components, least_linked
 from tapevigil.llm.hashing import mix
+from tapevigil.operators.cells import blocked, celled, cells
 
 THRESHOLD, RECALL = 0.93, 0.999
 OCCUPANCY, BLOCK, SEED = 256, 256, 99
@@ -118,7 +119,7 @@ def linked(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     slim = keys.select("cls", F.posexplode("keys").alias("table", "key"))
     shared = stored(slim.groupBy("key").count().filter("count >= 2").select("key"))
     members = stored(keys.select("*", F.posexplode("keys").alias("table", "key")).join(shared, "key"))
-    found = stored(verified(celled(blocked(members, "key", BLOCK), "cls"), threshold))
+    found = stored(verified(celled(blocked(members, ["key"], BLOCK), "cls"), threshold))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     info = classes.select("cls", "size", "least").join(groups, "cls", "left").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -1,62 +1,13 @@
-"""Links without pair lists: groups dealt into blocks, and connected components.
-
-A group's members are dealt into blocks by a hash; a cell holds one block, or two
-blocks of one group, and one task compares what is in it. Cells have a bounded
-number of rows whatever the group's size, and put out one row per member, not
-one per pair.
-"""
+"""Who is linked with whom: components inside a cell and across all cells."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.llm.common import stored
 
-BLOCK = 128
-
-
-def blocked(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """members, a written table, with `blocks`: how many blocks their group has."""
-    sizes = stored(members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    return members.join(sizes, group)
-
-
-def celled(members: DataFrame, member: str) -> DataFrame:
-    """blocked members with cell columns a <= b and `own`, the member's block; a member comes once for each cell it is in."""
-    own = F.pmod(F.xxhash64(F.lit(11), member), F.col("blocks")).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "blocks")
-
-
-def cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each cell, from batches that are sorted by the cells' keys."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            if len(c) > 1:
-                new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
-        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1] != c[0] for k, c in zip(keys, columns, strict=True)):
-            yield pa.Table.from_batches(held)
-            held = []
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
 
 def least_linked(near: np.ndarray) -> np.ndarray:
     """For each node of a symmetric adjacency matrix, the smallest node of its component."""

@@ -7,7 +7,7 @@ start at the longest length at which the chance that a pair at the threshold
 shares one in some tree, 1 - (1 - s^length)^trees, reaches `recall`; a trie node
 of at most `CROWD` classes shortens its prefix by one more, which raises recall
 where it is cheap. Chains of candidates are dealt into cells of bounded size
-(`graph.celled`), where all similarities are computed exactly from the n-gram
+(`operators.cells`), where all similarities are computed exactly from the n-gram
 sets. Cells put out link counts and who is connected, never pairs.
 
 Defined results: a text of 1 to N - 1 words has one n-gram, all its words; a text
@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.llm.common import stored, text_slices
-from tapevigil.llm.graph import blocked, celled, cells, components, least_linked
+from tapevigil.llm.graph import components, least_linked
 from tapevigil.llm.hashing import Words, mix
 from tapevigil.llm.substring import NO_ID, keyed, same_row
+from tapevigil.operators.cells import blocked, celled, cells, similar
 
 N, THRESHOLD = 5, 0.8
 TREES, RECALL, CROWD = 20, 0.9995, 32
-#: Columns of a similarity matrix that are multiplied at a time.
-CHUNK = 4096
 
 
 def longest_prefix(threshold: float, recall: float, trees: int) -> int:
@@ -119,29 +118,6 @@ def candidates(classes: DataFrame, crowd: int) -> DataFrame:
     return sparse.unionByName(crowded.join(leads, "long").select(F.col("cls").alias("a"), F.col("lead").alias("b"))).distinct()
 
 
-def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Symmetric matrix of the pairs of sets with Jaccard similarity of `threshold` or more."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    new = np.concatenate([[True], values[1:] != values[:-1]])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] >= 2
-    owner, column = owner[shared], column[shared]
-    column = np.unique(column, return_inverse=True)[1]
-    common = np.zeros((len(sets), len(sets)), np.float64)
-    for at in range(0, int(column.max(initial=-1)) + 1, CHUNK):
-        inside = (column >= at) & (column < at + CHUNK)
-        has = np.zeros((len(sets), CHUNK), np.float32)
-        has[owner[inside], column[inside] - at] = 1
-        common += has @ has.T
-    either = sizes[:, None] + sizes[None, :] - common
-    near = common >= threshold * either - 1e-9
-    np.fill_diagonal(near, False)
-    return near
-
-
 def verified(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """(cls, root, links): what the cells of texts(g, cls, size, blocks, text) find, a row per class and cell."""
 
@@ -190,7 +166,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     )
     chains = components(candidates(classes, crowd))
     active = stored(chains.join(classes, chains.node == classes.cls).select(F.col("component").alias("g"), "cls", "size", "one"))
-    asked = blocked(active, "g").select("g", "cls", "size", "blocks", "one.d", "one.t")
+    asked = blocked(active, ["g"]).select("g", "cls", "size", "blocks", "one.d", "one.t")
     texts = asked.alias("y").join(keys.select("d", "t", "text").alias("x"), same_row("x", "y"))
     # Repeated rows bring the same text again; a class needs it once.
     texts = texts.select("y.g", "y.cls", "y.size", "y.blocks", "x.text").dropDuplicates(["cls"])
