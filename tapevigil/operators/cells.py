@@ -47,8 +47,9 @@ def cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         new = np.zeros(batch.num_rows, bool)
         for c in columns:
             if len(c) > 1:
-                new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
-        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1] != c[0] for k, c in zip(keys, columns, strict=True)):
+                differ = pc.or_(pc.fill_null(pc.not_equal(c[1:], c[:-1]), False), pc.not_equal(pc.is_null(c[1:]), pc.is_null(c[:-1])))
+                new[1:] |= np.asarray(differ)
+        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != c[0].as_py() for k, c in zip(keys, columns, strict=True)):
             yield pa.Table.from_batches(held)
             held = []
         cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
