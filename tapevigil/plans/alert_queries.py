@@ -118,9 +118,25 @@ def plain_alerts(spark, sf):
     return payloads.render_plain(s).select("event_id", F.element_at(lines, 1).alias("line1"), F.element_at(lines, 2).alias("line2"))
 
 
-@query("rendered_alerts")
+_COLOURS = " ".join(f"when '{k}' then {c}" for k, c in payloads.SEVERITY_COLOURS.items())
+
+
+@query("rendered_alerts", with_views("vectors", body=_SCORED + f"""
+, b as (select *, cast(round_even(least(100e0, score) / 100 * 10, 0) as int) as f, {_SEV} as severity from cp where score >= 80),
+m as (select *, case severity when 'critical' then '🔴' when 'high' then '🟠' when 'medium' then '🟡' when 'low' then '🔵' else '⚪' end as mark from b)
+select event_id, concat(mark, ' <b>MANIPULATION ALERT — ', asset, '</b>') as html_title,
+       concat('<b>Score:</b> <code>', printf('%.1f', score), '/100</code>  ', repeat('█', f), repeat('░', 10 - f)) as html_score,
+       concat('<b>Severity:</b> ', upper(severity)) as html_severity, '<b>Venue:</b> &lt;aggregate&gt;' as html_venue,
+       concat('<i>', strftime(epoch_ms(ts_ms), '%Y-%m-%d %H:%M:%S'), ' UTC</i>') as html_time,
+       concat(mark, ' Manipulation Alert — ', asset) as embed_title, case severity {_COLOURS} end as embed_color,
+       concat('**', printf('%.1f', score), '** / 100', chr(10), '`', repeat('█', f), repeat('░', 10 - f), '`') as embed_score from m"""))
 def rendered_alerts(spark, sf):
-    """HTML text and embed JSON of every alert-worthy signal."""
-    s = scoring.signals(_scored(spark, sf).where("score >= 80"))
+    """HTML message and embed of every alert-worthy signal, taken apart."""
+    s = scoring.signals(_scored(spark, sf).where("score >= 80").withColumn("venue", F.concat(F.lit("<aggregate>#"), "event_id")))
+    s = s.withColumn("event_id", F.element_at(F.split("venue", "#"), 2).cast("bigint")).withColumn("venue", F.lit("<aggregate>"))
     full = payloads.render_embed(payloads.render_html(s))
-    return full.select("asset_pair", "ts_ms", "html", F.to_json("embed").alias("embed"))
+    line, embed = F.split("html", "\n"), F.col("embed.embeds")[0]
+    return full.select(
+        "event_id", line[0].alias("html_title"), line[2].alias("html_score"), line[3].alias("html_severity"), line[4].alias("html_venue"),
+        F.element_at(line, -1).alias("html_time"), embed["title"].alias("embed_title"), embed["color"].alias("embed_color"),
+        embed["fields"][0]["value"].alias("embed_score"))

@@ -41,6 +41,19 @@ def recorded_events(spark, sf):
         F.col("meta.bridge_precursor").isNotNull().alias("precursor"))
 
 
+@query("written_events", with_views("market_events", body="""
+select event_id, ts_ms, source_type, venue, asset_pair, metric as metric_type, round(raw_value, 6) as raw_value, round(z, 6) as normalized_z_score
+from market_events"""))
+def written_events(spark, sf):
+    """Events recorded as JSON lines in a folder per metric, then read and validated again."""
+    from tapevigil.plans.storage import shared_folder
+
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    ev.write_events(v.market_events(spark, sf), path)
+    return ev.usable(ev.read_events(spark, f"{path}/*")).select(
+        "event_id", "ts_ms", "source_type", "venue", "asset_pair", "metric_type", "raw_value", "normalized_z_score")
+
+
 @query("event_problems", """
 select case when event_id % 10 = 1 then 'unknown field' when event_id % 10 = 2 then 'missing field' when event_id % 10 = 3 then 'unknown source'
             when event_id % 10 = 4 then 'unknown metric' when event_id % 10 = 5 then 'confidence out of range'
