@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Severity ladder (label, lowest score, rank).
@@ -24,15 +27,6 @@ def clamp(x: Column, lo, hi) -> Column:
     return F.when(x.isNotNull(), F.greatest(lo_c, F.least(hi_c, x)))
 
 
-def clamp0(x: Column, hi: float) -> Column:
-    """Clamp to [0, hi]."""
-    return clamp(x, 0.0, hi)
-
-
-def signum_of(flag: Column) -> Column:
-    return F.when(flag, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def percentile_rank(values: Column, x: Column) -> Column:
     """Share of array `values` that is <= x; 0.5 for an empty or NULL array."""
     n = F.size(values)
@@ -59,10 +53,6 @@ def score_rank(score: Column) -> Column:
     return severity_rank(severity(score))
 
 
-def is_actionable(label: Column) -> Column:
-    return severity_rank(label) >= 3
-
-
 def obi_direction(obi: Column) -> Column:
     return (
         F.when(obi > 0.05, "bid_heavy").when(obi < -0.05, "ask_heavy").otherwise("balanced")
@@ -144,6 +134,20 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def once(build: Callable[[], dict[str, Column]]) -> Callable[[], dict[str, Column]]:
+    """Build a set of columns once per Spark application; thousands of calls into the JVM are then not repeated per plan."""
+    kept: WeakKeyDictionary = WeakKeyDictionary()
+
+    @functools.wraps(build)
+    def get() -> dict[str, Column]:
+        context = SparkSession.active().sparkContext
+        if context not in kept:
+            kept[context] = build()
+        return kept[context]
+
+    return get
+
+
 def layer(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 

@@ -340,11 +340,3 @@ def prune_idle(vectors: DataFrame, max_idle_s: int = 3600) -> DataFrame:
 
 def feature_array() -> Column:
     return F.array(*[F.col(f) for f in FEATURES])
-
-
-def from_array(df: DataFrame, column: str = "values") -> DataFrame:
-    """Spread a 20-wide array column into named feature columns."""
-    return df.select(
-        *[c for c in df.columns if c != column],
-        *[F.element_at(column, i + 1).alias(f) for i, f in enumerate(FEATURES)],
-    )

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapevigil.functions.scalars import clamp, layer, text
+from tapevigil.functions.scalars import clamp, layer, once, text
 
 # Source weights.
 WEIGHTS = {"exchange": 0.40, "onchain": 0.35, "social": 0.25}
@@ -45,8 +45,8 @@ def _ladder(*steps: tuple[Column, Column | float]) -> Column:
     return out.otherwise(F.lit(0.0))
 
 
-def exchange_rules(df: DataFrame) -> DataFrame:
-    """Adds ex (0-100), wash (0-1) and ex_reasons."""
+@once
+def _exchange_columns() -> dict[str, Column]:
     vz, obi, obi_abs, obi_z = _f("volume_z"), _f("obi"), _f("obi_abs"), _f("obi_z")
     cvd, div = _f("cvd_z"), _f("cvd_divergence")
     walls, spread, disp, spike = _f("wall_activity"), _f("spread_bps"), _f("venue_dispersion"), _f("volume_spike_ratio")
@@ -85,10 +85,16 @@ def exchange_rules(df: DataFrame) -> DataFrame:
             F.when(tight, ", abnormally tight spread").otherwise(""))),
     )
     wash = _if(washing, clamp(confirms / 3.0 * (vz / 5.0), 0, 1))
-    return layer(df, ex=clamp(points, 0, 100), wash=wash, ex_reasons=reasons)
+    return dict(ex=clamp(points, 0, 100), wash=wash, ex_reasons=reasons)
 
 
-def onchain_rules(df: DataFrame) -> DataFrame:
+def exchange_rules(df: DataFrame) -> DataFrame:
+    """Adds ex (0-100), wash (0-1) and ex_reasons."""
+    return layer(df, **_exchange_columns())
+
+
+@once
+def _onchain_columns() -> dict[str, Column]:
     whale, net, drop = _f("whale_inflow_z"), _f("net_flow_norm"), _f("liquidity_drop")
     to_cex, bridge = _f("bridge_to_cex"), _f("bridge_activity")
     points = _points(
@@ -105,10 +111,15 @@ def onchain_rules(df: DataFrame) -> DataFrame:
         F.when(to_cex > 0.3, "bridged stablecoins landing on CEX (pre-positioning)")
         .when(bridge > 0.4, "elevated bridge stablecoin flow"),
     )
-    return layer(df, oc=clamp(points, 0, 100), oc_reasons=reasons)
+    return dict(oc=clamp(points, 0, 100), oc_reasons=reasons)
 
 
-def social_rules(df: DataFrame) -> DataFrame:
+def onchain_rules(df: DataFrame) -> DataFrame:
+    return layer(df, **_onchain_columns())
+
+
+@once
+def _social_columns() -> dict[str, Column]:
     mz, accel, farm = _f("mention_z"), _f("mention_accel"), _f("bot_farm_score")
     mood, mood_abs = _f("sentiment"), _f("sentiment_abs")
     points = _points(
@@ -123,7 +134,11 @@ def social_rules(df: DataFrame) -> DataFrame:
         F.when(farm > 0.5, text("bot-farm pattern (confidence %s)", _pct(farm))),
         F.when(mood_abs > 0.6, text("extreme %s sentiment (%+.2f)", F.when(mood > 0, "bullish").otherwise("bearish"), mood)),
     )
-    return layer(df, so=clamp(points, 0, 100), so_reasons=reasons)
+    return dict(so=clamp(points, 0, 100), so_reasons=reasons)
+
+
+def social_rules(df: DataFrame) -> DataFrame:
+    return layer(df, **_social_columns())
 
 
 def fuse(df: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
