@@ -12,8 +12,9 @@ texts count once: whole copies are for document dedup). A recurring template's
 lines are dropped everywhere but in its home, the text with the smallest id that
 has it, and that text's copies: what it says stays in the corpus once.
 
-Only lines in leaves with `MIN_TEXTS` lines or more are moved about; everything
-is pre-aggregated by line before tokens are looked at.
+Only lines in leaves with `MIN_TEXTS` lines or more are moved about, lines, leaves
+and templates by 128-bit hashes; different lines are counted before their tokens
+are looked at, and tokens are never gathered.
 
 Defined results: lines are split at "\n" and kept lines are joined by it again,
 so a text without dropped lines is unchanged; a null text stays null with 0
@@ -24,7 +25,7 @@ All input columns come back in `row`, so their names don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.llm.common import WORD, stored
@@ -33,54 +34,84 @@ from tapevigil.llm.substring import keyed, same_row
 LEAD, MIN_TEXTS = 3, 10
 FIELD = "<*>"
 
+#: 128-bit names of a line, a leaf and, within a leaf, a template.
+LINE, LEAF = ["l1", "l2"], ["h1", "h2"]
+TEMPLATE = [*LEAF, "p1", "p2"]
+
+
+def named(value: Column, names: list[str]) -> list[Column]:
+    """Two hashes that stand for a value."""
+    return [F.xxhash64(F.lit(i), value).alias(name) for i, name in enumerate(names)]
+
+
+def single_spaced(line: Column) -> Column:
+    """A line's tokens with one space between them."""
+    for other in "\t\x0b\x0c\r":
+        line = F.when(F.contains(line, F.lit(other)), F.replace(line, F.lit(other), F.lit(" "))).otherwise(line)
+    line = F.trim(line)
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
+
 
 def parsed(keys: DataFrame, lead: int) -> DataFrame:
-    """(d, t, x, at, line, leaf) of every line of at least `lead` tokens; (x, t) identify a text."""
+    """(d, t, x, at, line, tokens, n, leaf) of every line; (x, t) name a text, leaf is "" for fewer than `lead` tokens."""
     lines = keys.select("d", "t", F.xxhash64("text").alias("x"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    tokens = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
-    first = F.transform(F.slice(tokens, 1, lead), lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
-    leaf = F.when(F.size(tokens) >= lead, F.concat_ws(" ", F.size(tokens).cast("string"), first))
-    return lines.withColumn("leaf", leaf).filter("leaf IS NOT NULL")
+    lines = lines.withColumn("tokens", single_spaced(F.col("line")))
+    spaces = F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit("")))
+    n = F.when(F.col("tokens") == "", 0).otherwise(spaces + 1)
+    first = F.regexp_replace(F.substring_index("tokens", " ", lead), "[^ ]*[0-9][^ ]*", FIELD)
+    leaf = F.when(F.col("n") >= lead, F.concat_ws(" ", F.col("n").cast("string"), first)).otherwise("")
+    return lines.withColumn("n", n).withColumn("leaf", leaf)
 
 
-def templates(lines: DataFrame, min_texts: int) -> DataFrame:
-    """(leaf, line, template) of the distinct lines in parsed lines that have one."""
-    distinct = stored(lines.groupBy("leaf", "line").agg(F.countDistinct("x", "t").alias("texts")))
-    tokens = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
-    placed = distinct.select("leaf", "line", "texts", F.size(tokens).alias("n"), F.posexplode(tokens).alias("at", "token")).filter(~F.col("token").rlike("[0-9]"))
-    fixed = stored(placed.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_texts).drop("texts"))
-    kept = placed.join(fixed, ["leaf", "at", "token"], "left_semi")
-    lists = kept.groupBy("leaf", "line", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("p")).filter(F.size("p") * 2 >= F.col("n"))
+def candidates(keys: DataFrame, lead: int, min_texts: int) -> DataFrame:
+    """The lines of leaves with at least `min_texts` lines, with their names; written once."""
+    lines = parsed(keys, lead)
+    leaf = named(F.col("leaf"), LEAF)
+    nowhere = F.xxhash64(F.lit(0), F.lit(""))
+    full = stored(lines.groupBy(leaf[0]).count().filter((F.col("count") >= min_texts) & (F.col("h1") != nowhere)).select("h1"))
+    return stored(lines.select("d", "t", "x", "at", *named(F.col("line"), LINE), *leaf, "n", "tokens").join(full, "h1", "left_semi"))
 
-    def shown(x, i):
-        gap = x["at"] - F.when(i == 0, -1).otherwise(F.get(F.col("p"), i - 1)["at"]) - 1
-        return F.concat(F.repeat(F.lit(FIELD + " "), gap), x["token"])
 
-    return lists.select("leaf", "line", F.array_join(F.transform("p", shown), " ").alias("template"))
+def templates(lines: DataFrame, min_texts: int) -> DataFrame:
+    """The template of each different line of candidates that has one: LINE and TEMPLATE."""
+    texts = lines.groupBy(*LINE).agg(F.countDistinct("x", "t").alias("texts"))
+    one = lines.groupBy(*LINE).agg(*[F.first(c).alias(c) for c in (*LEAF, "n", "tokens")])
+    different = stored(one.join(texts, LINE))
+    placed = different.select(*LINE, *LEAF, "n", "texts", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
+    placed = placed.filter(~F.col("token").rlike("[0-9]")).withColumn("token", F.xxhash64("token"))
+    place = [*LEAF, "at", "token"]
+    fixed = stored(placed.groupBy(*place).agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_texts).select(*place))
+    kept = placed.join(fixed, place, "left_semi")
+    # The set of fixed places names the template; its hash does not depend on their order.
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "at", "token")).alias(f"p{i + 1}") for i in range(2)]
+    found = kept.groupBy(*LINE, *LEAF, "n").agg(F.count("*").alias("fixed"), *hashes)
+    return found.filter(F.col("fixed") * 2 >= F.col("n")).select(*LINE, *TEMPLATE)
 
 
 def recurring(lines: DataFrame, min_texts: int) -> DataFrame:
-    """lines, written, with their template and the home (d, x, t) of each template that recurs."""
-    named = stored(lines.join(stored(templates(lines, min_texts)), ["leaf", "line"]).drop("line"))
-    often = named.groupBy("leaf", "template").agg(F.countDistinct("x", "t").alias("texts"), F.min(F.struct("d", "x", "t")).alias("home"))
-    return named.join(stored(often.filter(F.col("texts") >= min_texts).drop("texts")), ["leaf", "template"])
+    """(d, t, x, at, home) of the candidate lines whose template recurs; home (d, x, t) is the first text that has it."""
+    found = stored(lines.select("d", "t", "x", "at", *LINE).join(stored(templates(lines, min_texts)), LINE).drop(*LINE))
+    often = found.groupBy(*TEMPLATE).agg(F.countDistinct("x", "t").alias("texts"), F.min(F.struct("d", "x", "t")).alias("home"))
+    return found.join(stored(often.filter(F.col("texts") >= min_texts).select(*TEMPLATE, "home")), TEMPLATE)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = LEAD, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(row, n_lines, n_removed, kept) for every row; kept is the text without its dropped lines."""
     keys = keyed(docs, id_col, text_col)
-    lines = parsed(keys, lead).withColumn("h", F.xxhash64("leaf"))
-    full = stored(lines.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts).select("h"))
-    candidates = stored(lines.join(full, "h", "left_semi").drop("h"))
     away = (F.col("home.x") != F.col("x")) | (F.col("home.t") != F.col("t"))
-    gone = recurring(candidates, min_texts).filter(away).groupBy("d", "t").agg(F.collect_set("at").alias("gone"))
-    split = F.split("x.text", "\n", -1)
-    out = keys.alias("x").join(gone.alias("y"), same_row("x", "y"), "left").select("x.row", split.alias("lines"), F.col("x.text").alias("text"), "y.gone")
+    dropped = recurring(candidates(keys, lead, min_texts), min_texts).filter(away)
+    gone = dropped.groupBy("d", "t").agg(F.collect_set("at").alias("gone"))
+    out = keys.select("d", "t", "row").alias("x").join(gone.alias("y"), same_row("x", "y"), "left").select("x.row", "y.gone")
+    text = F.col("row").getField(text_col)
+    # The one-row generator keeps the split from being done anew for every line that is looked up.
+    lines = F.when(F.col("gone").isNotNull(), F.split(text, "\n", -1))
+    out = out.select("row", "gone", F.explode(F.array(lines)).alias("lines"))
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     return out.select(
-        "row", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        "row", F.coalesce(newlines + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept"),
+        F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("kept"),
     )
 
 
