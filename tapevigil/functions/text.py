@@ -119,25 +119,30 @@ def model_sentiment(df: DataFrame, text: str, scorer: Callable[[list[str]], list
     """Score texts with any model: `scorer` maps texts to {label: probability} dicts.
 
     score = positive - negative, confidence = 1 - neutral. A batch the scorer
-    fails on falls back to the lexicon.
+    fails on falls back to the lexicon; `backend` says for each row which of the
+    two it was ("model" or "lexicon"), and `error` what the scorer failed with.
     """
 
-    @F.pandas_udf("score double, label string, confidence double")
+    @F.pandas_udf("score double, label string, confidence double, error string")
     def run(texts: pd.Series) -> pd.DataFrame:
         try:
             probs = scorer([t or "neutral" for t in texts])
-        except Exception:
-            return pd.DataFrame({"score": [None] * len(texts), "label": None, "confidence": None})
+        except Exception as fault:
+            said = f"{type(fault).__name__}: {fault}"
+            return pd.DataFrame({"score": [None] * len(texts), "label": None, "confidence": None, "error": said})
         return pd.DataFrame({
             "score": [round(p.get("positive", 0.0) - p.get("negative", 0.0), 4) for p in probs],
             "label": [max(p, key=p.get) for p in probs],
             "confidence": [round(1.0 - p.get("neutral", 0.0), 3) for p in probs],
+            "error": None,
         })
 
     scored = df.withColumn("__m", run(normalize_text(F.col(text))))
-    return scored.withColumn(
-        out, F.when(F.col("__m.score").isNotNull(), F.col("__m")).otherwise(lexicon_sentiment(F.col(text)))
-    ).drop("__m")
+    fallback = F.when(F.col("__m.score").isNull(), lexicon_sentiment(F.col(text)))
+    parts = [F.coalesce(F.col(f"__m.{f}"), F.col(f"__l.{f}")).alias(f) for f in ("score", "label", "confidence")]
+    backend = F.when(F.col("__m.score").isNotNull(), "model").otherwise("lexicon").alias("backend")
+    return scored.withColumn("__l", fallback).withColumn(
+        out, F.struct(*parts, backend, F.col("__m.error").alias("error"))).drop("__m", "__l")
 
 
 def fingerprint(text: Column) -> Column:

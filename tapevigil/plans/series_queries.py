@@ -129,10 +129,10 @@ def _stub_model(texts: list[str]) -> list[dict[str, float]]:
                case when contains(text, 'scam') then 0.6e0 else 0.1e0 end as down from texts)
 select post_id, round(up - down, 4) as score, round(least(1e0, up + down), 3) as confidence,
        case when up >= down and up >= 1 - least(1e0, up + down) then 'positive'
-            when down > up and down >= 1 - least(1e0, up + down) then 'negative' else 'neutral' end as label
+            when down > up and down >= 1 - least(1e0, up + down) then 'negative' else 'neutral' end as label, 'model' as backend
 from p"""))
 def model_sentiment(spark, sf):
-    return t.model_sentiment(v.texts(spark, sf), "text", _stub_model).select("post_id", "sentiment.*")
+    return t.model_sentiment(v.texts(spark, sf), "text", _stub_model).select("post_id", "sentiment.*").drop("error")
 
 
 @query("shingle_similarity", with_views("posts", body="""

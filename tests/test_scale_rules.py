@@ -99,3 +99,14 @@ def test_near_duplicates_of_a_large_group(spark):
         sets = [p for p in map(prints, part) if p]
         near = sum(len(a & b) >= 0.6 * len(a | b) - 1e-9 for a, b in itertools.combinations(sets, 2))
         assert abs(got[ticker] - near / (len(sets) * (len(sets) - 1) / 2)) < 1e-12
+
+
+def test_a_failing_scorer_is_seen(spark):
+    from tapevigil.functions.text import model_sentiment
+
+    def scorer(texts):
+        raise MemoryError("no room")
+
+    r = model_sentiment(spark.createDataFrame([("moon",), (None,)], "text string"), "text", scorer).select("text", "sentiment.*").collect()
+    assert {x["backend"] for x in r} == {"lexicon"} and {x["error"] for x in r} == {"MemoryError: no room"}
+    assert next(x for x in r if x["text"])["score"] > 0
