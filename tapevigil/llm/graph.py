@@ -30,11 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("c")))
     while True:
-        sent = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "c")
-        spread = stored(labels.unionByName(sent).groupBy("node").agg(F.min("c").alias("c")))
+        sent = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "c", F.lit(None).cast(labels.schema["c"].dataType).alias("was"))
+        spread = labels.select("node", "c", F.col("c").alias("was")).unionByName(sent)
+        spread = stored(spread.groupBy("node").agg(F.min("c").alias("c"), F.max("was").alias("was")))
         ahead = spread.select(F.col("node").alias("n"), F.col("c").alias("next"))
-        followed = stored(spread.join(ahead, spread.c == ahead.n).select("node", F.least("c", "next").alias("c")))
-        moved = followed.join(labels.withColumnRenamed("c", "was"), "node").filter("c <> was").limit(1).count()
-        labels = followed
-        if not moved:
+        labels = stored(spread.join(ahead, spread.c == ahead.n).select("node", F.least("c", "next").alias("c"), "was"))
+        if not labels.filter("c <> was").limit(1).count():
             return labels.select("node", F.col("c").alias("component"))
+        labels = labels.drop("was")
