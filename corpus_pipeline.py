@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapevigil.llm import bpe, jaccard, langid, linededup, mixing
-from tapevigil.llm.common import stored
+from tapevigil.llm.common import prepare, stored
 from tapevigil.llm.queries import tokenizer
-from tapevigil.plans.registry import ship
 
 #: Cosine with the nearest language below which a text is like none of them.
 LEAST_SCORE = 0.02
@@ -28,7 +27,7 @@ LEAST_SCORE = 0.02
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
-    ship(spark)
+    prepare(spark)
     told = langid.predict(F.col("text"), langid.fit(docs.filter("doc_id IS NOT NULL")))
     names = docs.columns
     judged = docs.select(F.struct("*").alias("row"), told.alias("told"))
@@ -45,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group."""
-    ship(spark)
+    prepare(spark)
     return jaccard.distinct_documents(docs)
 
 
@@ -56,11 +55,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of every row; ids are packed 32-bit integers."""
-    ship(spark)
+    prepare(spark)
     ranks, pattern = tokenizer()
-    ids = docs.select("doc_id", "lang", "source", bpe.encode(spark, F.col("text"), ranks, pattern).alias("ids"))
-    raw = ids.withColumn("raw", bpe.decode(spark, F.col("ids"), ranks, pattern))
-    return raw.select("doc_id", "lang", "source", bpe.token_count(F.col("ids")).alias("n_tokens"), "ids", F.sha2("raw", 256).alias("decoded_sha256"))
+    out = docs.select("doc_id", "lang", "source", bpe.round_trip(spark, F.col("text"), ranks, pattern).alias("t"))
+    return out.select(
+        "doc_id", "lang", "source", bpe.token_count(F.col("t.ids")).alias("n_tokens"), "t.ids", F.sha2("t.raw", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_jaccard", near_duplicates), ("source_mix", mix), ("byte_bpe", tokens)]

@@ -100,5 +100,19 @@ def decode(spark: SparkSession, packed: Column, ranks: str, pattern: str) -> Col
     return raw(packed)
 
 
+def round_trip(spark: SparkSession, text: Column, ranks: str, pattern: str, limit: int = PIECE_CHARS) -> Column:
+    """struct(ids, raw): packed ids of a text column and the bytes they decode to, by one worker a task."""
+    shared = spark.sparkContext.broadcast(rank_file(ranks))
+
+    @F.pandas_udf("ids binary, raw binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = encoding(shared.value, pattern)
+        for texts in batches:
+            ids = [encode_text(codec, t, limit).tobytes() for t in texts]
+            yield pd.DataFrame({"ids": ids, "raw": [decode_ids(codec, x) for x in ids]}, dtype=object)
+
+    return both(text)
+
+
 def token_count(packed: Column) -> Column:
     return F.coalesce((F.octet_length(packed) / 4).cast("long"), F.lit(0).cast("long"))

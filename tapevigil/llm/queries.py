@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapevigil.llm import bpe, embdedup, hamming, jaccard, langid, linededup, mixing, substring, tokencount, urlfilter
-from tapevigil.llm.common import stored
-from tapevigil.plans.registry import ship
+from tapevigil.llm.common import prepare, stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -15,7 +14,7 @@ QUERIES, ORACLES = {}, {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return fn(spark, sf)
 
         run.__doc__ = fn.__doc__
@@ -87,11 +86,10 @@ def byte_bpe(spark, sf):
     """Ids of every document and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
     docs = table(spark, sf, "documents")
-    ids = docs.select("doc_id", bpe.encode(spark, F.col("text"), ranks, pattern).alias("ids"))
-    raw = ids.select("doc_id", "ids", bpe.decode(spark, F.col("ids"), ranks, pattern).alias("raw"))
-    return raw.select(
-        "doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("raw", 256).alias("decoded_sha256"),
+    out = docs.select("doc_id", bpe.round_trip(spark, F.col("text"), ranks, pattern).alias("t"))
+    return out.select(
+        "doc_id", bpe.token_count(F.col("t.ids")).alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"),
+        F.sha2("t.raw", 256).alias("decoded_sha256"),
     )
 
 
