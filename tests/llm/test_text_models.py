@@ -31,6 +31,9 @@ def test_ids_are_the_librarys_and_decode_to_the_text(spark):
         want = codec.encode_ordinary(r["text"] or "")
         assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n"] == len(want)
         assert bytes(r["raw"]) == (r["text"] or "").encode()
+    both = docs.select("text", bpe.round_trip(spark, F.col("text"), RANKS, PATTERN, 1000).alias("t")).select("text", "t.*")
+    for r in both.collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == codec.encode_ordinary(r["text"] or "") and bytes(r["raw"]) == (r["text"] or "").encode()
     assert ids.limit(0).count() == 0
 
 
