@@ -91,7 +91,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         probes = probes.withColumn("flip", F.explode(flips(bits, radius))).select("q", "bound", F.col("s").alias("ps"), F.col("base").bitwiseXOR(F.col("flip")).alias("pv"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         meets = (F.col("ps") == F.col("s")) & (F.col("pv") == F.col("v")) & (distance <= F.col("bound")) & first_found(F.col("q"), F.col("code"), F.col("s"), radius, bits)
-        new = probes.join(index, meets).select("q", distance.alias("distance"), F.explode("ids").alias("id"))
+        # Probes are many times the queries that they are made of, which plans don't know: never broadcast them.
+        new = probes.hint("merge").join(index, meets).select("q", distance.alias("distance"), F.explode("ids").alias("id"))
         lists = stored(best(new if found is None else found.unionByName(new), wanted).select("q", "distance", "id"))
         covered = BITS // bits * (radius + 1) - 1
         ends = lists.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
