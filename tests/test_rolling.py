@@ -183,8 +183,8 @@ def test_reference_series_cases(spark):
 
 
 def test_latency_summary(spark):
-    rows = [("a", i, i, float(i % 300)) for i in range(3000)]
-    r = rolling.latency_summary(make(spark, rows), ["k"], "x", ["ts_ms"]).first()
-    newest = sorted(float(i % 300) for i in range(3000 - 2048, 3000))
-    assert r["count"] == 2048 and r.p95 == newest[math.ceil(0.95 * 2048) - 1]
-    assert r.breaches == sum(1 for i in range(3000) if i % 300 > 200)
+    rows = make(spark, [("a", i, i, float(i % 300)) for i in range(3000)])
+    for keep, values in ((None, [float(i % 300) for i in range(3000)]), (2048, [float(i % 300) for i in range(3000 - 2048, 3000)])):
+        r = rolling.latency_summary(rows, ["k"], "x", ["ts_ms"], keep=keep).first()
+        assert r["count"] == len(values) and r.p95 == sorted(values)[math.ceil(0.95 * len(values)) - 1]
+        assert r.breaches == sum(v > 200 for v in values)
