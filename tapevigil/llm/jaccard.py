@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapevigil.llm.common import stored, text_slices
+from tapevigil.llm.common import WORD, stored, text_slices
 from tapevigil.llm.graph import components, least_linked
 from tapevigil.llm.hashing import Words, mix
 from tapevigil.llm.substring import NO_ID, keyed, same_row
@@ -104,7 +104,7 @@ def sketch(keys: DataFrame, n: int, trees: int, length: int) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(prefixes.ravel().view(np.int64))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), named, *lists], names=["d", "t", "cls", "short", "long"])
 
-    return keys.select("d", "t", "text").mapInArrow(scan, "d long, t int, cls binary, short array<long>, long array<long>")
+    return keys.select("d", "t", "text").mapInArrow(scan, "d long, t binary, cls binary, short array<long>, long array<long>")
 
 
 def candidates(classes: DataFrame, crowd: int) -> DataFrame:
@@ -189,7 +189,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, with one row left of each linked group and of equal rows: the smallest id's."""
+    """The rows of docs, all columns: one row of each linked group, the smallest id's, and every row without words."""
     kept = stored(joined(docs, id_col, text_col, **options).filter("first").select("d", "t").distinct())
-    rows = keyed(docs, id_col, text_col).select("d", "t", "row").alias("x").join(kept.alias("y"), same_row("x", "y"))
-    return rows.select("x.d", "x.t", "x.row").dropDuplicates(["d", "t"]).select("row.*")
+    keys = keyed(docs, id_col, text_col).withColumn("wordless", ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    rows = keys.filter("NOT wordless").select("d", "t", "row").alias("x").join(kept.alias("y"), same_row("x", "y"))
+    linked = rows.select("x.d", "x.t", "x.row").dropDuplicates(["d", "t"])
+    return linked.select("row").unionByName(keys.filter("wordless").select("row")).select("row.*")

@@ -53,8 +53,8 @@ def single_spaced(line: Column) -> Column:
 
 
 def parsed(keys: DataFrame, lead: int) -> DataFrame:
-    """(d, t, x, at, line, tokens, n, leaf) of every line; (x, t) name a text, leaf is "" for fewer than `lead` tokens."""
-    lines = keys.select("d", "t", F.xxhash64("text").alias("x"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    """(d, t, at, line, tokens, n, leaf) of every line; t names a text, leaf is "" for fewer than `lead` tokens."""
+    lines = keys.select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.withColumn("tokens", single_spaced(F.col("line")))
     spaces = F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit("")))
     n = F.when(F.col("tokens") == "", 0).otherwise(spaces + 1)
@@ -69,12 +69,12 @@ def candidates(keys: DataFrame, lead: int, min_texts: int) -> DataFrame:
     leaf = named(F.col("leaf"), LEAF)
     nowhere = F.xxhash64(F.lit(0), F.lit(""))
     full = stored(lines.groupBy(leaf[0]).count().filter((F.col("count") >= min_texts) & (F.col("h1") != nowhere)).select("h1"))
-    return stored(lines.select("d", "t", "x", "at", *named(F.col("line"), LINE), *leaf, "n", "tokens").join(full, "h1", "left_semi"))
+    return stored(lines.select("d", "t", "at", *named(F.col("line"), LINE), *leaf, "n", "tokens").join(full, "h1", "left_semi"))
 
 
 def templates(lines: DataFrame, min_texts: int) -> DataFrame:
     """The template of each different line of candidates that has one: LINE and TEMPLATE."""
-    texts = lines.groupBy(*LINE).agg(F.countDistinct("x", "t").alias("texts"))
+    texts = lines.groupBy(*LINE).agg(F.countDistinct("t").alias("texts"))
     one = lines.groupBy(*LINE).agg(*[F.first(c).alias(c) for c in (*LEAF, "n", "tokens")])
     different = stored(one.join(texts, LINE))
     placed = different.select(*LINE, *LEAF, "n", "texts", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
@@ -89,17 +89,16 @@ def templates(lines: DataFrame, min_texts: int) -> DataFrame:
 
 
 def recurring(lines: DataFrame, min_texts: int) -> DataFrame:
-    """(d, t, x, at, home) of the candidate lines whose template recurs; home (d, x, t) is the first text that has it."""
-    found = stored(lines.select("d", "t", "x", "at", *LINE).join(stored(templates(lines, min_texts)), LINE).drop(*LINE))
-    often = found.groupBy(*TEMPLATE).agg(F.countDistinct("x", "t").alias("texts"), F.min(F.struct("d", "x", "t")).alias("home"))
+    """(d, t, at, home) of the candidate lines whose template recurs; home (d, t) is the first text that has it."""
+    found = stored(lines.select("d", "t", "at", *LINE).join(stored(templates(lines, min_texts)), LINE).drop(*LINE))
+    often = found.groupBy(*TEMPLATE).agg(F.countDistinct("t").alias("texts"), F.min(F.struct("d", "t")).alias("home"))
     return found.join(stored(often.filter(F.col("texts") >= min_texts).select(*TEMPLATE, "home")), TEMPLATE)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = LEAD, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(row, n_lines, n_removed, kept) for every row; kept is the text without its dropped lines."""
     keys = keyed(docs, id_col, text_col)
-    away = (F.col("home.x") != F.col("x")) | (F.col("home.t") != F.col("t"))
-    dropped = recurring(candidates(keys, lead, min_texts), min_texts).filter(away)
+    dropped = recurring(candidates(keys, lead, min_texts), min_texts).filter(F.col("home.t") != F.col("t"))
     gone = dropped.groupBy("d", "t").agg(F.collect_set("at").alias("gone"))
     out = keys.select("d", "t", "row").alias("x").join(gone.alias("y"), same_row("x", "y"), "left").select("x.row", "y.gone")
     text = F.col("row").getField(text_col)

@@ -41,8 +41,8 @@ NO_ID = -(1 << 63)
 #: A stretch is packed as first window x SPAN + further windows.
 SPAN = 64
 
-ANCHORS = "d long, t int, anchor long, stretch long, span long"
-WINDOWS = "d long, t int, anchor long, n long, word long, window long"
+ANCHORS = "d long, t binary, anchor long, stretch long, span long"
+WINDOWS = "d long, t binary, anchor long, n long, word long, window long"
 
 
 def anchors(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -65,10 +65,11 @@ def anchors(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d, t (together a row's key up to repeated rows), text and the whole row."""
+    """d, t (together a row's key up to repeated rows), text and the whole row; t is the text's 128-bit digest, empty for null."""
     text = F.col(text_col)
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(d.alias("d"), F.hash(text).alias("t"), text.alias("text"), F.struct("*").alias("row"))
+    t = F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+    return docs.select(d.alias("d"), t.alias("t"), text.alias("text"), F.struct("*").alias("row"))
 
 
 def found_anchors(keys: DataFrame, window: int, seed: int) -> DataFrame:

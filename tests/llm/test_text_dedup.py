@@ -116,3 +116,23 @@ def test_empty_tables(spark):
 def test_rarely_changed_parts():
     assert jaccard.longest_prefix(0.8, 0.9995, 20) == 5
     assert 1 - (1 - 0.8**5) ** 20 >= 0.9995
+
+
+def test_texts_with_one_32_bit_hash_are_told_apart(spark):
+    a, b = (" ".join(f"w{k}x{i}" for k in range(40)) for i in (94274, 248532))
+    rows = [(None, a), (None, b), (1, a)]
+    table = docs(spark, rows)
+    assert table.select(F.hash("text")).distinct().count() == 1
+    out = substring.deduplicated(table).select("row.doc_id", "row.text", "n_removed", "kept").collect()
+    assert {(r["text"], r["n_removed"], r["kept"]) for r in out} == {(a, 40, ""), (b, 0, b)}
+    assert sorted(r["text"] for r in jaccard.distinct_documents(table).collect()) == sorted([a, b])
+    notes = [(i, f"own{i}\nSee all of our terms") for i in range(20)]
+    lined = linededup.deduplicated(docs(spark, [*rows, *notes])).select("row.doc_id", "row.text", "kept").collect()
+    assert all(r["kept"] == r["text"] for r in lined if r["text"] in (a, b))
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, "", "c"), (None, " ", "d"), (None, " ", "e"), (None, "one", "f"), (None, "one", "g")]
+    left = jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted(r["source"] for r in left.collect())
+    assert got[:5] == list("abcde") and len(got) == 6
