@@ -4,17 +4,25 @@ The tree has fixed depth: a line goes down by its number of tokens, then by its
 `LEAD` first tokens, with tokens that hold a digit masked as variable. In a leaf,
 a token keeps its place in the template if lines of at least `MIN_TEXTS` texts
 have it there, else its place is a variable field; no order of arrival matters.
-Lines whose fields are for the most part variable have no template, nor have
-lines of fewer than `LEAD` tokens.
+Lines whose fields are for the most part variable have no template.
 
 A template recurs if lines of at least `MIN_TEXTS` different texts have it (equal
 texts count once: whole copies are for document dedup). A recurring template's
 lines are dropped everywhere but in its home, the text with the smallest id that
 has it, and that text's copies: what it says stays in the corpus once.
 
+As data grow, each value of a variable field comes to keep its place, and one
+template falls apart into combinations that are rare one by one. So each template
+has a stem: of the line's fixed tokens the most frequent ones of the leaf, half as
+many as the line has tokens. Constants are at least as frequent as the values of
+fields, so combinations of one template share their stem, at every size. Lines
+whose template does not recur but whose stem does go with their stem: they are
+dropped everywhere but in the stem's home. `stems=False` leaves this step out,
+as `SQL` does.
+
 Only lines in leaves with `MIN_TEXTS` lines or more are moved about, lines, leaves
 and templates by 128-bit hashes; different lines are counted before their tokens
-are looked at, and tokens are never gathered.
+are looked at, and tokens are never gathered: a stem takes a sort of each line's.
 
 Defined results: lines are split at "\n" and kept lines are joined by it again,
 so a text without dropped lines is unchanged; a null text stays null with 0
@@ -25,7 +33,7 @@ All input columns come back in `row`, so their names don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapevigil.llm.common import WORD, stored
@@ -37,6 +45,8 @@ FIELD = "<*>"
 #: 128-bit names of a line, a leaf and, within a leaf, a template.
 LINE, LEAF = ["l1", "l2"], ["h1", "h2"]
 TEMPLATE = [*LEAF, "p1", "p2"]
+#: Within a leaf, a stem.
+STEM = [*LEAF, "s1", "s2"]
 
 
 def named(value: Column, names: list[str]) -> list[Column]:
@@ -72,33 +82,48 @@ def candidates(keys: DataFrame, lead: int, min_texts: int) -> DataFrame:
     return stored(lines.select("d", "t", "at", *named(F.col("line"), LINE), *leaf, "n", "tokens").join(full, "h1", "left_semi"))
 
 
-def templates(lines: DataFrame, min_texts: int) -> DataFrame:
-    """The template of each different line of candidates that has one: LINE and TEMPLATE."""
+def templates(lines: DataFrame, min_texts: int, stems: bool) -> DataFrame:
+    """The template of each different line of candidates that has one: LINE, TEMPLATE and, with `stems`, STEM."""
     texts = lines.groupBy(*LINE).agg(F.countDistinct("t").alias("texts"))
     one = lines.groupBy(*LINE).agg(*[F.first(c).alias(c) for c in (*LEAF, "n", "tokens")])
     different = stored(one.join(texts, LINE))
     placed = different.select(*LINE, *LEAF, "n", "texts", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
     placed = placed.filter(~F.col("token").rlike("[0-9]")).withColumn("token", F.xxhash64("token"))
     place = [*LEAF, "at", "token"]
-    fixed = stored(placed.groupBy(*place).agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_texts).select(*place))
-    kept = placed.join(fixed, place, "left_semi")
+    fixed = stored(placed.groupBy(*place).agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_texts).select(*place, F.col("texts").alias("often")))
+    kept = placed.join(fixed, place)
     # The set of fixed places names the template; its hash does not depend on their order.
-    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "at", "token")).alias(f"p{i + 1}") for i in range(2)]
-    found = kept.groupBy(*LINE, *LEAF, "n").agg(F.count("*").alias("fixed"), *hashes)
-    return found.filter(F.col("fixed") * 2 >= F.col("n")).select(*LINE, *TEMPLATE)
-
-
-def recurring(lines: DataFrame, min_texts: int) -> DataFrame:
-    """(d, t, at, home) of the candidate lines whose template recurs; home (d, t) is the first text that has it."""
-    found = stored(lines.select("d", "t", "at", *LINE).join(stored(templates(lines, min_texts)), LINE).drop(*LINE))
-    often = found.groupBy(*TEMPLATE).agg(F.countDistinct("t").alias("texts"), F.min(F.struct("d", "t")).alias("home"))
-    return found.join(stored(often.filter(F.col("texts") >= min_texts).select(*TEMPLATE, "home")), TEMPLATE)
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = LEAD, min_texts: int = MIN_TEXTS) -> DataFrame:
+    hashes = [F.xxhash64(F.lit(i), "at", "token") for i in range(2)]
+    sums = [F.bit_xor(h).alias(f"p{i + 1}") for i, h in enumerate(hashes)]
+    if stems:
+        kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy(*LINE).orderBy(F.desc("often"), "at")))
+        sums += [F.bit_xor(F.when(F.col("turn") * 2 <= F.col("n") + 1, h)).alias(f"s{i + 1}") for i, h in enumerate(hashes)]
+    found = kept.groupBy(*LINE, *LEAF, "n").agg(F.count("*").alias("fixed"), *sums)
+    return found.filter(F.col("fixed") * 2 >= F.col("n")).select(*LINE, *TEMPLATE, *(STEM[2:] if stems else []))
+
+
+def homes(found: DataFrame, name: list[str], min_texts: int, home: str) -> DataFrame:
+    """The names that lines of at least `min_texts` texts have, and the first of these texts (d, t)."""
+    often = found.groupBy(*name).agg(F.countDistinct("t").alias("texts"), F.min(F.struct("d", "t")).alias(home))
+    return stored(often.filter(F.col("texts") >= min_texts).select(*name, home))
+
+
+def recurring(lines: DataFrame, min_texts: int, stems: bool) -> DataFrame:
+    """(d, t, at, home) of the candidate lines whose template or stem recurs; home (d, t) is the first text that has it."""
+    found = stored(lines.select("d", "t", "at", *LINE).join(stored(templates(lines, min_texts, stems)), LINE).drop(*LINE))
+    if not stems:
+        return found.join(homes(found, TEMPLATE, min_texts, "home"), TEMPLATE)
+    # A template that recurs has a stem that does.
+    found = found.join(homes(found, STEM, min_texts, "stem_home"), STEM)
+    found = found.join(homes(found, TEMPLATE, min_texts, "own_home"), TEMPLATE, "left")
+    return found.withColumn("home", F.coalesce("own_home", "stem_home"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = LEAD, min_texts: int = MIN_TEXTS,
+                 stems: bool = True) -> DataFrame:
     """(row, n_lines, n_removed, kept) for every row; kept is the text without its dropped lines."""
     keys = keyed(docs, id_col, text_col)
-    dropped = recurring(candidates(keys, lead, min_texts), min_texts).filter(F.col("home.t") != F.col("t"))
+    dropped = recurring(candidates(keys, lead, min_texts), min_texts, stems).filter(F.col("home.t") != F.col("t"))
     gone = dropped.groupBy("d", "t").agg(F.collect_set("at").alias("gone"))
     out = keys.select("d", "t", "row").alias("x").join(gone.alias("y"), same_row("x", "y"), "left").select("x.row", "y.gone")
     text = F.col("row").getField(text_col)

@@ -136,3 +136,26 @@ def test_rows_without_words_all_stay(spark):
     left = jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = sorted(r["source"] for r in left.collect())
     assert got[:5] == list("abcde") and len(got) == 6
+
+
+def test_word_fields_do_not_split_templates_at_any_size(spark):
+    days, months = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split(), "January February March April May June July August September October November December".split()
+    names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    for size in (40, 150, 400, 800, 2000):
+        rng = random.Random(size)
+        rows = []
+        for i in range(size):
+            lines = [f"own{i}", f"Last updated on {rng.choice(days)} in {rng.choice(months)} by staff"]
+            lines += [f"Articles written by {rng.choice(names)} for the section {rng.choice(names)} of this paper"]
+            rows.append((i, "\n".join(lines)))
+        out = linededup.deduplicated(docs(spark, rows)).select("n_removed", "kept").collect()
+        for start in ("Last updated", "Articles written"):
+            # Templates that recur keep a home each, so at most one in ten texts.
+            assert sum(start in r["kept"] for r in out) <= 1 + size // 10
+        assert all("own" in r["kept"] for r in out)
+
+
+def test_templates_of_one_leaf_keep_a_home_each(spark):
+    rows = [(i, f"own{i}\nClick here to {'read' if i % 3 else 'send'} the {'story' if i % 3 else 'letter'}") for i in range(90)]
+    kept = [r["kept"] for r in linededup.deduplicated(docs(spark, rows)).select("kept").collect()]
+    assert sorted(k.split("\n")[1] for k in kept if "\n" in k) == ["Click here to read the story", "Click here to send the letter"]
