@@ -4,7 +4,9 @@ The tree has fixed depth: a line goes down by its number of tokens, then by its
 `LEAD` first tokens, with tokens that hold a digit masked as variable. In a leaf,
 a token keeps its place in the template if lines of at least `MIN_TEXTS` texts
 have it there, else its place is a variable field; no order of arrival matters.
-Lines whose fields are for the most part variable have no template.
+Lines whose fields are for the most part variable have no template. A line of
+fewer than `LEAD` tokens goes down by all of them; one without tokens has no leaf,
+nor has one of fewer than `least` tokens (`SQL` has `LEAD` there, the default is 1).
 
 A template recurs if lines of at least `MIN_TEXTS` different texts have it (equal
 texts count once: whole copies are for document dedup). A recurring template's
@@ -62,20 +64,20 @@ def single_spaced(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
 
 
-def parsed(keys: DataFrame, lead: int) -> DataFrame:
-    """(d, t, at, line, tokens, n, leaf) of every line; t names a text, leaf is "" for fewer than `lead` tokens."""
+def parsed(keys: DataFrame, lead: int, least: int) -> DataFrame:
+    """(d, t, at, line, tokens, n, leaf) of every line; t names a text, leaf is "" for fewer than `least` tokens."""
     lines = keys.select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.withColumn("tokens", single_spaced(F.col("line")))
     spaces = F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit("")))
     n = F.when(F.col("tokens") == "", 0).otherwise(spaces + 1)
     first = F.regexp_replace(F.substring_index("tokens", " ", lead), "[^ ]*[0-9][^ ]*", FIELD)
-    leaf = F.when(F.col("n") >= lead, F.concat_ws(" ", F.col("n").cast("string"), first)).otherwise("")
+    leaf = F.when(F.col("n") >= max(least, 1), F.concat_ws(" ", F.col("n").cast("string"), first)).otherwise("")
     return lines.withColumn("n", n).withColumn("leaf", leaf)
 
 
-def candidates(keys: DataFrame, lead: int, min_texts: int) -> DataFrame:
+def candidates(keys: DataFrame, lead: int, min_texts: int, least: int) -> DataFrame:
     """The lines of leaves with at least `min_texts` lines, with their names; written once."""
-    lines = parsed(keys, lead)
+    lines = parsed(keys, lead, least)
     leaf = named(F.col("leaf"), LEAF)
     nowhere = F.xxhash64(F.lit(0), F.lit(""))
     full = stored(lines.groupBy(leaf[0]).count().filter((F.col("count") >= min_texts) & (F.col("h1") != nowhere)).select("h1"))
@@ -120,10 +122,10 @@ def recurring(lines: DataFrame, min_texts: int, stems: bool) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = LEAD, min_texts: int = MIN_TEXTS,
-                 stems: bool = True) -> DataFrame:
+                 stems: bool = True, least: int = 1) -> DataFrame:
     """(row, n_lines, n_removed, kept) for every row; kept is the text without its dropped lines."""
     keys = keyed(docs, id_col, text_col)
-    dropped = recurring(candidates(keys, lead, min_texts), min_texts, stems).filter(F.col("home.t") != F.col("t"))
+    dropped = recurring(candidates(keys, lead, min_texts, least), min_texts, stems).filter(F.col("home.t") != F.col("t"))
     gone = dropped.groupBy("d", "t").agg(F.collect_set("at").alias("gone"))
     out = keys.select("d", "t", "row").alias("x").join(gone.alias("y"), same_row("x", "y"), "left").select("x.row", "y.gone")
     text = F.col("row").getField(text_col)

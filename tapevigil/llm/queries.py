@@ -57,7 +57,7 @@ def language_id(spark, sf):
 @query("op2_line_dedup", linededup.SQL)
 def line_dedup(spark, sf):
     """Lines of recurring templates, removed from every document."""
-    out = linededup.deduplicated(table(spark, sf, "documents"), stems=False)
+    out = linededup.deduplicated(table(spark, sf, "documents"), stems=False, least=linededup.LEAD)
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

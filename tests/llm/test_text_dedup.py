@@ -159,3 +159,14 @@ def test_templates_of_one_leaf_keep_a_home_each(spark):
     rows = [(i, f"own{i}\nClick here to {'read' if i % 3 else 'send'} the {'story' if i % 3 else 'letter'}") for i in range(90)]
     kept = [r["kept"] for r in linededup.deduplicated(docs(spark, rows)).select("kept").collect()]
     assert sorted(k.split("\n")[1] for k in kept if "\n" in k) == ["Click here to read the story", "Click here to send the letter"]
+
+
+def test_short_lines_recur_like_the_rest(spark):
+    rows = [(i, f"own{i}\n\nRead more\n{i}\nAdvertisement\nPage {i}\n \nRead on{'' if i else ' once'}") for i in range(30)]
+    rows += [(100 + i, f"other{i}\nSeldom seen") for i in range(9)]
+    got = {r["doc_id"]: r for r in linededup.deduplicated(docs(spark, rows)).select("row.doc_id", "n_removed", "kept").collect()}
+    assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == 3 and got[1]["kept"].endswith("Read on")
+    for i in range(2, 30):
+        assert (got[i]["n_removed"], got[i]["kept"]) == (4, f"own{i}\n\n{i}\n ")
+    for i in range(100, 109):
+        assert got[i]["n_removed"] == 0
