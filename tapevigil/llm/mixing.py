@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame operations only).
 
-Every document has a hash of its id. Sizes are summed by source and hash bucket;
+Every document has a hash of its id and text. Sizes are summed by source and hash bucket;
 in the running sum of a source's buckets one bucket crosses the source's budget,
 and only that bucket is refined into smaller ones, twice. The result is a hash
 threshold per source: documents below it are taken once more than the source's
@@ -13,7 +13,8 @@ size; the excess is shared again by weight. That is the level at which
 min(cap * size, weight * level) adds up to the total.
 
 Defined results: a null text has size 0; a null source is a source of its own; a
-null id hashes as an empty one; rows with equal ids are taken alike; a source
+null id hashes as an empty one; rows with equal id and text are taken alike (with
+`by_text=False`, as in `SQL`, rows with equal ids); a source
 without words has target 0 and its rows are taken 0 times; an empty table gives
 an empty result. `plan` and `take` read named columns only; `mixed` returns all
 columns of its input, whatever their names.
@@ -36,9 +37,15 @@ def id_hash(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of documents."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 36 bits of the digest of id and text."""
+    return id_hash(F.concat_ws(" ", doc_id.cast("string"), F.md5(text.cast("binary"))))
+
+
+def sized(docs: DataFrame, by_text: bool = True) -> DataFrame:
+    """(doc_id, source, size, h) of documents; h is of id and text, or of the id alone."""
+    h = row_hash(F.col("doc_id"), F.col("text")) if by_text else id_hash(F.col("doc_id"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"))
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -106,7 +113,7 @@ def take(sizes: DataFrame, chosen: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
     """All columns of docs, each row as often as the mix takes it."""
     chosen = plan(stored(sized(docs)), weights, cap).withColumnRenamed("source", "of")
-    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), id_hash(F.col("doc_id")).alias("h"))
+    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     times = F.when(F.col("source_size") > 0, F.col("repeats") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)).otherwise(0)
     return (
         row.join(chosen, F.col("source").eqNullSafe(F.col("of")))

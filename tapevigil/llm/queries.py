@@ -118,6 +118,6 @@ def embedding_dedup(spark, sf):
 @query("op10_source_mix", mixing.SQL)
 def source_mix(spark, sf):
     """Words that the mix takes of every document."""
-    sizes = stored(mixing.sized(table(spark, sf, "documents")))
+    sizes = stored(mixing.sized(table(spark, sf, "documents"), by_text=False))
     taken = mixing.take(sizes, mixing.plan(sizes))
     return taken.select("doc_id", "size", "source_size", "target", "taken")

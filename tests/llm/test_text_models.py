@@ -175,3 +175,12 @@ def test_mix_reshares_the_excess(spark):
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
     assert got["a"] == 60 and abs(got["b"] - 960 * 2 / 3) < 1e-9 and abs(got["c"] - 320) < 1e-9
     assert hashlib.md5(b"7").hexdigest()[:9] == f"{spark.range(7, 8).select(mixing.id_hash(F.col('id'))).first()[0]:09x}"
+
+
+def test_mix_splits_sources_without_ids(spark):
+    rows = [(None if s == "a" else 7, f"{s} {i} " + "w " * 8, s) for s in "abc" for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.sized(docs)
+    got = mixing.take(sizes, mixing.plan(sizes)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 10 for r in got) and len(got) == 3
+    assert sum(r["taken"] for r in got) == 10 * mixing.mixed(docs).count()
