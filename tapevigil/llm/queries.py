@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapevigil.llm import bpe, embdedup, hamming, jaccard, langid, linededup, mixing, substring, tokencount, urlfilter
+from tapevigil.llm import (
+    bpe,
+    codes,
+    embdedup,
+    hamming,
+    jaccard,
+    langid,
+    linededup,
+    mixing,
+    packing,
+    ranking,
+    substring,
+    tokencount,
+    urlfilter,
+)
 from tapevigil.llm.common import prepare, stored
 
 QUERIES, ORACLES = {}, {}
@@ -121,3 +135,26 @@ def source_mix(spark, sf):
     sizes = stored(mixing.sized(table(spark, sf, "documents"), by_text=False))
     taken = mixing.take(sizes, mixing.plan(sizes))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_lexical_search", ranking.SQL)
+def lexical_search(spark, sf):
+    """The 10 documents with the highest scores for every benchmark item."""
+    found = ranking.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query("op12_vector_codes", codes.SQL)
+def vector_codes(spark, sf):
+    """Code and error of every vector that is kept."""
+    found, books = codes.coded(table(spark, sf, "embeddings"))
+    out = codes.with_label_error(found)
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_packing")
+def pack(spark, sf):
+    """Pieces of all documents, packed into sequences of 2,048 tokens."""
+    vocabulary, pattern = tokenizer("byte_bpe_50k.json")
+    out = packing.packed(table(spark, sf, "documents"), vocabulary, pattern)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
