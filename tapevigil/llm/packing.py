@@ -15,8 +15,8 @@ whose lengths are powers of two, which need no padding.
 So no window is padded, tasks depend on no other task, nothing is shuffled, and
 a task holds one document and a pool of bounded size.
 
-Ids: a match of the pre-token pattern is encoded once by the library and kept in a
-table of bounded size. Texts with characters on whose class Unicode versions may
+Ids: a match of the pre-token pattern is encoded once by the library and kept in
+tables of bounded size. Texts with characters on whose class Unicode versions may
 differ are encoded by the library as a whole, long ones cut at safe boundaries.
 
 Defined results: a null text counts as empty, an empty text is its end id alone;
@@ -26,7 +26,11 @@ table gives an empty result. Only the two named columns are read.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -43,44 +47,124 @@ WINDOW, END = 2048, 1
 #: Ids and stretches that a task's pool holds before windows are filled.
 POOL_TOKENS, POOL_STRETCHES = 1 << 21, 1 << 16
 
-#: Pre-tokens whose ids a worker keeps, and bytes of ids that a task puts out at a time.
-KEPT, OUT_BYTES = 1 << 19, 4 << 20
+#: Pre-tokens of each of two generations whose ids a worker keeps, characters that are encoded at a time, and bytes
+#: of ids that a task puts out at a time.
+KEPT, GROUP_CHARS, OUT_BYTES = 1 << 19, 1 << 17, 4 << 20
 
-#: Characters outside blocks whose letters and numbers no Unicode version of the last ten years has changed.
-UNSETTLED = r"[^\x00-\u04FF\u2000-\u206F\u20A0-\u20BF\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FD5\uAC00-\uD7A3]"
+#: Characters outside blocks whose letters and numbers no Unicode version of the last ten years has changed,
+#: and the four separators on which libraries differ.
+UNSETTLED = r"[^\x00-\x1B\x20-\u04FF\u2000-\u206F\u20A0-\u20BF\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FD5\uAC00-\uD7A3]"
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def spelt_out(pattern: str) -> str:
+    """The pattern with its character properties written as ranges, for settled characters."""
+    import regex
+
+    unsettled = re.compile(UNSETTLED)
+    settled = "".join(c for c in map(chr, range(0xD800)) if not unsettled.match(c))
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part.startswith(r"\p"):
+            runs = "".join(f"{re.escape(x[0])}-{re.escape(x[-1])}" for r in regex.findall(f"{part}+", settled) for x in consecutive(r))
+            out.append(runs if inside else f"[{runs}]")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return "".join(out)
+
+
+def consecutive(chars: str) -> list[str]:
+    """Stretches whose code points follow each other."""
+    cuts = [i for i in range(1, len(chars)) if ord(chars[i]) != ord(chars[i - 1]) + 1]
+    return [chars[i:j] for i, j in zip([0, *cuts], [*cuts, len(chars)])]
 
 
 class Encoder:
     """Ids of texts as packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: bytes, pattern: str):
-        import regex
-        from tokenizers import Tokenizer
+    def __init__(self, vocabulary: bytes, pattern: str, kept: int = KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.library.encode_special_tokens = True
-        self.split, self.unsettled = regex.compile(pattern).findall, regex.compile(UNSETTLED).search
+        # The same model for many pre-tokens in one text, each byte as the character that stands for it, between line ends.
+        alphabet = iter(c for c in sorted(pre_tokenizers.ByteLevel.alphabet()) if ord(c) > 255)
+        shown = [chr(b) if chr(b) in pre_tokenizers.ByteLevel.alphabet() else next(alphabet) for b in range(256)]
+        self.shown, line_end = "".join(shown), shown[0x0A]
+        self.line_end_id = self.library.token_to_id(line_end)
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(line_end, "isolated")
+        self.split, self.unsettled = re.compile(spelt_out(pattern)).findall, re.compile(UNSETTLED).search
+        # A full generation becomes the older one, from which pre-tokens that are met again come back.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept = kept
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.unsettled(text):
-            return b"".join(self.plain(list(pieces(text))))
-        return b"".join(map(self.settled, pieces(text)))
-
-    def settled(self, text: str) -> bytes:
-        words = self.split(text)
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(set(words))
-        if new:
-            self.known.update(zip(new, self.plain(new)))
-        return b"".join(map(self.known.__getitem__, words))
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """Pre-tokens with their ids."""
+        lines = [w for w in words if "\n" not in w]
+        if not lines:
+            return list(zip(words, self.plain(words)))
+        shown = charmap_decode("\n".join(lines).encode(), "strict", self.shown)[0]
+        ids = np.asarray(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends = [*(np.flatnonzero(ids == self.line_end_id) * 4).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        spaced = [w for w in words if "\n" in w]
+        ids_of = [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+        return [*zip(lines, ids_of, strict=True), *zip(spaced, self.plain(spaced))]
+
+    def settled(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of settled characters, by way of their pre-tokens."""
+        words = [self.split(t) for t in texts]
+        if len(self.known) > self.kept:
+            self.known, self.older = {}, self.known
+        unique = set().union(*words)
+        unknown = unique.difference(self.known)
+        again = {w: self.older[w] for w in unknown if w in self.older}
+        self.known.update(again)
+        self.known.update(self.words(list(unknown.difference(again))))
+        # A group's own table is small enough to stay in the processor's cache.
+        here = dict(zip(unique, map(self.known.__getitem__, unique)))
+        ids_of = here.__getitem__
+        return [b"".join(map(ids_of, w)) for w in words]
+
+    def all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; null counts as empty."""
+        done: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, str]] = []
+        chars = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(group, self.settled([t for _, t in group])):
+                done[i].append(ids)
+            group.clear()
+
+        for i, text in enumerate(texts):
+            if text and self.unsettled(text):
+                done[i] = self.plain(list(pieces(text)))
+                continue
+            for piece in pieces(text or ""):
+                group.append((i, piece))
+                chars += len(piece)
+                if chars > GROUP_CHARS:
+                    flush()
+                    chars = 0
+        flush()
+        return map(b"".join, done)
+
+
+def encoder(vocabulary: bytes, pattern: str) -> Encoder:
+    """The worker's encoder, with what it knows from earlier tasks."""
+    key = hash((vocabulary, pattern))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, pattern)
+    return _ENCODERS[key]
 
 
 def closest(counts: dict[int, int], longest_first: Iterable[int], capacity: int) -> dict[int, int]:
@@ -194,15 +278,14 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
          T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, kind = None, np.asarray([end], "<u4").tobytes(), None
+        last, kind = np.asarray([end], "<u4").tobytes(), None
 
         def documents():
-            nonlocal encoder, kind
+            nonlocal kind
             for batch in batches:
                 kind = batch.schema.field(0).type
-                encoder = encoder or Encoder(shared.value, pattern)
-                for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield name, encoder.of(text.as_py()) + last
+                for name, ids in zip(batch.column(0).to_pylist(), encoder(shared.value, pattern).all(batch.column(1).to_pylist())):
+                    yield name, ids + last
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             types = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
