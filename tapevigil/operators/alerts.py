@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import score_rank, text
-from tapevigil.operators.folds import cooldown_gate
+from tapevigil.operators.folds import CHUNK_ROWS, cooldown_gate
 from tapevigil.operators.ranks import quantiles
-from tapevigil.operators.series import DEFAULT_BLOCK_MS, on_keys
+from tapevigil.operators.series import on_keys
 
 ALERT_KEYS = ["asset_pair", "venue"]
 ALERT_ORDER = ["ts_ms", "signal_id"]
@@ -24,7 +24,7 @@ def above_threshold(signals: DataFrame, min_score: float = 80.0) -> DataFrame:
 
 
 def route_alerts(signals: DataFrame, min_score: float = 80.0, cooldown_ms: int = 300_000,
-                 block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Decide for every signal whether it is sent, and why.
 
     Per (asset, venue) the first alert goes out, then one of higher severity than
@@ -33,7 +33,7 @@ def route_alerts(signals: DataFrame, min_score: float = 80.0, cooldown_ms: int =
     """
     eligible = above_threshold(signals, min_score).withColumn("severity_rank", score_rank(F.col("score")))
     gated = cooldown_gate(eligible, ALERT_KEYS, ALERT_ORDER, cooldown_ms, rank="severity_rank",
-                          block_ms=block_ms)
+                          chunk_rows=chunk_rows)
     left_s = (F.lit(cooldown_ms) - F.col("gate_since_ms")) / 1000.0
     why = F.col("gate_reason")
     decided = gated.select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import obi_direction
-from tapevigil.operators.folds import cooldown_gate
+from tapevigil.operators.folds import CHUNK_ROWS, cooldown_gate
 from tapevigil.operators.rolling import dynamic_z
 from tapevigil.operators.series import DEFAULT_BLOCK_MS, row_frame, with_previous
 from tapevigil.plans.storage import settle
@@ -180,10 +180,9 @@ def wall_events(with_walls: DataFrame) -> DataFrame:
     )
 
 
-def emission_gate(scored: DataFrame, interval_ms: int = 500,
-                  block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
+def emission_gate(scored: DataFrame, interval_ms: int = 500, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows to publish: every anomalous one, else at most one per interval since the last."""
-    gated = cooldown_gate(scored, KEYS, ORDER, interval_ms, forced="anomalous", block_ms=block_ms)
+    gated = cooldown_gate(scored, KEYS, ORDER, interval_ms, forced="anomalous", chunk_rows=chunk_rows)
     return gated.where("gate_sent").drop("gate_sent", "gate_reason", "gate_since_ms", "gate_count")
 
 
@@ -197,7 +196,7 @@ def order_book_events(books: DataFrame, levels: int = 20, decay_bps: float = 25.
     # Books without a mid price still feed the baselines but are never published.
     flags = obi_scores(metrics, obi_threshold, block_ms, **z_args).drop("obi")
     full = settle(ranked.join(flags, [*KEYS, *ORDER]).where(F.col("mid_price") > 0))
-    return emission_gate(full, interval_ms, block_ms).select(
+    return emission_gate(full, interval_ms).select(
         F.concat_ws("-", F.lit("ob"), "venue", "symbol", "snapshot_id").alias("event_id"),
         "ts_ms",
         F.lit("exchange").alias("source_type"),

@@ -8,9 +8,11 @@ key into blocks and move only per-block summaries between them:
   aggregated map-side first, so the cross-block window sees one row per block;
 * row chunks   - fixed numbers of consecutive rows plus a halo of the rows that
   precede the chunk, for "previous k rows" frames;
-* time chunks  - spans of time plus a halo, for "previous w milliseconds" frames.
+* time chunks  - spans of time plus a halo, for "previous w milliseconds" frames;
+* positions    - row numbers by one range partition of keys and order, so that rows are
+  dealt evenly even if one key has most of them in one moment.
 
-Every helper is lazy and returns exactly what the unblocked window would, rows with
+Every helper but `positions` is lazy, and all return exactly what the unblocked window would, rows with
 NULL keys included: they are one key.
 """
 
@@ -21,6 +23,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapevigil.plans.storage import settle
+
 HOUR_MS = 3_600_000
 DEFAULT_BLOCK_MS = HOUR_MS
 DEFAULT_CHUNK_ROWS = 16_384
@@ -144,6 +148,25 @@ def row_index(
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = POS) -> tuple[DataFrame, int]:
+    """df with the 1-based position of each row inside its key, and the largest position.
+
+    No time width is needed: rows are range-partitioned by keys and order, whatever their
+    density, and only (key, range) counts move. Written once, as ranges come from a sample.
+    """
+    whole = [*keys, *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(
+        df.repartitionByRange(n, *_cols(whole)).sortWithinPartitions(*whole).withColumn("__at", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__at", 33))
+    sizes = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__first"))
+    upto = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = settle(sizes.withColumn("__end", F.sum("__size").over(upto)))
+    base = ends.select(*keys, "__part", (F.col("__end") - F.col("__size") - F.col("__first") + 1).alias("__base"))
+    numbered = on_keys(ranged, base, [*keys, "__part"]).withColumn(out, F.col("__at") + F.col("__base"))
+    return numbered.drop("__at", "__part", "__base"), ends.agg(F.max("__end")).first()[0] or 0
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],

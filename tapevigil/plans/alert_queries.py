@@ -29,7 +29,7 @@ routed as (select asset_pair, venue, signal_id, sent, code as reason_code, cnt a
 
 
 def _routed(spark, sf):
-    return al.route_alerts(v.signals(spark, sf), 60.0, DAY, block_ms=DAY)
+    return al.route_alerts(v.signals(spark, sf), 60.0, DAY)
 
 
 @query("alert_gate", with_views("signals", body="select signal_id, round(score, 6) as score from signals where score >= 80"))

@@ -210,7 +210,7 @@ gate as (
 select snapshot_id from gate where sent"""))
 def book_emissions(spark, sf):
     flagged = _metrics(spark, sf).select(*SNAP, (F.abs("obi") >= 0.9).alias("anomalous"))
-    return ob.emission_gate(flagged, 7 * DAY, YEAR_BLOCK).select("snapshot_id")
+    return ob.emission_gate(flagged, 7 * DAY).select("snapshot_id")
 
 
 @query("order_book_events", with_views("book_levels", body=_BOOK + _WALL_JOIN.replace("2000e0", "50000e0") + f"""

@@ -313,7 +313,7 @@ select event_id, cast(alarm as int) as alarm from walk where rn > 0"""))
 def change_points(spark, sf):
     z = v.vectors(spark, sf).select("event_id", "asset", "ts_ms", (
         F.col("cvd_z") / 2 + 0.4 * F.sin(F.col("event_id") / 300.0)).alias("z"))
-    return folds.cusum(z, ["asset"], ["ts_ms", "event_id"], block_ms=DAY).select("event_id", "alarm")
+    return folds.cusum(z, ["asset"], ["ts_ms", "event_id"]).select("event_id", "alarm")
 
 
 @query("latency_percentiles", """
