@@ -13,8 +13,7 @@ size; the excess is shared again by weight. That is the level at which
 min(cap * size, weight * level) adds up to the total.
 
 Defined results: a null text has size 0; a null source is a source of its own; a
-null id hashes as an empty one; rows with equal id and text are taken alike (with
-`by_text=False`, as in `SQL`, rows with equal ids); a source
+null id or text adds nothing to the hash; rows with equal id and text are taken alike; a source
 without words has target 0 and its rows are taken 0 times; an empty table gives
 an empty result. `plan` and `take` read named columns only; `mixed` returns all
 columns of its input, whatever their names.
@@ -31,21 +30,15 @@ from tapevigil.llm.common import stored, word_count
 BITS, LEVELS = 12, 3
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 36 bits of the id's digest."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS * LEVELS // 4)
-    return F.conv(digits, 16, 10).cast("long")
-
-
 def row_hash(doc_id: Column, text: Column) -> Column:
     """The first 36 bits of the digest of id and text."""
-    return id_hash(F.concat_ws(" ", doc_id.cast("string"), F.md5(text.cast("binary"))))
+    named = F.concat_ws(" ", doc_id.cast("string"), F.md5(text.cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, by_text: bool = True) -> DataFrame:
-    """(doc_id, source, size, h) of documents; h is of id and text, or of the id alone."""
-    h = row_hash(F.col("doc_id"), F.col("text")) if by_text else id_hash(F.col("doc_id"))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"))
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h) of documents."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -125,7 +118,7 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
 SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS h
+         CAST('0x' || substr(md5(concat_ws(' ', CAST(doc_id AS VARCHAR), md5(text))), 1, 9) AS BIGINT) AS h
   FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (

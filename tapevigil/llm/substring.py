@@ -128,13 +128,13 @@ def repeats(keys: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
         differ.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "span")).alias("one"))
     )
     often = differ.join(stretches.filter("n >= 2").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
-    asked = stretches.groupBy("one.d", "one.t").agg(F.collect_list(F.struct("anchor", "one.span", "n")).alias("list"))
+    asked = stretches.groupBy("one.d", "one.t").agg(F.collect_set(F.struct("anchor", "one.span", "n")).alias("list"))
     texts = keys.select("d", "t", "text").alias("x").join(asked.alias("y"), same_row("x", "y")).select("x.d", "x.t", "x.text", "y.list")
     windows = stored(windows_of(texts, window))
     hot = stored(windows.groupBy("anchor", "window").agg(F.sum("n").alias("all")).filter("all >= 2").select("anchor", "window"))
     single = windows.filter("n = 1").join(hot, ["anchor", "window"], "left_semi").select("d", "t", (F.col("word") * SPAN).alias("span"))
     spans = seen.filter("NOT differ").select("d", "t", "span").unionByName(often.select("d", "t", "span")).unionByName(single)
-    return spans.groupBy("d", "t").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("d", "t").agg(F.collect_set("span").alias("spans"))  # repeated rows have the same spans
 
 
 def covered(n_words: int, spans: np.ndarray, window: int) -> np.ndarray:

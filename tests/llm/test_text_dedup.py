@@ -155,6 +155,14 @@ def test_word_fields_do_not_split_templates_at_any_size(spark):
         assert all("own" in r["kept"] for r in out)
 
 
+def test_lines_that_share_only_their_first_words_stay(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = [(i, f"own{i}\nHe said that {' '.join(word() for _ in range(1 + i % 6))}") for i in range(600)]
+    out = linededup.deduplicated(docs(spark, rows)).select("n_removed").collect()
+    assert all(r["n_removed"] == 0 for r in out)
+
+
 def test_templates_of_one_leaf_keep_a_home_each(spark):
     rows = [(i, f"own{i}\nClick here to {'read' if i % 3 else 'send'} the {'story' if i % 3 else 'letter'}") for i in range(90)]
     kept = [r["kept"] for r in linededup.deduplicated(docs(spark, rows)).select("kept").collect()]
@@ -170,3 +178,37 @@ def test_short_lines_recur_like_the_rest(spark):
         assert (got[i]["n_removed"], got[i]["kept"]) == (4, f"own{i}\n\n{i}\n ")
     for i in range(100, 109):
         assert got[i]["n_removed"] == 0
+
+
+def test_line_query_equals_its_sql(spark, tmp_path):
+    """The registered query and its SQL on word fields, short lines, copies, missing and repeated ids, empty and odd texts."""
+    import duckdb
+
+    from tapevigil.llm.queries import ORACLES, QUERIES
+
+    rng = random.Random(12)
+    days = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+    rows = []
+    for i in range(300):
+        lines = [f"own{i}", f"Last updated on {rng.choice(days)} in {rng.choice(days)} by staff", rng.choice(["Read more", "Page  7\t", f"Page {i}", "", " \r", "a"])]
+        lines += [f"He said that {rng.choice(days)} {i}x {rng.choice(days)}", " ".join(rng.choice(days) for _ in range(rng.randrange(1, 7)))]
+        rng.shuffle(lines)
+        rows.append((rng.choice([i, i, i, 7, None]), "\n".join(lines)))
+    rows += rows[:20] + [(900, None), (901, ""), (902, "\n\n"), (None, None), (903, "very long " * 20_000), (None, "Read more"), (7, "Read more"), (7, "Read more\nRead more")]
+    docs(spark, rows).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["op2_line_dedup"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sum(w[2] for w in want) > 500
+
+
+def test_repeated_rows_have_their_spans_once(spark):
+    """Many rows of one text without ids: the spans of a row do not grow with the number of rows."""
+    text = " ".join(prose(random.Random(3), 600, 100_000))
+    table = docs(spark, [(None, text)] * 400 + [(1, text + " more"), (2, "short")])
+    spans = substring.repeats(substring.keyed(table, "doc_id", "text"), substring.WINDOW, substring.SEED)
+    assert spans.agg(F.max(F.size("spans"))).first()[0] < 600
+    out = substring.deduplicated(table).select("row.doc_id", "n_words", "n_removed").distinct().collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, 600, 600), (1, 601, 600), (2, 1, 0)], key=str)

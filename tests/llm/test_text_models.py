@@ -174,7 +174,9 @@ def test_mix_reshares_the_excess(spark):
     sizes = mixing.sized(mix_rows(spark, rows))
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
     assert got["a"] == 60 and abs(got["b"] - 960 * 2 / 3) < 1e-9 and abs(got["c"] - 320) < 1e-9
-    assert hashlib.md5(b"7").hexdigest()[:9] == f"{spark.range(7, 8).select(mixing.id_hash(F.col('id'))).first()[0]:09x}"
+    rows = spark.createDataFrame([(7, "a"), (None, "a"), (7, None)], "i long, t string").select(mixing.row_hash(F.col("i"), F.col("t"))).collect()
+    digest = hashlib.md5(b"a").hexdigest()
+    assert [f"{r[0]:09x}" for r in rows] == [hashlib.md5(x.encode()).hexdigest()[:9] for x in (f"7 {digest}", digest, "7")]
 
 
 def test_mix_splits_sources_without_ids(spark):
