@@ -35,6 +35,8 @@ All input columns come back in `row`, so their names don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ def named(value: Column, names: list[str]) -> list[Column]:
 
 def single_spaced(line: Column) -> Column:
     """A line's tokens with one space between them."""
-    line = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
-    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
+    other = [F.contains(line, F.lit(space)) for space in ("\t", "\x0b", "\x0c", "\r", "  ")]
+    return F.trim(F.when(reduce(Column.__or__, other), F.regexp_replace(line, "[\t\x0b\x0c\r ]+", " ")).otherwise(line))
 
 
 def parsed(keys: DataFrame, lead: int) -> DataFrame:
