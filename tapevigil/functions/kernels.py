@@ -142,3 +142,51 @@ def tail_threshold(abs_z: np.ndarray, start: int, base: float, keep: int, need:
         wide = np.maximum(base, np.minimum(p95 * 1.15, base * 2.5))
         out[lo - start : hi - start] = np.where(n < need, base, wide)
     return out
+
+
+def ratio_band(size: np.ndarray, min_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest double whose ratio to size, smaller over larger, is at least min_ratio."""
+    low, high = size * min_ratio, size / min_ratio
+    for _ in range(3):
+        below, above = np.nextafter(low, -np.inf), np.nextafter(high, np.inf)
+        low, high = np.where(below / size >= min_ratio, below, low), np.where(size / above >= min_ratio, above, high)
+    for _ in range(3):
+        low, high = np.where(low / size < min_ratio, np.nextafter(low, np.inf), low), np.where(size / high < min_ratio, np.nextafter(high, -np.inf), high)
+    return low, high
+
+
+def last_in_band(values: np.ndarray, low: np.ndarray, high: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """For each query the last index below `upto` whose value lies in [low, high], or -1.
+
+    A merge-sort tree: each level keeps the ranks of aligned stretches of twice the length in
+    order, so that one binary search tells whether a stretch holds a value of the band. A query
+    tries the stretches of its prefix from the right, then goes down the first that does.
+    """
+    n = len(values)
+    if n == 0 or len(upto) == 0:
+        return np.full(len(upto), -1, np.int64)
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    first, last = np.searchsorted(values[order], low, "left"), np.searchsorted(values[order], high, "right")
+    depth = int(n).bit_length()
+    levels = [np.sort((np.arange(n) >> level) * n + rank) for level in range(depth)]
+
+    def holds(level: int, block: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.searchsorted(levels[level], block * n + first[of]) < np.searchsorted(levels[level], block * n + last[of])
+
+    end, found, size = np.asarray(upto, np.int64).copy(), np.full(len(upto), -1, np.int64), np.zeros(len(upto), np.int64)
+    open_ = np.flatnonzero((end > 0) & (first < last))
+    for level in range(depth):
+        # The prefix [0, end) ends with a stretch of 2**level rows where that bit of `end` is set.
+        here = open_[(end[open_] >> level & 1) == 1]
+        hit = here[holds(level, (end[here] >> level) - 1, here)]
+        found[hit], size[hit] = (end[hit] >> level) - 1, level
+        end[here] -= 1 << level
+        open_ = open_[(found[open_] < 0) & (end[open_] > 0)]
+    for level in range(depth - 2, -1, -1):
+        down = np.flatnonzero((found >= 0) & (size > level))
+        right = found[down] * 2 + 1
+        found[down] = np.where(holds(level, right, down), right, right - 1)
+        size[down] = level
+    return found

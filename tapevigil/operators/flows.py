@@ -14,12 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapevigil.functions.kernels import last_in_band, ratio_band
 from tapevigil.operators.rolling import dynamic_z
-from tapevigil.operators.series import DEFAULT_BLOCK_MS, block_of, running, spread, with_previous
+from tapevigil.operators.series import CHUNK, DEFAULT_BLOCK_MS, HALO, POS, positions, row_chunks, running, spread, with_previous
+from tapevigil.plans.storage import settle
 from tapevigil.sources.registry import address_key
 
 FLOW_KEYS = ["chain", "symbol"]
 
+#: Rows of each side that one task of a match holds.
+MATCH_ROWS = 1 << 15
+
 
 def with_labels(transfers: DataFrame, registry: DataFrame, prefix: str) -> DataFrame:
     """Left-join a label table (address, label) on both ends of each transfer."""
@@ -116,85 +121,70 @@ def flow_scores(whales: DataFrame, order: Sequence[str], block_ms: int = DEFAULT
 
 
 def match_bridges(whales: DataFrame, flows: DataFrame, order: Sequence[str], flow_id: str,
-                  window_ms: int = 1_800_000, min_ratio: float = 0.75) -> DataFrame:
+                  window_ms: int = 1_800_000, min_ratio: float = 0.75, chunk_rows: int = MATCH_ROWS) -> DataFrame:
     """For every deposit the latest earlier bridge flow of similar size, any token or chain.
 
     min/max of the two USD values >= min_ratio means their logs differ by at most
-    ln(1/min_ratio). Both sides are cut into log-size cells and time blocks several
-    times that wide, and only bridge flows near a border are copied across it. Inside a cell the flows are walked backwards from each
-    deposit until one fits, without listing pairs. Adds `precursor`
-    (bridge, usd, lag_s, size_ratio, flow_id), NULL when nothing fits.
+    ln(1/min_ratio). Both sides are put into log-size cells several times that wide; only
+    flows near a border are copied across it. Inside a cell each side is cut by time into
+    chunks of at most `chunk_rows` rows, and a chunk of deposits meets only the chunks of
+    flows that its window reaches, one pair of chunks in a task. There a tree finds each
+    deposit's latest fitting flow in logarithmic time; the latest of all chunks is kept. Adds
+    `precursor` (bridge, usd, lag_s, size_ratio, flow_id), NULL when nothing fits; of flows
+    at one time the one with the greatest id. Rows without time or size match nothing.
     """
     reach = float(np.log(1.0 / min_ratio)) * (1.0 + 1e-9)
-    width, span = 4.0 * reach, 8 * window_ms
+    width = 4.0 * reach
     size = F.log("usd_value")
 
     def cell(shift: float) -> Column:
         return F.floor((size + shift) / width).cast("bigint")
 
-    id_type = flows.schema[flow_id].dataType
-    cells = ["__block", "__cell"]
-    nearby = (
-        flows.where(F.col("usd_value") > 0)
-        .select(
-            F.col("ts_ms").alias("f_ts"), F.col("usd_value").alias("f_usd"), F.col("bridge").alias("f_bridge"),
-            F.col(flow_id).alias("f_id"),
-            F.array_distinct(F.array(cell(-reach), cell(reach))).alias("__cells"),
-            F.array_distinct(F.array(block_of("ts_ms", span), block_of(F.col("ts_ms") + window_ms, span))).alias("__blocks"),
-        )
-        .withColumn("__cell", F.explode("__cells"))
-        .withColumn("__block", F.explode("__blocks"))
-        .drop("__cells", "__blocks")
+    known = (F.col("usd_value") > 0) & F.col("ts_ms").isNotNull()
+    rows = settle(whales.withColumn("__row", F.monotonically_increasing_id()))
+    deposits = rows.where((F.col("direction") == "inflow") & known).select("__row", "ts_ms", "usd_value", cell(0.0).alias("__cell"))
+    nearby = flows.where(known).select(
+        F.col("ts_ms").alias("f_ts"), F.col("usd_value").alias("f_usd"), F.col("bridge").alias("f_bridge"),
+        F.col(flow_id).alias("f_id"), F.explode(F.array_distinct(F.array(cell(-reach), cell(reach)))).alias("__cell"),
     )
-    deposits = whales.where((F.col("direction") == "inflow") & (F.col("usd_value") > 0))
-    slim = deposits.select(*order, "usd_value", cell(0.0).alias("__cell"), block_of("ts_ms", span).alias("__block"))
-    order = list(order)
-    schema = T.StructType([whales.schema[c] for c in order] + [
-        T.StructField("precursor", T.StructType([
-            T.StructField("bridge", T.StringType()),
-            T.StructField("usd", T.DoubleType()),
-            T.StructField("lag_s", T.DoubleType()),
-            T.StructField("size_ratio", T.DoubleType()),
-            T.StructField("flow_id", id_type),
-        ]))
-    ])
+
+    def cut(side: DataFrame, by: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+        """The rows with their chunk, and the chunks with their first and last time."""
+        chunked = row_chunks(positions(side, ["__cell"], by)[0], 0, chunk_rows).withColumnRenamed(CHUNK, name).drop(HALO, POS)
+        return chunked, chunked.groupBy("__cell", name).agg(F.min(by[0]).alias(f"{name}_from"), F.max(by[0]).alias(f"{name}_to"))
+
+    deposits, d_chunks = cut(deposits, ["ts_ms", "__row"], "__d")
+    nearby, f_chunks = cut(nearby, ["f_ts", "f_id"], "__f")
+    reached = (F.col("__f_from") <= F.col("__d_to")) & (F.col("__f_to") >= F.col("__d_from") - window_ms)
+    pairs = settle(d_chunks.join(f_chunks, "__cell").where(reached).select("__cell", "__d", "__f"))
+    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("f_ts", T.LongType()), T.StructField("precursor", T.StructType([
+        T.StructField("bridge", T.StringType()),
+        T.StructField("usd", T.DoubleType()),
+        T.StructField("lag_s", T.DoubleType()),
+        T.StructField("size_ratio", T.DoubleType()),
+        T.StructField("flow_id", flows.schema[flow_id].dataType),
+    ]))])
 
     def latest_fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[order].copy()
-        right = right.sort_values(["f_ts", "f_id"], kind="stable")
-        f_ts, f_usd = right["f_ts"].to_numpy(), right["f_usd"].to_numpy()
-        ts, usd = left["ts_ms"].to_numpy(), left["usd_value"].to_numpy()
-        at = np.searchsorted(f_ts, ts, "right") - 1
-        found = np.full(len(left), -1)
-        open_rows = np.flatnonzero(at >= 0)
-        while len(open_rows):
-            i = at[open_rows]
-            live = f_ts[i] >= ts[open_rows] - window_ms
-            open_rows, i = open_rows[live], i[live]
-            a, b = f_usd[i], usd[open_rows]
-            fits = np.minimum(a, b) / np.maximum(a, b) >= min_ratio
-            found[open_rows[fits]] = i[fits]
-            open_rows = open_rows[~fits]
-            at[open_rows] -= 1
-            open_rows = open_rows[at[open_rows] >= 0]
-        rows = right.to_dict("list")
-        out["precursor"] = [
-            None if k < 0 else {
-                "bridge": rows["f_bridge"][k], "usd": rows["f_usd"][k],
-                "lag_s": round((int(t) - int(rows["f_ts"][k])) / 1000.0, 1),
-                "size_ratio": round(min(rows["f_usd"][k], u) / max(rows["f_usd"][k], u), 3),
-                "flow_id": rows["f_id"][k],
-            }
-            for k, t, u in zip(found.tolist(), ts.tolist(), usd.tolist())
+        right = right.sort_values(["f_ts", "f_id"], kind="stable").reset_index(drop=True)
+        f_ts, ts, usd = right["f_ts"].to_numpy(), left["ts_ms"].to_numpy(), left["usd_value"].to_numpy(float)
+        at = last_in_band(right["f_usd"].to_numpy(float), *ratio_band(usd, min_ratio), np.searchsorted(f_ts, ts, "right"))
+        fits = np.flatnonzero((at >= 0) & (f_ts[at] >= ts - window_ms)) if len(f_ts) else []
+        out, chosen = left.iloc[fits], right.iloc[at[fits]]
+        matched = [
+            {"bridge": bridge, "usd": size, "lag_s": round((t - f) / 1000.0, 1), "size_ratio": round(min(size, u) / max(size, u), 3), "flow_id": i}
+            for bridge, size, i, f, t, u in zip(*(chosen[c].tolist() for c in ("f_bridge", "f_usd", "f_id", "f_ts")), out["ts_ms"].tolist(), out["usd_value"].tolist())
         ]
-        return out[[p is not None for p in out["precursor"]]]
+        return pd.DataFrame({"__row": out["__row"].to_numpy(), "f_ts": chosen["f_ts"].to_numpy(), "precursor": pd.Series(matched, dtype=object)})
 
+    meet = ["__cell", "__d", "__f"]
     matched = (
-        spread(slim, *cells).groupBy(*cells)
-        .cogroup(spread(nearby, *cells).groupBy(*cells))
+        spread(deposits.join(pairs, ["__cell", "__d"]), *meet).groupBy(*meet)
+        .cogroup(spread(nearby.join(pairs, ["__cell", "__f"]), *meet).groupBy(*meet))
         .applyInPandas(latest_fit, schema)
     )
-    return whales.join(matched, order, "left")
+    best = matched.groupBy("__row").agg(F.max_by("precursor", F.struct("f_ts", "precursor.flow_id")).alias("precursor"))
+    return rows.join(best, "__row", "left").drop("__row")
 
 
 def pool_tvl(reserves: DataFrame, tokens: DataFrame) -> DataFrame:
