@@ -62,24 +62,30 @@ def cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Symmetric matrix of the pairs of sets with Jaccard similarity of `threshold` or more."""
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Symmetric matrix of the numbers of values that two sets share; only for values of two or more sets on the diagonal."""
     sizes = np.array([len(s) for s in sets], np.int64)
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    new = np.concatenate([[True], values[1:] != values[:-1]])
+    new = np.append(True, values[1:] != values[:-1])[:len(values)]
     column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] >= 2
+    shared = np.bincount(column)[column] >= 2 if len(column) else new
     owner, column = owner[shared], column[shared]
     column = np.unique(column, return_inverse=True)[1]
-    common = np.zeros((len(sets), len(sets)), np.float64)
+    found = np.zeros((len(sets), len(sets)), np.float64)
     for at in range(0, int(column.max(initial=-1)) + 1, CHUNK):
         inside = (column >= at) & (column < at + CHUNK)
         has = np.zeros((len(sets), CHUNK), np.float32)
         has[owner[inside], column[inside] - at] = 1
-        common += has @ has.T
-    either = sizes[:, None] + sizes[None, :] - common
-    near = common >= threshold * either - 1e-9
+        found += has @ has.T
+    return found
+
+
+def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Symmetric matrix of the pairs of sets with Jaccard similarity of `threshold` or more."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    both = common(sets)
+    near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
     np.fill_diagonal(near, False)
     return near

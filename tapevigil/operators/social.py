@@ -7,20 +7,18 @@ are thinned to one row per (ticker, tick) before any window runs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import clamp, sentiment_label, text
 from tapevigil.functions.text import fingerprint
-from tapevigil.operators.cells import blocked, celled, cells, similar
+from tapevigil.operators.cells import blocked, celled, cells, common, similar
 from tapevigil.operators.rolling import dynamic_z
-from tapevigil.operators.series import on_keys, spread
+from tapevigil.operators.series import DEFAULT_CHUNK_ROWS, on_keys, running_by_rows
 from tapevigil.plans.storage import settle
 
 KEYS = ["ticker"]
@@ -144,67 +142,90 @@ def young_authors(windowed: DataFrame) -> DataFrame:
     )
 
 
-def age_cohorts(windowed: DataFrame, max_age_days: float = 30.0, need: int = 4) -> DataFrame:
+def age_cohorts(windowed: DataFrame, max_age_days: float = 30.0, need: int = 4,
+                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Largest cluster of young accounts of similar age per (ticker, evaluation).
 
     A cluster opens at an account's age and spans max(3 days, 35 % of that age);
-    ties go to the youngest. Ages are counted per distinct value first.
+    ties go to the youngest. Ages are counted per distinct value first. The sweep is one
+    running count over the ages and, put in order among them, the ends of their clusters; it
+    is cut by rows, so no group is held by one task.
     """
     authors = young_authors(windowed.withColumn("__limit", F.lit(float(max_age_days))))
-    ages = authors.where(F.col("age").isNotNull()).groupBy(*GROUP, "age").agg(F.count(F.lit(1)).alias("n"))
-    schema = "ticker string, eval_ms bigint, cohort_size bigint, age_lo double, age_hi double, cohort_cv double"
-
-    def densest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("age")
-        age, n = pdf["age"].to_numpy(), pdf["n"].to_numpy()
-        reach = np.maximum(3.0, age * 0.35)
-        end = np.searchsorted(age, age + reach, "right")
-        # Settle rounding at the edge by the difference itself.
-        end += (end < len(age)) & (age[np.minimum(end, len(age) - 1)] - age <= reach)
-        end -= age[end - 1] - age > reach
-        upto = np.concatenate(([0], np.cumsum(n)))
-        sizes = upto[end] - upto[:-1]
-        k = int(np.argmax(sizes))
-        size = int(sizes[k])
-        if upto[-1] < need or size < need:
-            return pd.DataFrame(columns=[*GROUP, "cohort_size", "age_lo", "age_hi", "cohort_cv"])
-        member, count = age[k : end[k]], n[k : end[k]]
-        mean = float(np.average(member, weights=count))
-        sd = math.sqrt(float(np.average((member - mean) ** 2, weights=count)))
-        row = pdf[GROUP].iloc[[0]].copy()
-        row["cohort_size"], row["age_lo"], row["age_hi"] = size, member[0], member[-1]
-        row["cohort_cv"] = 0.0 if mean <= 0 else sd / mean
-        return row
-
-    return spread(ages, *GROUP).groupBy(*GROUP).applyInPandas(densest, schema)
+    ages = settle(authors.where(F.col("age").isNotNull()).groupBy(*GROUP, "age").agg(F.count(F.lit(1)).alias("n")))
+    age, reach = F.col("age"), F.greatest(F.lit(3.0), F.col("age") * 0.35)
+    # The greatest number that is not further from the age than its reach: rounding may move the sum by one unit.
+    near, unit = age + reach, F.abs(age + reach) * 2.0**-53
+    end = F.when(near + unit - age <= reach, near + unit).when(near - age <= reach, near).otherwise(near - unit)
+    events = ages.select(*GROUP, "age", "n", F.explode(F.array(F.struct(age.alias("at"), F.lit(False).alias("ends")), F.struct(end.alias("at"), F.lit(True).alias("ends")))).alias("e"))
+    events = events.select(*GROUP, "age", "e.*", F.when(F.col("e.ends"), 0).otherwise(F.col("n")).alias("n"))
+    swept = running_by_rows(events, GROUP, ["at", "ends", "age"], {"upto": F.col("n")}, chunk_rows)
+    size = F.sum(F.when(F.col("ends"), F.col("upto")).otherwise(F.col("n") - F.col("upto")))
+    clusters = swept.groupBy(*GROUP, "age").agg(size.alias("size"), F.max("at").alias("end"))
+    best = clusters.groupBy(*GROUP).agg(F.max_by(F.struct("age", "size", "end"), F.struct("size", -F.col("age"))).alias("c")).where(F.col("c.size") >= need)
+    member = on_keys(ages, best, GROUP, extra=F.col("age").between(F.col("c.age"), F.col("c.end")))
+    # Deviations from the youngest member, so that equal ages give exactly 0.
+    n, d = F.col("n"), F.col("age") - F.col("c.age")
+    sums = member.groupBy(*GROUP).agg(
+        F.sum("n").alias("cohort_size"), F.min("age").alias("age_lo"), F.max("age").alias("age_hi"),
+        (F.sum(n * d) / F.sum("n")).alias("__d"), (F.sum(n * d * d) / F.sum("n")).alias("__dd"),
+    )
+    sd = F.sqrt(F.greatest(F.col("__dd") - F.col("__d") * F.col("__d"), F.lit(0.0)))
+    return sums.withColumn("cohort_cv", _cv(F.col("age_lo") + F.col("__d"), sd)).drop("__d", "__dd")
+
+
+def prefix_index(counted: DataFrame, min_jaccard: float) -> DataFrame:
+    """Where different fingerprints of a group may meet: (*GROUP, token, cls, n, prints, earlier).
+
+    Shingles of a group are ordered by the number of its fingerprints that hold them, the
+    rarest first. Two fingerprints of the wanted similarity share one of the first
+    size - ceil(min_jaccard * size) + 1 shingles of each, so only these are indexed, and only
+    where another fingerprint has them. `earlier` holds a fingerprint's indexed shingles that
+    come before `token`: a pair belongs to the token before which it shares none.
+    """
+    rows = counted.select(*GROUP, "cls", F.size("prints").alias("size"), F.explode("prints").alias("token"))
+    place = [*GROUP, "token"]
+    often = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2)
+    held = on_keys(rows, often, place).groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
+    # Shingles of one fingerprint only come first in the order and can't be shared.
+    first = F.col("size") - F.ceil(F.col("size") * min_jaccard - 1e-9) + 1 - (F.col("size") - F.size("held"))
+    prefix = held.select("cls", F.slice("held", 1, F.greatest(first, F.lit(0)).cast("int"))["token"].alias("prefix"))
+    index = counted.join(prefix, "cls").select(*GROUP, "cls", "n", "prints", "prefix", F.posexplode("prefix").alias("at", "token"))
+    index = settle(index.withColumn("earlier", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix", "at"))
+    shared = index.groupBy(*place).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2).drop("df")
+    return settle(on_keys(index, shared, place))
 
 
 def duplicate_ratio(posts: DataFrame, sample: int | None = None, min_jaccard: float = 0.6) -> DataFrame:
     """Share of near-duplicate pairs among all posts per (ticker, evaluation), or the newest `sample` of each.
 
-    Equal fingerprints are counted first; the different ones are compared in cells
-    of bounded size, which put out sums and no pairs.
+    Equal fingerprints are counted first. Different ones meet in the index of their rarest
+    shingles; those that share one are compared in cells of bounded size, however many they
+    are, and each pair is counted at one shingle. Cells put out sums and no pairs.
     """
     seen = posts.select(*GROUP).distinct()
     if sample is not None:
         newest = Window.partitionBy(*GROUP).orderBy(F.desc("ts_ms"), F.desc("post_id"))
         posts = posts.withColumn("__rk", F.row_number().over(newest)).where(F.col("__rk") <= sample)
     prints = posts.select(*GROUP, F.array_sort(F.transform(fingerprint(F.col("text")), lambda s: F.xxhash64(s))).alias("prints"))
-    counted = settle(prints.where(F.size("prints") > 0).groupBy(*GROUP, "prints").agg(F.count(F.lit(1)).alias("n")))
+    counted = prints.where(F.size("prints") > 0).groupBy(*GROUP, "prints").agg(F.count(F.lit(1)).alias("n"))
+    counted = settle(counted.withColumn("cls", F.monotonically_increasing_id()))
 
     def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in cells(batches, (*GROUP, "a", "b")):
-            lists = cell["prints"].combine_chunks()
+        for cell in cells(batches, (*GROUP, "token", "a", "b")):
+            held, earlier = ([np.asarray(x.values, np.int64) for x in cell[c].combine_chunks()] for c in ("prints", "earlier"))
             own, n = np.asarray(cell["own"]), np.asarray(cell["n"]).astype(float)
-            near = similar([np.asarray(lists[i].values) for i in range(len(lists))], min_jaccard)
+            near = similar(held, min_jaccard)
             if cell["a"][0] != cell["b"][0]:
                 near &= own[:, None] != own[None, :]
             if near.any():
+                near &= common(earlier) == 0
                 pairs = pa.array([float(n @ near @ n) / 2])
                 yield pa.RecordBatch.from_arrays([cell[k].combine_chunks()[:1] for k in GROUP] + [pairs], names=[*GROUP, "pairs"])
 
-    places = [*GROUP, "a", "b"]
-    dealt = celled(blocked(counted, GROUP), "prints").repartition(*places).sortWithinPartitions(*places)
+    places = [*GROUP, "token", "a", "b"]
+    index = prefix_index(counted, min_jaccard)
+    dealt = celled(blocked(index, places[:-2]), "cls").repartition(*places).sortWithinPartitions(*places)
     near = dealt.mapInArrow(near_pairs, "ticker string, eval_ms bigint, pairs double").groupBy(*GROUP).agg(F.sum("pairs").alias("near"))
     n = F.col("n")
     sizes = counted.groupBy(*GROUP).agg(F.sum("n").alias("posts"), F.sum(n * (n - 1) / 2).alias("same"))
