@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from tapevigil.plans import views as v
 from tapevigil.plans.alert_queries import _ROUTE
 from tapevigil.plans.registry import query
-from tapevigil.plans.streams import drained, feed
+from tapevigil.plans.streams import drained, feed, feed_in_turn
 from tapevigil.plans.views import DAY, HOUR, with_views
 from tapevigil.streaming import state, windows
 
 MINUTE = 60_000
+MIDDLE = 1_705_276_800_000  # 2024-01-15 00:00 UTC, inside the data
+TURN = 3 * DAY
+
+#: Trades by forty accounts of each venue, so that some fall silent for days.
+_ACCOUNTS = "select * replace (concat(venue, '-', trade_id % 40) as venue) from trades"
 
 
 @query("stream_volume_buckets", with_views("trades", body=f"""
@@ -62,6 +67,43 @@ def stream_closed_buckets(spark, sf):
     return closed.where("closed_by = 'trade'").select("venue", "symbol", "bucket_ms", "volume", "trades")
 
 
+@query("stream_late_rows", with_views("trades", body=f"""
+, t as (select *, trade_id % 50 = 0 as late from trades),
+wm as (select max(ts_ms) filter (not late and ts_ms < {MIDDLE}) - {MINUTE} as passed, max(ts_ms) - {MINUTE} as finally from t)
+select venue, symbol, ts_ms // {HOUR} * {HOUR} as bucket_ms, round(sum(size), 6) as volume, count(*) as trades, count(*) filter (late) as late_trades
+from t, wm where not late or ts_ms // {HOUR} * {HOUR} + {HOUR} > passed
+group by venue, symbol, bucket_ms, finally having bucket_ms + {HOUR} <= finally"""))
+def stream_late_rows(spark, sf):
+    """Windows of a feed in which one trade of fifty comes after all others: those of closed windows are dropped.
+
+    A batch drops what the batch before it had closed, which knew the first turn's times.
+    """
+    trades = v.trades(spark, sf).withColumn("late", F.col("trade_id") % 50 == 0)
+    turn = F.when(F.col("late"), 2).when(F.col("ts_ms") < MIDDLE, 0).otherwise(1)
+    timed = windows.with_event_time(feed_in_turn(trades, turn), "1 minute")
+    counted = timed.groupBy(F.window("ts", "1 hour").alias("w"), "venue", "symbol").agg(
+        F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trades"), F.count_if("late").alias("late_trades"))
+    return drained(spark, counted.select("venue", "symbol", F.unix_millis("w.start").alias("bucket_ms"), "volume", "trades", "late_trades"))
+
+
+@query("stream_silent_buckets", with_views("trades", body=f"""
+, t as ({_ACCOUNTS}),
+b as (select venue, symbol, ts_ms // {HOUR} * {HOUR} as bucket_ms, sum(size) as volume, count(*) as trades from t group by 1, 2, 3),
+n as (select *, bucket_ms // {TURN} as turn, lead(bucket_ms) over (partition by venue, symbol order by bucket_ms) // {TURN} as next_turn from b),
+m as (select ts_ms // {TURN} as w, max(max(ts_ms)) over (order by ts_ms // {TURN}) as upto from t group by 1),
+l as (select w, lag(upto) over (order by w) as before, lead(w) over (order by w) as following from m),
+s as (select n.*, case when next_turn is null then (select max(upto) from m) when l.w > turn then l.before end as seen
+      from n left join l on l.following = n.next_turn)
+select venue, symbol, bucket_ms, round(volume, 6) as volume, trades from s where bucket_ms + {3 * HOUR} <= seen - 1000"""))
+def stream_silent_buckets(spark, sf):
+    """Buckets that silence closes, by timers over a feed of one micro-batch every three days."""
+    state.enable_state_store(spark)
+    trades = v.trades(spark, sf).withColumn("venue", F.concat("venue", F.lit("-"), (F.col("trade_id") % 40).cast("string")))
+    turns = feed_in_turn(trades, F.floor(F.col("ts_ms") / TURN))
+    closed = drained(spark, state.flushed_buckets(turns, HOUR, DAY, 2 * HOUR))
+    return closed.where("closed_by = 'timer'").select("venue", "symbol", "bucket_ms", "volume", "trades")
+
+
 @query("stream_bridge_matches", with_views("trades", body=f"""
 , d as (select trade_id, ts_ms, size * 1000 as usd_value from trades),
 f as (select ts_ms as flow_ms, size * 1000 as flow_usd, venue as bridge from trades where trade_id % 3 = 0 and size > 0),

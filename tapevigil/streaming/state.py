@@ -18,6 +18,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tapevigil.functions import kernels
 from tapevigil.streaming.windows import with_event_time
 
+#: Event time after which a key without rows is forgotten.
+IDLE_MS = 7 * 86_400_000
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,15 +32,38 @@ def _batch(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
+class Idle:
+    """A timer that drops a key's state when nothing has come for `idle_ms` of event time; None keeps it."""
+
+    def __init__(self, idle_ms: int | None, columns: list[str]):
+        self.idle_ms, self.columns = idle_ms, columns
+
+    def seen(self, handle: StatefulProcessorHandle, ts: int) -> None:
+        if self.idle_ms is not None:
+            for timer in list(handle.listTimers()):
+                handle.deleteTimer(timer)
+            handle.registerTimer(int(ts) + self.idle_ms)
+
+    def nothing(self) -> pd.DataFrame:
+        return pd.DataFrame(columns=self.columns)
+
+
+def _timed(rows: DataFrame, idle_ms: int | None, delay: str, ts: str) -> tuple[DataFrame, str]:
+    """rows with a watermark and the time mode that idle timers need."""
+    return (rows, "None") if idle_ms is None else (with_event_time(rows, delay, ts), "EventTime")
+
+
 class SeriesScores(StatefulProcessor):
     """Blended z, trigger level and CUSUM alarm of one series per key."""
 
-    def __init__(self, keys, order, value, half_life_s, window, warmup, base, zero_is_normal, log_space):
+    def __init__(self, keys, order, value, half_life_s, window, warmup, base, zero_is_normal, log_space, idle_ms):
         self.keys, self.order, self.value = list(keys), list(order), value
+        self.idle = Idle(idle_ms, [*keys, *order, value, "z", "threshold", "alarm"])
         self.half_life_s, self.window, self.warmup = half_life_s, window, warmup
         self.base, self.zero_is_normal, self.log_space = base, zero_is_normal, log_space
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState(
             "series", "mean double, var double, seen bigint, last_ts bigint, buffer array<double>, "
             "recent array<double>, level double, up double, down double")
@@ -76,29 +102,41 @@ class SeriesScores(StatefulProcessor):
                            level, up, down))
         out = pdf[[*self.keys, *self.order, self.value]].copy()
         out["z"], out["threshold"], out["alarm"] = [None if v != v else v for v in z.tolist()], levels, alarms
+        self.idle.seen(self.handle, ts[-1])
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield self.idle.nothing()
+
     def close(self) -> None:
         pass
 
 
 def series_scores(rows: DataFrame, keys, order, value, half_life_s=60.0, window=300, warmup=25, base=3.0,
-                  zero_is_normal=False, log_space=False) -> DataFrame:
-    """Streaming dynamic z: state per key is the EWMA pair, the last `window` values and 200 |z|."""
+                  zero_is_normal=False, log_space=False, idle_ms: int | None = IDLE_MS, delay: str = "10 minutes") -> DataFrame:
+    """Streaming dynamic z: state per key is the EWMA pair, the last `window` values and 200 |z|.
+
+    A key without rows for `idle_ms` is forgotten and warms up anew. Rows later than
+    `delay` are dropped by the watermark; `idle_ms=None` keeps all keys and all rows.
+    """
     kept = rows.select(*keys, *order, value)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    processor = SeriesScores(keys, order, value, half_life_s, window, warmup, base, zero_is_normal, log_space)
-    return kept.groupBy(*keys).transformWithStateInPandas(
-        processor, f"{ddl}, z double, threshold double, alarm int", outputMode="Append", timeMode="None")
+    processor = SeriesScores(keys, order, value, half_life_s, window, warmup, base, zero_is_normal, log_space, idle_ms)
+    timed, mode = _timed(kept, idle_ms, delay, order[0])
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        processor, f"{ddl}, z double, threshold double, alarm int", outputMode="Append", timeMode=mode)
 
 
 class Cooldown(StatefulProcessor):
     """Last sent time and rank per key."""
 
-    def __init__(self, order, cooldown_ms):
-        self.order, self.cooldown_ms = list(order), cooldown_ms
+    def __init__(self, columns, order, cooldown_ms, idle_ms):
+        self.columns, self.order, self.cooldown_ms = list(columns), list(order), cooldown_ms
+        self.idle = Idle(idle_ms, [*columns, "sent", "reason_code", "alert_count"])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("sent", "ts bigint, rank int, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -118,24 +156,35 @@ class Cooldown(StatefulProcessor):
             reasons.append(why)
             counts.append(int(last[2]))
         self.state.update(last)
-        out = pdf.drop(columns=["rank"])
+        out = pdf[self.columns].copy()
         out["sent"], out["reason_code"], out["alert_count"] = sent, reasons, counts
+        self.idle.seen(self.handle, pdf[self.order[0]].iloc[-1])
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield self.idle.nothing()
+
     def close(self) -> None:
         pass
 
 
 def route_alerts(signals: DataFrame, keys=("asset_pair", "venue"), order=("ts_ms", "signal_id"),
-                 min_score: float = 80.0, cooldown_ms: int = 300_000) -> DataFrame:
-    """Streaming cooldown and escalation over signal rows."""
+                 min_score: float = 80.0, cooldown_ms: int = 300_000, idle_ms: int | None = IDLE_MS,
+                 delay: str = "10 minutes") -> DataFrame:
+    """Streaming cooldown and escalation over signal rows.
+
+    A key without alerts for `idle_ms` is forgotten: its next alert counts as the first.
+    Rows later than `delay` are dropped by the watermark; `idle_ms=None` keeps all.
+    """
     from tapevigil.functions.scalars import score_rank
 
     kept = signals.where(F.col("score") >= min_score).select(*keys, *order, "score")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.withColumn("rank", score_rank(F.col("score"))).groupBy(*keys).transformWithStateInPandas(
-        Cooldown(order, cooldown_ms), f"{ddl}, sent boolean, reason_code string, alert_count bigint",
-        outputMode="Append", timeMode="None")
+    timed, mode = _timed(kept.withColumn("rank", score_rank(F.col("score"))), idle_ms, delay, order[0])
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        Cooldown(kept.columns, order, cooldown_ms, idle_ms), f"{ddl}, sent boolean, reason_code string, alert_count bigint",
+        outputMode="Append", timeMode=mode)
 
 
 class OpenBucket(StatefulProcessor):

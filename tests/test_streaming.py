@@ -135,6 +135,47 @@ def test_cooldown_state_survives_a_restart(spark):
     assert got == {1: ("first", 1), 2: ("cooldown", 1), 3: ("escalation", 2), 4: ("elapsed", 3)}
 
 
+def test_idle_keys_are_forgotten(spark):
+    """State rows fall when keys fall silent, for both processors; a key that comes back starts anew."""
+    state.enable_state_store(spark)
+    alert = "asset_pair string, venue string, ts_ms bigint, signal_id bigint, score double"
+    series = "k string, ts_ms bigint, id bigint, x double"
+
+    def kept(make, path, schema, rows, out, checkpoint):
+        put(spark, path, rows, schema)
+        stream = make(spark.readStream.schema(schema).parquet(path))
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    path, out, checkpoint = folder(), folder(), folder()
+    make = lambda rows: state.route_alerts(rows, idle_ms=1_000_000, delay="1 second")
+    full = kept(make, path, alert, [(f"A{i}", "v", 1_000 + i, i, 85.0) for i in range(50)], out, checkpoint)
+    kept(make, path, alert, [("B", "v", 5_000_000, 100, 85.0)], out, checkpoint)
+    left = kept(make, path, alert, [("A1", "v", 5_100_000, 101, 85.0)], out, checkpoint)
+    assert full >= 50 and left < 10
+    back = spark.read.parquet(out).where("signal_id = 101").first()
+    assert (back.reason_code, back.alert_count) == ("first", 1)
+
+    path, out, checkpoint = folder(), folder(), folder()
+    make = lambda rows: state.series_scores(rows, ["k"], ["ts_ms", "id"], "x", idle_ms=1_000_000, delay="1 second")
+    full = kept(make, path, series, [(f"A{i % 50}", 1_000 + i, i, float(i)) for i in range(500)], out, checkpoint)
+    kept(make, path, series, [("B", 5_000_000, 1_000, 1.0)], out, checkpoint)
+    left = kept(make, path, series, [("B", 5_100_000, 1_001, 2.0)], out, checkpoint)
+    assert full >= 50 and left < 10
+
+
+def test_rows_of_closed_windows_are_counted_as_dropped(spark, sf):
+    from tapevigil.plans.streams import feed_in_turn
+
+    t = v.trades(spark, sf)
+    turn = F.when(F.col("trade_id") % 5 == 0, 2).when(F.col("ts_ms") < 1_705_276_800_000, 0).otherwise(1)
+    stream = windows.volume_buckets(feed_in_turn(t, turn), "1 hour", "1 minute")
+    q = (stream.writeStream.format("parquet").option("path", folder()).option("checkpointLocation", folder()).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress if p["stateOperators"]) > 0
+
+
 def test_quiet_asset_is_swept_then_forgotten(spark, sf):
     state.enable_state_store(spark)
     schema = v.market_events(spark, sf).schema
