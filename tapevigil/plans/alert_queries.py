@@ -92,20 +92,6 @@ def scenario_table(spark, sf):
     return al.scenario_table(_scored(spark, sf))
 
 
-@query("book_report", with_views("vectors", body="""
-, r as (select scenario as venue, asset as symbol, arg_max(obi, event_id) as obi, sum(liquidity_drop) as bid_depth, sum(bot_farm_score) as ask_depth,
-               arg_max(cvd_divergence, event_id) as cvd_divergence from vectors group by 1, 2),
-p as (select *, row_number() over (partition by symbol order by bid_depth + ask_depth desc, venue) as place from r)
-select symbol, venue, cast(place as int) as place, abs(obi) >= 0.35 as warn, case when obi > 0.05 then 'bid_heavy' when obi < -0.05 then 'ask_heavy' else 'balanced' end as direction,
-       case when cvd_divergence > 0.25 then 'absorption by passive wall' when cvd_divergence < -0.25 then 'markup without real buying' end as note
-from p where place <= 3"""))
-def book_report(spark, sf):
-    snaps = v.vectors(spark, sf).groupBy(F.col("scenario").alias("venue"), F.col("asset").alias("symbol")).agg(
-        F.max_by("obi", "event_id").alias("obi"), F.sum("liquidity_drop").alias("bid_depth"), F.sum("bot_farm_score").alias("ask_depth"),
-        F.max_by("cvd_divergence", "event_id").alias("cvd_divergence"))
-    return scoring.book_report(snaps, n=3).select("symbol", "venue", "place", "warn", "direction", "note")
-
-
 @query("plain_alerts", with_views("vectors", body=_SCORED + f"""
 , b as (select *, cast(round_even(least(100e0, score) / 100 * 10, 0) as int) as f, {_SEV} as severity from cp)
 select event_id, split_part(t, chr(10), 1) as line1, split_part(t, chr(10), 2) as line2 from (

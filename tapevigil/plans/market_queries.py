@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapevigil.functions.scalars import base_asset
 from tapevigil.operators import discovery as d
 from tapevigil.operators import orderbook as ob
+from tapevigil.operators import scoring
 from tapevigil.operators import trades as tr
 from tapevigil.plans import views as v
 from tapevigil.plans.registry import query
@@ -422,7 +423,7 @@ def _aligned_metrics(spark, sf):
         "obi_z", F.lit(None).cast("double"))
 
 
-@query("pair_snapshots", with_views("trades", "book_levels", body=_BUCKET + _CVD_Z + _BOOK + f"""
+_SNAPS = _BUCKET + _CVD_Z + _BOOK + f"""
 , vz as (select venue, symbol, bucket_ms, owner_ms, window_volume, mean_bucket from prof),
 closed as (
   select vz.*, row_number() over (partition by vz.venue, vz.symbol order by vz.bucket_ms desc) as back
@@ -434,24 +435,46 @@ names as (
   select *, case venue when 'F' then 'v0' when 'O' then 'v1' else 'v2' end as v,
          case symbol when '1-URGENT' then 'CLICK/USDT' when '2-HIGH' then 'ERROR/USDT' when '3-MEDIUM' then 'VIEW/USDT'
               when '4-NOT SPECIFIED' then 'PURCHASE/USDT' else 'SIGNUP/USDT' end as s from met),
-lastb as (select *, row_number() over (partition by v, s order by ts_ms desc, snapshot_id desc) as back from names)
-select d.venue, d.symbol, d.price, round(coalesce(b.obi, 0), 6) as obi, round(coalesce(b.weighted_obi, 0), 6) as obi_weighted,
-       round(coalesce(b.spread_bps, 0), 6) as spread_bps, round(coalesce(b.bid_depth, 0), 6) as bid_depth,
-       round(coalesce(b.ask_depth, 0), 6) as ask_depth, round(c.window_volume, 6) as volume_5m,
-       round(coalesce(case when c.mean_bucket > 1e-12 then o.volume / c.mean_bucket end, 1e0), 6) as volume_spike_ratio,
-       round(d.cvd, 4) as cvd, round(coalesce(d.z, 0), 5) as cvd_z, round(d.divergence, 6) as cvd_divergence,
-       round(d.buys / d.alls, 6) as buy_ratio, cast(d.cnt as double) as trades
-from lastd d left join closed c on c.venue = d.venue and c.symbol = d.symbol and c.back = 1
-     left join opened o on o.venue = d.venue and o.symbol = d.symbol
-     left join lastb b on b.v = d.venue and b.s = d.symbol and b.back = 1
-where d.back = 1"""))
-def pair_snapshots(spark, sf):
+lastb as (select *, row_number() over (partition by v, s order by ts_ms desc, snapshot_id desc) as back from names),
+snap as (
+  select d.venue, d.symbol, d.price, coalesce(b.obi, 0) as obi, coalesce(b.weighted_obi, 0) as obi_weighted, coalesce(b.spread_bps, 0) as spread_bps,
+         coalesce(b.bid_depth, 0) as bid_depth, coalesce(b.ask_depth, 0) as ask_depth, c.window_volume as volume_5m,
+         coalesce(case when c.mean_bucket > 1e-12 then o.volume / c.mean_bucket end, 1e0) as volume_spike_ratio,
+         d.cvd, coalesce(d.z, 0) as cvd_z, d.divergence as cvd_divergence, d.buys / d.alls as buy_ratio, cast(d.cnt as double) as trades
+  from lastd d left join closed c on c.venue = d.venue and c.symbol = d.symbol and c.back = 1
+       left join opened o on o.venue = d.venue and o.symbol = d.symbol
+       left join lastb b on b.v = d.venue and b.s = d.symbol and b.back = 1
+  where d.back = 1)"""
+
+
+def _snapshots(spark, sf):
     profile = _profile(spark, sf).withColumn("volume_z", F.lit(None).cast("double"))
-    snap = tr.pair_snapshot(_aligned_metrics(spark, sf), profile, _deltas(spark, sf))
+    return tr.pair_snapshot(_aligned_metrics(spark, sf), profile, _deltas(spark, sf))
+
+
+@query("pair_snapshots", with_views("trades", "book_levels", body=_SNAPS + """
+select venue, symbol, price, round(obi, 6) as obi, round(obi_weighted, 6) as obi_weighted, round(spread_bps, 6) as spread_bps,
+       round(bid_depth, 6) as bid_depth, round(ask_depth, 6) as ask_depth, round(volume_5m, 6) as volume_5m,
+       round(volume_spike_ratio, 6) as volume_spike_ratio, round(cvd, 4) as cvd, round(cvd_z, 5) as cvd_z,
+       round(cvd_divergence, 6) as cvd_divergence, round(buy_ratio, 6) as buy_ratio, trades from snap"""))
+def pair_snapshots(spark, sf):
+    snap = _snapshots(spark, sf)
     return snap.withColumn("cvd", F.round("cvd", 4)).withColumn("cvd_z", F.round("cvd_z", 5)).drop(
         "obi_z", "volume_z", "absorption")
 
 
+@query("book_report", with_views("trades", "book_levels", body=_SNAPS + """
+, p as (select *, row_number() over (partition by symbol order by bid_depth + ask_depth desc, venue) as place from snap)
+select symbol, venue, cast(place as int) as place, round(bid_depth, 6) as bid_depth, round(ask_depth, 6) as ask_depth, round(obi, 6) as obi,
+       abs(obi) >= 0.35 as warn, case when obi > 0.05 then 'bid_heavy' when obi < -0.05 then 'ask_heavy' else 'balanced' end as direction,
+       case when cvd_divergence > 0.25 then 'absorption by passive wall' when cvd_divergence < -0.25 then 'markup without real buying' end as note
+from p where place <= 3"""))
+def book_report(spark, sf):
+    """Each pair's venues by depth, of the current snapshots."""
+    return scoring.book_report(_snapshots(spark, sf), n=3).select(
+        "symbol", "venue", "place", "bid_depth", "ask_depth", "obi", "warn", "direction", "note")
+
+
 # --- universe scans -------------------------------------------------------------
 
 _PARAMS = {
