@@ -21,8 +21,10 @@ from tapevigil.llm import bpe, jaccard, langid, linededup, mixing
 from tapevigil.llm.common import prepare, stored
 from tapevigil.llm.queries import tokenizer
 
-#: Cosine with the nearest language below which a text is like none of them.
-LEAST_SCORE = 0.02
+#: Cosine with the nearest language below which a text of FULL_LETTERS letters or more is like none of them.
+#: Unrelated texts have 0.04 on average and 0.12 in one of a hundred, as vectors have 1,024 dimensions. The
+#: fewer letters, the less a text of a language resembles it, so the bound falls with their number.
+LEAST_SCORE, FULL_LETTERS = 0.15, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = langid.predict(F.col("text"), langid.fit(docs.filter("doc_id IS NOT NULL")))
     names = docs.columns
     judged = docs.select(F.struct("*").alias("row"), told.alias("told"))
-    kept = judged.filter((F.col("told.lang_pred") != langid.UNKNOWN) & (F.col("told.score") >= LEAST_SCORE))
+    score, letters = F.col("told.score"), F.regexp_count(F.col("row").getField("text"), F.lit(r"\p{L}"))
+    like = F.when(score >= LEAST_SCORE, True).otherwise(score >= LEAST_SCORE * F.least(letters / FULL_LETTERS, F.lit(1.0)))
+    kept = judged.filter((F.col("told.lang_pred") != langid.UNKNOWN) & like)
     return kept.select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
