@@ -274,10 +274,11 @@ def features_at(events: DataFrame, at_ms: int, ttl_ms: int = TTL_MS, tick_ms: in
     return _vector(_assemble(state, ttl_ms, half_life_s, concurrent_ms).join(aged, "asset", "left"))
 
 
-def vectors_from_state(state: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def vectors_from_state(state: DataFrame, ttl_ms: int = TTL_MS, half_life_s: float = HALF_LIFE_S,
+                       concurrent_ms: int = CONCURRENT_MS) -> DataFrame:
     """Vectors from rows that carry each asset's latest observations and flow totals (streaming state)."""
     totals = [F.max(c).alias(c) for c in ("in_usd", "out_usd", "bridge_usd", "hits")]
-    return _vector(_assemble(state, ttl_ms, HALF_LIFE_S, CONCURRENT_MS, totals))
+    return _vector(_assemble(state, ttl_ms, half_life_s, concurrent_ms, totals))
 
 
 def age_totals(totals: DataFrame, epoch_now: Column, factor: float) -> DataFrame:

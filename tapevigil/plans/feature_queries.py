@@ -81,16 +81,7 @@ def channels(spark, sf):
         "event_id", "channel", "base_asset")
 
 
-_OBS = f"""
-, obs as (
-  select *, case when metric in ('volume', 'order_book', 'cvd') then venue else '' end as vn,
-         (ts_ms + {HOUR - 1}) // {HOUR} as k from market_events),
-ticks as (select unnest(range(min(k), max(k) + 7)) as k from obs),
-live as (
-  select * from (
-    select o.* exclude (k), t.k, t.k * {HOUR} as at_ms, (t.k * {HOUR} - o.ts_ms) as age,
-           row_number() over (partition by asset, metric, vn, t.k order by o.ts_ms desc, o.event_id desc) as rk
-    from obs o join ticks t on t.k * {HOUR} >= o.ts_ms and t.k * {HOUR} <= o.ts_ms + {TTL}) where rk = 1),
+_ASM = f"""
 asm as (
   select asset, k, at_ms,
     arg_max(z * power(0.5, age / 7200e3), struct_pack(a := abs(z * power(0.5, age / 7200e3)), b := z)) filter (metric = 'volume' and z is not null) as vol_z,
@@ -107,17 +98,9 @@ asm as (
     max(acceleration) filter (metric = 'social_mentions') as accel,
     max(raw_value) filter (metric = 'social_sentiment') as mood, max(raw_value) filter (metric = 'bot_farm') as farm,
     max(ts_ms) as last_update_ms
-  from live group by 1, 2, 3),
-xs as (
-  select a.asset, t.k, coalesce(sum(usd_value) filter (metric = 'wallet_transfer' and direction = 'inflow'), 0e0) as xi,
-         coalesce(sum(usd_value) filter (metric = 'wallet_transfer' and direction = 'outflow'), 0e0) as xo,
-         coalesce(sum(usd_value) filter (metric = 'bridge_flow'), 0e0) as xb, coalesce(sum(hit) filter (metric = 'wallet_transfer'), 0) as xh
-  from (select distinct asset from obs) a cross join ticks t left join obs o on o.asset = a.asset and o.k = t.k group by 1, 2),
-acc as (
-  select asset, k, xi as i, xo as o, xb as b, cast(xh as bigint) as h from xs where k = (select min(k) from ticks)
-  union all
-  select x.asset, x.k, acc.i * 0.9 + xi, acc.o * 0.9 + xo, acc.b * 0.9 + xb, greatest(0, acc.h - 1) + cast(xh as bigint)
-  from acc join xs x on x.asset = acc.asset and x.k = acc.k + 1),
+  from live group by 1, 2, 3),"""
+
+_VEC = """
 vec as (
   select asset, at_ms as ts_ms, greatest(-20e0, least(20e0, coalesce(vol_z, 0))) as volume_z,
     least(50e0, greatest(1e0, coalesce(spike, 1))) as volume_spike_ratio, coalesce(obi, 0e0) as obi, abs(coalesce(obi, 0e0)) as obi_abs,
@@ -134,6 +117,27 @@ vec as (
      + cast(n_m > 0 as int)) / 3e0 as coverage
   from asm join acc using (asset, k))"""
 
+_OBS = f"""
+, obs as (
+  select *, case when metric in ('volume', 'order_book', 'cvd') then venue else '' end as vn,
+         (ts_ms + {HOUR - 1}) // {HOUR} as k from market_events),
+ticks as (select unnest(range(min(k), max(k) + 7)) as k from obs),
+live as (
+  select * from (
+    select o.* exclude (k), t.k, t.k * {HOUR} as at_ms, (t.k * {HOUR} - o.ts_ms) as age,
+           row_number() over (partition by asset, metric, vn, t.k order by o.ts_ms desc, o.event_id desc) as rk
+    from obs o join ticks t on t.k * {HOUR} >= o.ts_ms and t.k * {HOUR} <= o.ts_ms + {TTL}) where rk = 1), {_ASM}
+xs as (
+  select a.asset, t.k, coalesce(sum(usd_value) filter (metric = 'wallet_transfer' and direction = 'inflow'), 0e0) as xi,
+         coalesce(sum(usd_value) filter (metric = 'wallet_transfer' and direction = 'outflow'), 0e0) as xo,
+         coalesce(sum(usd_value) filter (metric = 'bridge_flow'), 0e0) as xb, coalesce(sum(hit) filter (metric = 'wallet_transfer'), 0) as xh
+  from (select distinct asset from obs) a cross join ticks t left join obs o on o.asset = a.asset and o.k = t.k group by 1, 2),
+acc as (
+  select asset, k, xi as i, xo as o, xb as b, cast(xh as bigint) as h from xs where k = (select min(k) from ticks)
+  union all
+  select x.asset, x.k, acc.i * 0.9 + xi, acc.o * 0.9 + xo, acc.b * 0.9 + xb, greatest(0, acc.h - 1) + cast(xh as bigint)
+  from acc join xs x on x.asset = acc.asset and x.k = acc.k + 1), {_VEC}"""
+
 
 def _grid(spark, sf):
     return ft.feature_grid(v.market_events(spark, sf), **GRID)

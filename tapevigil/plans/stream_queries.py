@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapevigil.plans import views as v
 from tapevigil.plans.alert_queries import _ROUTE
+from tapevigil.plans.feature_queries import _ASM, _OFF, _SEV, _URGENT, _VEC, GRID, TTL, composite_sql, rules_sql
 from tapevigil.plans.registry import query
+from tapevigil.plans.storage import shared_folder
 from tapevigil.plans.streams import drained, feed, feed_in_turn
 from tapevigil.plans.views import DAY, HOUR, with_views
-from tapevigil.streaming import state, windows
+from tapevigil.streaming import scoring, state, windows
 
 MINUTE = 60_000
 MIDDLE = 1_705_276_800_000  # 2024-01-15 00:00 UTC, inside the data
@@ -121,3 +125,47 @@ def stream_bridge_matches(spark, sf):
     found = drained(spark, windows.latest_bridge(feed(deposits), feed(flows), "trade_id", 6 * 3600))
     last = t.agg(F.max("ts_ms").alias("last"))
     return found.join(last, F.col("ts_ms") < F.col("last") - DAY).select("trade_id", "ts_ms", "flow_ms", "flow_usd", "bridge", "size_ratio")
+
+
+SWEEP = 4 * HOUR  # of a six-hour TTL, so that a silent asset is put out once more
+SILENT = "VIEW"  # has no events after MIDDLE
+SETTLED = 10_000  # the watermark's delay
+
+_STREAM_SIGNALS = f"""
+, e as (select * from market_events where asset <> '{SILENT}' or ts_ms < {MIDDLE}),
+obs as (select *, case when metric in ('volume', 'order_book', 'cvd') then venue else '' end as vn, (ts_ms + {HOUR - 1}) // {HOUR} as tk,
+               coalesce(sum(hit) filter (metric = 'wallet_transfer') over (
+                 partition by asset order by ts_ms, event_id rows between unbounded preceding and 1 preceding), 0) as hits_before from e),
+turns as (select asset, max(ts_ms) as at_ms, bool_or({_URGENT}) as urgent from obs group by asset, ts_ms // {TURN}),
+moments as (
+  select * from turns union all
+  select asset, max(at_ms) + {SWEEP}, false from turns group by 1 having max(at_ms) + {SWEEP} <= (select max(ts_ms) from e) - {SETTLED}),
+live as (
+  select * from (
+    select o.*, m.at_ms as k, m.at_ms, m.at_ms - o.ts_ms as age,
+           row_number() over (partition by o.asset, metric, vn, m.at_ms order by o.ts_ms desc, o.event_id desc) as rk
+    from obs o join moments m on m.asset = o.asset and o.ts_ms between m.at_ms - {TTL} and m.at_ms) where rk = 1), {_ASM}
+past as (select o.*, m.at_ms, (m.at_ms + {HOUR - 1}) // {HOUR} as now, usd_value * power(0.9, (m.at_ms + {HOUR - 1}) // {HOUR} - tk) as x
+         from obs o join moments m on m.asset = o.asset and o.ts_ms <= m.at_ms),
+acc as (
+  select asset, at_ms as k, coalesce(sum(x) filter (metric = 'wallet_transfer' and direction = 'inflow'), 0e0) as i,
+         coalesce(sum(x) filter (metric = 'wallet_transfer' and direction = 'outflow'), 0e0) as o,
+         coalesce(sum(x) filter (metric = 'bridge_flow'), 0e0) as b,
+         greatest(0, coalesce(sum(hit) filter (metric = 'wallet_transfer') - max(now) - min(hits_before - tk) filter (metric = 'wallet_transfer'), 0)) as h
+  from past group by 1, 2), {_VEC},
+inf as (select * from vec where coverage > 0 and ({_OFF})), {rules_sql("inf")}, {composite_sql(False)},
+sg as (select cp.*, m.urgent from cp join moments m on m.asset = cp.asset and m.at_ms = cp.ts_ms where score >= 30 or m.urgent)
+select asset as asset_pair, ts_ms, round(score, 9) as score, {_SEV} as severity from sg"""
+
+
+@query("stream_signals", with_views("market_events", body=_STREAM_SIGNALS), digits=9)
+def stream_signals(spark, sf):
+    """Signals that a feed of one micro-batch every three days publishes, with a silent asset's sweep by a timer."""
+    state.enable_state_store(spark)
+    events = v.market_events(spark, sf).where((F.col("asset_pair") != f"{SILENT}/USDT") | (F.col("ts_ms") < MIDDLE))
+    place = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    stream = scoring.score_stream(
+        feed_in_turn(events, F.floor(F.col("ts_ms") / TURN)), f"{place}/signals", f"{place}/state", floor=30.0,
+        **{k: GRID[k] for k in ("ttl_ms", "tick_ms", "factor", "half_life_s", "concurrent_ms")}, sweep_ms=SWEEP)
+    stream.awaitTermination()
+    return scoring.published(spark, f"{place}/signals").select("asset_pair", "ts_ms", "score", "severity")

@@ -201,3 +201,40 @@ def test_quiet_asset_is_swept_then_forgotten(spark, sf):
     event("Q/USDT", 700_000, 7.0).write.mode("append").parquet(path)
     last = run(stream(), out, checkpoint).where("asset = 'Q' and at_ms = 700000").first()
     assert max(last.in_usd, last.out_usd) <= 7.0 and not last.urgent
+
+
+def test_scoring_goes_on_after_a_stop_between_write_and_ledger(spark, sf, monkeypatch):
+    schema = v.market_events(spark, sf).schema
+    cut = v.market_events(spark, sf).withColumn("__p", F.ntile(3).over(Window.orderBy("ts_ms", "event_id")))
+    path = folder()
+    stream = lambda: (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                      .option("latestFirst", "false").parquet(path))
+    for i in (1, 2, 3):
+        cut.where(F.col("__p") == i).drop("__p").coalesce(1).write.mode("append").parquet(path)
+    state.enable_state_store(spark)
+    whole, broken = folder(), folder()
+    scoring.score_stream(stream(), whole, folder(), floor=0.0).awaitTermination()
+
+    def stop(written, out_path, batch_id):
+        if batch_id == 1:
+            raise RuntimeError("stopped before the ledger")
+        return entered(written, out_path, batch_id)
+
+    entered, checkpoint = scoring.record, folder()
+    monkeypatch.setattr(scoring, "record", stop)
+    with pytest.raises(Exception, match="stopped before the ledger"):
+        scoring.score_stream(stream(), broken, checkpoint, floor=0.0).awaitTermination()
+    rows = lambda out: sorted((r.batch, r.signal_id, round(r.score, 9)) for r in scoring.published(spark, out).collect())
+    assert {b for b, _, _ in rows(broken)} == {0} and spark.read.parquet(broken).where("batch = 1").count() > 0
+    monkeypatch.setattr(scoring, "record", entered)
+    scoring.score_stream(stream(), broken, checkpoint, floor=0.0).awaitTermination()
+    assert rows(broken) == rows(whole) and {b for b, _, _ in rows(whole)} >= {0, 1, 2}
+    # A batch in the ledger that the engine runs again is not published twice.
+    assert scoring.ledger(spark, broken).groupBy("batch").count().where("count > 1").count() == 0
+
+
+def test_urgency_does_not_lift_a_later_sweep(spark):
+    columns = f"asset string, at_ms bigint, {state.LATEST_COLUMNS}, in_usd double, out_usd double, bridge_usd double, hits bigint, urgent boolean"
+    row = lambda at, urgent: ("A", at, "volume", "v", 1_000, 1.0, 4.5, 1.2, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, urgent)
+    got = scoring.score_batch(spark.createDataFrame([row(1_000, True), row(61_000, False)], columns), None, floor=99.0)
+    assert [r.ts_ms for r in got.collect()] == [1_000]
