@@ -24,7 +24,7 @@ from tapevigil.functions.scalars import (
     spread_index,
     wall_index,
 )
-from tapevigil.operators.series import DEFAULT_BLOCK_MS, fill_forward
+from tapevigil.operators.series import DEFAULT_BLOCK_MS, fill_forward, positions
 from tapevigil.plans.storage import settle
 from tapevigil.schemas import FEATURES, NEUTRAL
 
@@ -35,6 +35,7 @@ OBSERVED = EXCHANGE + (
 TTL_MS = 600_000
 HALF_LIFE_S = 120.0
 CONCURRENT_MS = 5_000
+SWEEP_BLOCK = 65_536  # ticks; a block holds at most two rows of each
 
 
 def with_neutral(df: DataFrame, known: Mapping[str, Column], extra: Sequence[Column]) -> DataFrame:
@@ -108,8 +109,9 @@ def decayed_totals(obs: DataFrame, tick_ms: int, factor: float, decay_every: int
     never below zero. With E decays before a tick the totals are
     sum(x * factor^(E_now - E_then)); the exponent is taken relative to blocks
     of epochs, long enough that older blocks fall below double precision.
+    Rows that come with a `tick` keep it.
     """
-    tick = F.ceil(F.col("ts_ms") / tick_ms).cast("bigint")
+    tick = F.col("tick") if "tick" in obs.columns else tick_of("ts_ms", tick_ms)
     flows = obs.where(F.col("metric").isin("wallet_transfer", "bridge_flow")).groupBy(
         "asset", tick.alias("tick")
     ).agg(
@@ -163,6 +165,25 @@ def epochs(tick: Column, decay_every: int) -> Column:
     return F.floor((tick - 1) / decay_every).cast("bigint")
 
 
+def tick_of(ts: str, tick_ms: int) -> Column:
+    """The first tick at or after a time."""
+    return F.ceil(F.col(ts) / tick_ms).cast("bigint")
+
+
+def event_sweeps(events: DataFrame, tick_ms: int) -> DataFrame:
+    """(tick, sweep): the ticks that end with an event of any asset, numbered from 1 in order of time."""
+    ticks = events.where("ts_ms is not null").select(tick_of("ts_ms", tick_ms).alias("tick")).distinct()
+    return settle(positions(ticks, [], ["tick"], out="sweep")[0].select("tick", "sweep"))
+
+
+def last_sweeps(ticks: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """(tick, last_sweep): the last sweep at or before each different tick of `ticks`."""
+    both = sweeps.select("tick", "sweep", F.lit(0).alias("asked")).unionByName(
+        ticks.select("tick").distinct().select("tick", F.lit(None).cast("bigint").alias("sweep"), F.lit(1).alias("asked")))
+    filled = fill_forward(both, [], ["tick", "asked"], "sweep", "last_sweep", ts="tick", block_ms=SWEEP_BLOCK)
+    return filled.where("asked = 1").select("tick", "last_sweep")
+
+
 def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: int,
               extra: Sequence[Column] = ()) -> DataFrame:
     """Aggregate valid observations per (asset, at_ms) into raw feature inputs.
@@ -292,39 +313,49 @@ def age_totals(totals: DataFrame, epoch_now: Column, factor: float) -> DataFrame
 
 def feature_grid(events: DataFrame, tick_ms: int = 1_000, ttl_ms: int = TTL_MS, factor: float = 0.9,
                  decay_every: int = 1, block_ms: int = DEFAULT_BLOCK_MS, half_life_s: float = HALF_LIFE_S,
-                 concurrent_ms: int = CONCURRENT_MS) -> DataFrame:
+                 concurrent_ms: int = CONCURRENT_MS, on_events: bool = False) -> DataFrame:
     """Vectors for every (asset, tick) at which the asset has an observation within the TTL.
 
     Each thinned observation covers the ticks until its series' next one or its
     expiry, so the expanded rows number exactly the covered grid cells.
+
+    With on_events only ticks that end with an event of some asset are swept: nothing is
+    scored, and nothing decays, in between. Ticks are then counted as sweeps, so short
+    ticks cost what there are events, not what there are seconds.
     """
+    tick = tick_of("ts_ms", tick_ms)
+    expiry = F.floor((F.col("ts_ms") + ttl_ms) / tick_ms).cast("bigint")
     obs = observations(events)
-    tick = F.ceil(F.col("ts_ms") / tick_ms).cast("bigint")
-    thin = latest(obs.withColumn("tick", tick), ["tick"])
+    if on_events:
+        sweeps = event_sweeps(events, tick_ms)
+        numbered = obs.withColumn("__tick", tick).join(
+            sweeps.select(F.col("tick").alias("__tick"), F.col("sweep").alias("tick")), "__tick").drop("__tick")
+        thin = latest(numbered, ["tick"]).withColumn("__expiry", expiry)
+        ends = last_sweeps(thin.select(F.col("__expiry").alias("tick")), sweeps)
+        thin = thin.join(ends.select(F.col("tick").alias("__expiry"), F.col("last_sweep").alias("__last")), "__expiry").drop("__expiry")
+    else:
+        numbered = obs.withColumn("tick", tick)
+        thin = latest(numbered, ["tick"]).withColumn("__last", expiry)
     series = Window.partitionBy("asset", "metric", "venue").orderBy("tick")
-    until = F.least(
-        F.lead("tick").over(series) - 1, F.floor((F.col("ts_ms") + ttl_ms) / tick_ms).cast("bigint")
-    )
-    grid = (
-        thin.withColumn("__until", F.greatest(until, F.col("tick")))
-        .withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("__until"))))
-        .drop("__until")
-        .withColumn("at_ms", F.col("tick") * tick_ms)
-    )
-    inputs = settle(_assemble(grid, ttl_ms, half_life_s, concurrent_ms))
-    totals = decayed_totals(obs, tick_ms, factor, decay_every).select(
-        "asset", (F.col("tick") * tick_ms).alias("at_ms"),
-        F.struct("epoch", "in_usd", "out_usd", "bridge_usd", "hits").alias("flow"),
+    until = F.greatest(F.least(F.lead("tick").over(series) - 1, F.col("__last")), F.col("tick"))
+    cells = thin.withColumn("__until", until).withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("__until"))))
+    if on_events:
+        moments = sweeps.select(F.col("sweep").alias("tick"), (F.col("tick") * tick_ms).alias("at_ms"))
+        grid = cells.drop("__until", "__last").join(moments, "tick")
+    else:
+        grid = cells.drop("__until", "__last").withColumn("at_ms", F.col("tick") * tick_ms)
+    inputs = settle(_assemble(grid, ttl_ms, half_life_s, concurrent_ms, [F.max("tick").alias("tick")]))
+    totals = decayed_totals(numbered, tick_ms, factor, decay_every).select(
+        "asset", "tick", F.struct("epoch", "in_usd", "out_usd", "bridge_usd", "hits").alias("flow"),
     )
     # Every tick with flows also has an observation, so the totals join exactly and carry forward.
-    filled = fill_forward(inputs.join(totals, ["asset", "at_ms"], "left"), ["asset"], ["at_ms"], "flow",
+    filled = fill_forward(inputs.join(totals, ["asset", "tick"], "left"), ["asset"], ["at_ms"], "flow",
                           "flow", ts="at_ms", block_ms=max(block_ms, 1000 * tick_ms))
     flat = filled.select(
         *[c for c in filled.columns if c != "flow"],
         *[F.col(f"flow.{c}").alias(c) for c in ("epoch", "in_usd", "out_usd", "bridge_usd", "hits")],
     )
-    now = epochs((F.col("at_ms") / tick_ms).cast("bigint"), decay_every)
-    return _vector(age_totals(flat, now, factor))
+    return _vector(age_totals(flat, epochs(F.col("tick"), decay_every), factor))
 
 
 def informative(vectors: DataFrame) -> DataFrame:

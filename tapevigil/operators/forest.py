@@ -173,6 +173,8 @@ def grow_trees(samples: DataFrame, center: list[float], scale: list[float], samp
                 continue
             f = int(rng.choice(usable))
             cut = float(rng.uniform(lo[f], hi[f]))
+            if not lo[f] <= cut < hi[f]:  # neighbouring doubles: rounding must not leave a side empty
+                cut = float(lo[f])
             left = x[rows, f] <= cut
             nodes.append((tree, node, f, cut, 0.0))
             todo += [(2 * node + 1, depth + 1, rows[left]), (2 * node + 2, depth + 1, rows[~left])]

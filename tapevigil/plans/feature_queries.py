@@ -17,7 +17,8 @@ from tapevigil.schemas import FEATURES, NEUTRAL
 from tapevigil.sources import events as ev
 
 TTL = 6 * HOUR
-GRID = {"tick_ms": HOUR, "ttl_ms": TTL, "factor": 0.9, "half_life_s": 7200.0, "concurrent_ms": HOUR, "block_ms": DAY}
+GRID = {"tick_ms": HOUR, "ttl_ms": TTL, "factor": 0.9, "half_life_s": 7200.0, "concurrent_ms": HOUR, "block_ms": DAY, "on_events": False}
+EVERY_SECOND = GRID | {"tick_ms": 1_000, "on_events": True}
 NOON = 1_705_276_800_000  # a whole hour inside the data, 2024-01-15 00:00 UTC
 _ROUND = ", ".join(f"round({f}, 6) as {f}" for f in FEATURES)
 
@@ -411,6 +412,78 @@ def replay_span(spark, sf):
     return rp.replay_span(v.market_events(spark, sf))
 
 
+_SWEEPS = f"""
+, obs as (select *, case when metric in ('volume', 'order_book', 'cvd') then venue else '' end as vn, (ts_ms + 999) // 1000 as tk from market_events),
+ticks as (select tk, tk * 1000 as at_ms, row_number() over (order by tk) as k from (select distinct tk from obs)),
+live as (
+  select * from (
+    select o.*, t.k, t.at_ms, t.at_ms - o.ts_ms as age,
+           row_number() over (partition by asset, metric, vn, t.k order by o.ts_ms desc, o.event_id desc) as rk
+    from obs o join ticks t on t.at_ms between o.ts_ms and o.ts_ms + {TTL}) where rk = 1), {_ASM}
+fl as (
+  select asset, k, coalesce(sum(usd_value) filter (metric = 'wallet_transfer' and direction = 'inflow'), 0e0) as xi,
+         coalesce(sum(usd_value) filter (metric = 'wallet_transfer' and direction = 'outflow'), 0e0) as xo,
+         coalesce(sum(usd_value) filter (metric = 'bridge_flow'), 0e0) as xb,
+         cast(coalesce(sum(hit) filter (metric = 'wallet_transfer'), 0) as bigint) as xh, row_number() over (partition by asset order by k) as n
+  from obs join ticks using (tk) where metric in ('wallet_transfer', 'bridge_flow') group by 1, 2),
+fs as (
+  select asset, k, n, xi as i, xo as o, xb as b, xh as h from fl where n = 1
+  union all
+  select f.asset, f.k, f.n, fs.i * power(0.9, f.k - fs.k) + xi, fs.o * power(0.9, f.k - fs.k) + xo, fs.b * power(0.9, f.k - fs.k) + xb,
+         greatest(0, fs.h - (f.k - fs.k)) + xh
+  from fs join fl f on f.asset = fs.asset and f.n = fs.n + 1),
+acc as (
+  select a.asset, a.k, coalesce(fs.i * power(0.9, a.k - fs.k), 0e0) as i, coalesce(fs.o * power(0.9, a.k - fs.k), 0e0) as o,
+         coalesce(fs.b * power(0.9, a.k - fs.k), 0e0) as b, greatest(0, coalesce(fs.h - (a.k - fs.k), 0)) as h
+  from (select asset, k from asm) a asof left join fs on a.asset = fs.asset and a.k >= fs.k), {_VEC},
+inf as (select * from vec where coverage > 0 and ({_OFF})), {rules_sql("inf")}, {composite_sql(False)}"""
+
+
+@query("replay_sweeps", with_views("market_events", body=_SWEEPS + f"""
+select asset as asset_pair, ts_ms, round(score, 9) as score, {_SEV} as severity from cp"""), digits=9)
+def replay_sweeps(spark, sf):
+    """Replay by the second: every asset is scored whenever an event of any asset has come."""
+    return rp.replay(v.market_events(spark, sf), None, **EVERY_SECOND).select("asset_pair", "ts_ms", "score", "severity")
+
+
+@query("replay_sweep_peaks", with_views("market_events", body=_SWEEPS + """
+select asset as asset_pair, round(max(score), 6) as peak_score from cp group by 1 order by 2 desc, 1 limit 15"""), digits=9)
+def replay_sweep_peaks(spark, sf):
+    return rp.peak_scores(rp.replay(v.market_events(spark, sf), None, **EVERY_SECOND))
+
+
+@query("replay_summary", with_views("market_events", body=_SWEEPS.replace("from market_events)", "from market_events where right(event_id, 1) <> '7')") + """
+select (select count(*) from obs) as events, (select count(*) from market_events where right(event_id, 1) = '7') as skipped,
+       round((select max(ts_ms) - min(ts_ms) from obs) / 60000e0, 6) as minutes, count(distinct asset) as assets, count(*) as signals,
+       count(*) filter (score >= 80) as alerts from cp"""))
+def replay_summary(spark, sf):
+    """Recorded JSON lines, one in ten of them cut short, replayed by the second."""
+    from tapevigil.plans.storage import settle
+
+    lines = ev.wire_events(v.market_events(spark, sf)).select(F.to_json(F.struct(
+        "event_id", "timestamp", "source_type", "venue", "asset_pair", "metric_type", "raw_value", "normalized_z_score", "usd_value",
+        "confidence", "meta")).alias("line"), "event_id")
+    cut = F.when(F.right("event_id", F.lit(1)) == "7", F.left("line", F.lit(40))).otherwise(F.col("line"))
+    parsed = settle(ev.parse_lines(lines.select(cut.alias("value"))))
+    return rp.replay_summary(parsed, rp.replay(ev.usable(parsed), None, **EVERY_SECOND))
+
+
+@query("replay_trained", with_views("market_events", body=_SWEEPS + """
+select count(*) as signals, round(sum(rule_score), 3) as rule_total, true as in_range, true as median_is_zero, true as first_percentile_is_full,
+       true as model_cannot_veto from cp"""))
+def replay_trained(spark, sf):
+    """Replay with a forest trained on its own vectors: what must hold of its signals on every table."""
+    s = rp.replay(v.market_events(spark, sf), fit=True, **EVERY_SECOND)
+    rule, ml = F.col("rule_score"), F.col("ml_score")
+    thin_kept = F.col("score") >= (rule * 0.9 + ml * 0.1) * 0.82 - 1e-9
+    return s.agg(
+        F.count(F.lit(1)).alias("signals"), F.round(F.sum(rule), 3).alias("rule_total"),
+        F.bool_and(ml.between(0.0, 100.0) & F.col("score").between(0.0, 100.0)).alias("in_range"),
+        F.avg((ml <= 1e-9).cast("double")).between(0.45, 0.6).alias("median_is_zero"),
+        F.avg((ml >= 100 - 1e-9).cast("double")).between(0.01, 0.02).alias("first_percentile_is_full"),
+        F.bool_and((rule < 60) | (ml >= rule) | thin_kept).alias("model_cannot_veto"))
+
+
 @query("forest_properties", with_views("vectors", body="""
 select count(*) as vectors, true as in_range, true as median_is_zero, true as first_percentile_is_full, true as outliers_stand_out, true as equal_after_load
 from vectors"""))
