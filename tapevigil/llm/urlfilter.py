@@ -6,7 +6,10 @@ verdict of gradient-boosted trees. Their features are the lengths of URL, host
 and path, path depth, labels in the host, digit ratio, character entropy,
 parameter count, hyphens, and suffix statistics: the smoothed share of blocked
 URLs among labelled ones with the same host suffix (last label) and with the
-same suffix and first path part. Labelled URLs are given by the caller.
+same suffix and first path part. Labelled URLs are given by the caller. Blocked
+and allowed ones weigh alike in trees and statistics, however many there are of
+each. One labelled URL in four is learned without its suffix statistics, so that
+the trees judge a URL of unknown suffix by its other features.
 
 Training draws about `sample_rows` labelled URLs by a hash, the one bounded
 sample; suffix statistics are sums over all labelled URLs.
@@ -40,8 +43,9 @@ FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens",
     "suffix_rate", "section_rate",
 )
-#: Weight of the overall share in a suffix's smoothed share.
+#: Weight of one half in a suffix's smoothed share.
 SMOOTHING = 20.0
+MASKED = 4
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -66,7 +70,7 @@ def features(urls: DataFrame) -> DataFrame:
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     chars = F.filter(F.split(url, ""), lambda c: c != "")
     n = F.greatest(F.size(chars), F.lit(1)).cast("double")
-    # Entropy from run lengths of the sorted characters' positions: sum over distinct characters of -p log p.
+    # A character's share is what the text loses without it; the entropy sums -p log p over distinct characters.
     shares = F.transform(F.array_distinct(chars), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n)
     entropy = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -84,19 +88,26 @@ def features(urls: DataFrame) -> DataFrame:
     })
 
 
+def weights(share: float) -> tuple[float, float]:
+    """Weight of a blocked and of an allowed URL that give both kinds half of the whole; `share` are blocked."""
+    return (0.5 / share, 0.5 / (1 - share)) if 0 < share < 1 else (1.0, 1.0)
+
+
 def rates(labelled: DataFrame, key: str) -> DataFrame:
     """Blocked and labelled URLs by `key`."""
     return labelled.groupBy(F.col(key).alias(f"{key}_key")).agg(F.sum("label").alias(f"{key}_bad"), F.count("*").alias(f"{key}_all"))
 
 
 def with_rates(rows: DataFrame, suffixes: DataFrame, sections: DataFrame, share: float, own: bool) -> DataFrame:
-    """suffix_rate and section_rate; a labelled row's own label is left out of its rates (`own`)."""
+    """suffix_rate and section_rate, both kinds weighing alike; a labelled row's own label is left out of its rates (`own`)."""
+    block_weight, allow_weight = weights(share)
     out = rows.join(suffixes, F.col("suffix") == F.col("suffix_key"), "left").join(sections, F.col("section") == F.col("section_key"), "left")
     for key in ("suffix", "section"):
         bad, n = F.coalesce(f"{key}_bad", F.lit(0)), F.coalesce(f"{key}_all", F.lit(0))
         if own:
             bad, n = bad - F.col("label"), n - 1
-        out = out.withColumn(f"{key}_rate", (bad + share * SMOOTHING) / (n + SMOOTHING))
+        weighed = bad * block_weight
+        out = out.withColumn(f"{key}_rate", (weighed + 0.5 * SMOOTHING) / (weighed + (n - bad) * allow_weight + SMOOTHING))
     return out.drop("suffix_key", "suffix_bad", "suffix_all", "section_key", "section_bad", "section_all")
 
 
@@ -105,10 +116,16 @@ def fit(labelled: DataFrame, suffixes: DataFrame, sections: DataFrame, share: fl
     rate = min(1.0, sample_rows / max(total, 1))
     draw = F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(1 << 40)) / float(1 << 40)
     sample = with_rates(labelled.filter(draw < rate), suffixes, sections, share, own=True)
+    # One URL in MASKED learns without statistics, as one with an unknown suffix will be judged.
+    masked = F.pmod(F.xxhash64(F.lit(7), "url"), F.lit(MASKED)) == 0
+    sample = sample.withColumns({c: F.when(masked, 0.5).otherwise(F.col(c)) for c in ("suffix_rate", "section_rate")})
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
     # A bounded sample in a fixed order: sums of doubles agree between reruns.
-    ordered = vectors.select("url", "features", F.col("label").cast("double").alias("label")).repartition(1).sortWithinPartitions("url", "label")
-    return GBTClassifier(maxIter=15, maxDepth=4, seed=5, maxBins=32).fit(ordered)
+    block_weight, allow_weight = weights(share)
+    weight = F.when(F.col("label") == 1, block_weight).otherwise(allow_weight)
+    columns = vectors.select("url", "features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    ordered = columns.repartition(1).sortWithinPartitions("url", "label")
+    return GBTClassifier(maxIter=15, maxDepth=4, seed=5, maxBins=32, weightCol="weight").fit(ordered)
 
 
 def judge(urls: DataFrame, id_col: str, url_col: str, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None,

@@ -135,6 +135,46 @@ def test_url_trees_learn_given_labels(spark):
     assert {r["verdict"] for r in urlfilter.judge(rows, "page_id", "url").collect()} == {"allow"}
 
 
+def plain_rule(url, rules):
+    """(host, path, rule, verdict) of a URL by string functions."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    ends = [i for i, c in enumerate(rest) if c in "/?#"] + [len(rest)]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:ends[0]])
+    path = rest[ends[0]:]
+    path = path[:min([i for i, c in enumerate(path) if c in "?#"] + [len(path)])]
+    fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[1:] if fit else (None, None)))
+
+
+def test_url_filter_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd = [(-1, None), (-2, "no host"), (-3, "HTTP://WWW.Example.COM/en/x?y#z"), (-4, "x://a.example.com/en/"), (-5, "http://b.NET/es/#"), (-5, "http://b.NET/es/#")]
+    rows = pages.select("page_id", "url").unionByName(spark.createDataFrame(odd, "page_id long, url string"))
+    got = urlfilter.judge(rows, "page_id", "url")
+    urls = {r["page_id"]: r["url"] for r in rows.collect()}
+    found = got.collect()
+    assert len(found) == rows.count()
+    for r in found:
+        host, path, rule, verdict = plain_rule(urls[r["page_id"]], urlfilter.RULES)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
+    # Where no rule fits, the trees tell URLs apart.
+    free = {r["verdict"] for r in found if r["rule"] is None}
+    assert free == {"allow", "block"} and len({r["block_probability"] for r in found if r["rule"] is None}) > 10
+
+
+def test_url_trees_on_hosts_that_they_have_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    held = F.pmod(F.xxhash64(F.lit(3), "host"), F.lit(4)) == 2
+    known = urlfilter.judge(pages, "page_id", "url").where("rule IS NOT NULL").withColumn("held", held).join(pages, "page_id")
+    labels = known.where("NOT held").select("url", (F.col("verdict") == "block").cast("int").alias("label"))
+    got = urlfilter.judge(known.where("held").select("page_id", "url"), "page_id", "url", rules=(), labels=labels)
+    right = got.select("page_id", F.col("verdict").alias("v")).join(known, "page_id").agg(F.avg((F.col("v") == F.col("verdict")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
 def test_url_rates_leave_out_the_own_label(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1)], "suffix string, label long").withColumn("section", F.col("suffix"))
     out = urlfilter.with_rates(rows, urlfilter.rates(rows, "suffix"), urlfilter.rates(rows, "section"), 0.5, own=True)
