@@ -11,8 +11,8 @@ and allowed ones weigh alike in trees and statistics, however many there are of
 each. One labelled URL in four is learned without its suffix statistics, so that
 the trees judge a URL of unknown suffix by its other features.
 
-Training draws about `sample_rows` labelled URLs by a hash, the one bounded
-sample; suffix statistics are sums over all labelled URLs.
+Training draws at most about `sample_rows` different labelled URLs by a hash, the one
+bounded sample; suffix statistics are sums over all labelled URLs.
 
 Defined results: a null URL or one without "://" has empty host and path, no rule,
 and the trees' verdict on its features; with no labelled URL of either kind the
@@ -115,7 +115,9 @@ def fit(labelled: DataFrame, suffixes: DataFrame, sections: DataFrame, share: fl
     """Trees from about `sample_rows` rows of labelled(url, label, features)."""
     rate = min(1.0, sample_rows / max(total, 1))
     draw = F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(1 << 40)) / float(1 << 40)
-    sample = with_rates(labelled.filter(draw < rate), suffixes, sections, share, own=True)
+    # A URL is drawn whole or not at all; repeated ones count once, so that the sample stays bounded.
+    drawn = labelled.filter(draw < rate).dropDuplicates(["url", "label"])
+    sample = with_rates(drawn, suffixes, sections, share, own=True)
     # One URL in MASKED learns without statistics, as one with an unknown suffix will be judged.
     masked = F.pmod(F.xxhash64(F.lit(7), "url"), F.lit(MASKED)) == 0
     sample = sample.withColumns({c: F.when(masked, 0.5).otherwise(F.col(c)) for c in ("suffix_rate", "section_rate")})

@@ -175,6 +175,16 @@ def test_url_trees_on_hosts_that_they_have_not_seen(spark):
     assert right > 0.95
 
 
+def test_url_sample_holds_a_repeated_url_once(spark, monkeypatch):
+    sizes, assembled = [], urlfilter.VectorAssembler.transform
+    monkeypatch.setattr(urlfilter.VectorAssembler, "transform", lambda self, df: sizes.append(df.count()) or assembled(self, df))
+    rows = [("http://a.net/x", 1)] * 3000 + [(f"http://b{i}.org/{i}", i % 2) for i in range(60)]
+    labels = spark.createDataFrame(rows, "url string, label int")
+    pages = labels.select(F.monotonically_increasing_id().alias("page_id"), "url")
+    assert urlfilter.judge(pages, "page_id", "url", labels=labels).count() == 3060
+    assert 0 < sizes[0] <= 61
+
+
 def test_url_rates_leave_out_the_own_label(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1)], "suffix string, label long").withColumn("section", F.col("suffix"))
     out = urlfilter.with_rates(rows, urlfilter.rates(rows, "suffix"), urlfilter.rates(rows, "section"), 0.5, own=True)
