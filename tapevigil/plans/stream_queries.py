@@ -122,7 +122,8 @@ def stream_bridge_matches(spark, sf):
     t = v.trades(spark, sf)
     deposits = t.select("trade_id", "ts_ms", (F.col("size") * 1000).alias("usd_value"), F.lit("inflow").alias("direction"))
     flows = t.where("trade_id % 3 = 0").select("ts_ms", (F.col("size") * 1000).alias("usd_value"), F.col("venue").alias("bridge"))
-    found = drained(spark, windows.latest_bridge(feed(deposits), feed(flows), "trade_id", 6 * 3600))
+    state.enable_state_store(spark)
+    found = drained(spark, state.latest_bridge(feed(deposits), feed(flows), "trade_id", 6 * 3600))
     last = t.agg(F.max("ts_ms").alias("last"))
     return found.join(last, F.col("ts_ms") < F.col("last") - DAY).select("trade_id", "ts_ms", "flow_ms", "flow_usd", "bridge", "size_ratio")
 

@@ -7,6 +7,8 @@ the state store; sessions need the RocksDB state store provider.
 from __future__ import annotations
 
 import json
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -343,3 +345,97 @@ def latest_observations(events: DataFrame, tick_ms: int = 5_000, factor: float =
         LatestPerAsset(tick_ms, factor, ttl_ms, sweep_ms),
         f"asset string, at_ms bigint, {LATEST_COLUMNS}, in_usd double, out_usd double, bridge_usd double, hits bigint, urgent boolean",
         outputMode="Append", timeMode="EventTime")
+
+
+class LatestBridge(StatefulProcessor):
+    """Deposits of one size cell and one window of time that wait for the watermark, and the flows they can fit.
+
+    Rows are kept as one packed value per batch. When the watermark has passed deposits, a tree
+    finds each one's newest fitting flow in logarithmic time; after the window the state is removed.
+    """
+
+    COLUMNS = ("flow", "ts_ms", "usd", "name")
+
+    def __init__(self, window_ms, min_ratio):
+        self.window_ms, self.min_ratio = window_ms, min_ratio
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "packed binary")
+
+    def _wake(self, key, waiting: pd.Series) -> None:
+        """One timer: when the first waiting deposit is due, or the window is over."""
+        at = min((int(key[1]) + 1) * self.window_ms, *([int(waiting.min())] if len(waiting) else []), 1 << 62)
+        timers = list(self.handle.listTimers())
+        if not timers or at < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)[list(self.COLUMNS)]
+        self.rows.appendValue((pickle.dumps([pdf[c].to_numpy() for c in self.COLUMNS]),))
+        self._wake(key, pdf.loc[~pdf["flow"].astype(bool), "ts_ms"])
+        yield self._found(pdf.iloc[:0], pdf.iloc[:0])
+
+    def _found(self, deposits: pd.DataFrame, flows: pd.DataFrame) -> pd.DataFrame:
+        """Each deposit that fits a flow, with the newest one (ties: larger flow, later name)."""
+        flows = flows.sort_values(["ts_ms", "usd", "name"], kind="stable", na_position="first", ignore_index=True)
+        f_ts, ts, usd = flows["ts_ms"].to_numpy("int64"), deposits["ts_ms"].to_numpy("int64"), deposits["usd"].to_numpy(float)
+        at = kernels.last_in_band(flows["usd"].to_numpy(float), *kernels.ratio_band(usd, self.min_ratio), np.searchsorted(f_ts, ts, "right"))
+        fits = np.flatnonzero((at >= 0) & (f_ts[at] >= ts - self.window_ms)) if len(f_ts) else []
+        out, chosen = deposits.iloc[fits], flows.iloc[at[fits]]
+        return pd.DataFrame({
+            "id": out["name"].to_numpy(), "ts_ms": out["ts_ms"].to_numpy(), "usd_value": out["usd"].to_numpy(),
+            "flow_ms": chosen["ts_ms"].to_numpy(), "flow_usd": chosen["usd"].to_numpy(), "bridge": chosen["name"].to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        kept = [pickle.loads(bytes(packed)) for (packed,) in self.rows.get()]
+        pdf = pd.DataFrame({c: np.concatenate([part[i] for part in kept]) for i, c in enumerate(self.COLUMNS)})
+        flow = pdf["flow"].to_numpy(bool)
+        due = ~flow & (pdf["ts_ms"].to_numpy("int64") <= passed)
+        found = self._found(pdf[due].drop_duplicates(["name", "ts_ms", "usd"]), pdf[flow])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if passed >= (int(key[1]) + 1) * self.window_ms:
+            self.rows.clear()
+        else:
+            self.rows.put([(pickle.dumps([pdf.loc[~due, c].to_numpy() for c in self.COLUMNS]),)])
+            self._wake(key, pdf.loc[~flow & ~due, "ts_ms"])
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+def latest_bridge(deposits: DataFrame, flows: DataFrame, deposit_id: str, window_s: int = 1800, min_ratio: float = 0.75,
+                  delay: str = "1 minute") -> DataFrame:
+    """The newest fitting bridge flow of every deposit that has one (ties: larger flow, later bridge name).
+
+    A deposit is put out when the watermark has passed it, so no earlier flow of it can still arrive.
+    Both sides meet by log-size cell and window of time; a flow is copied to the neighbouring cell
+    that it can fit and to the next window, so that work and state grow with the rows and not with
+    the fitting pairs. Rows without time or finite size match nothing.
+    """
+    window_ms = window_s * 1000
+    reach = math.log(1.0 / min_ratio) * (1.0 + 1e-9)
+    width = 4.0 * reach
+    usd, block = F.col("usd_value").cast("double"), F.floor(F.col("ts_ms") / window_ms).cast("bigint")
+    cell = lambda d: F.floor((F.log(usd) + d) / width).cast("bigint")
+    known = (usd > 0) & (usd < float("inf")) & F.col("ts_ms").isNotNull()
+    columns = [F.col("ts_ms").cast("bigint").alias("ts_ms"), usd.alias("usd")]
+    left = with_event_time(deposits.where((F.col("direction") == "inflow") & known), delay).select(
+        cell(0.0).alias("cell"), block.alias("block"), F.lit(False).alias("flow"), *columns,
+        F.col(deposit_id).cast("string").alias("name"), "ts")
+    right = with_event_time(flows.where(known), delay).select(
+        F.explode(F.array_distinct(F.array(cell(-reach), cell(reach)))).alias("cell"), block.alias("first"), F.lit(True).alias("flow"),
+        *columns, F.col("bridge").cast("string").alias("name"), "ts")
+    right = right.select("cell", F.explode(F.array(F.col("first"), F.col("first") + 1)).alias("block"), "flow", "ts_ms", "usd", "name", "ts")
+    found = left.unionByName(right).groupBy("cell", "block").transformWithStateInPandas(
+        LatestBridge(window_ms, min_ratio), "id string, ts_ms bigint, usd_value double, flow_ms bigint, flow_usd double, bridge string",
+        outputMode="Append", timeMode="EventTime")
+    ratio = F.least("usd_value", "flow_usd") / F.greatest("usd_value", "flow_usd")
+    return found.select(
+        F.col("id").cast(deposits.schema[deposit_id].dataType).alias(deposit_id), "ts_ms", "usd_value", "flow_ms", "flow_usd", "bridge",
+        F.round(ratio, 3).alias("size_ratio"))

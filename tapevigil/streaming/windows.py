@@ -52,7 +52,7 @@ def bridge_candidates(deposits: DataFrame, flows: DataFrame, window_s: int = 180
     """Deposits with every fitting bridge flow of the preceding window (stream-stream interval join).
 
     Both sides meet on a log-size cell; a flow is copied to the neighbouring cell it
-    can fit. The newest fit per deposit is the one with the largest flow_ms.
+    can fit. Lists all pairs: `state.latest_bridge` finds the newest fit of a deposit without them.
     """
     import math
 
@@ -72,15 +72,3 @@ def bridge_candidates(deposits: DataFrame, flows: DataFrame, window_s: int = 180
     )
     return left.join(right, near).where(ratio >= min_ratio).withColumn("size_ratio", F.round(ratio, 3)).drop(
         "cell", "flow_cell", "flow_ts")
-
-
-def latest_bridge(deposits: DataFrame, flows: DataFrame, deposit_id: str, window_s: int = 1800, min_ratio: float = 0.75,
-                  delay: str = "1 minute") -> DataFrame:
-    """The newest fitting bridge flow of every deposit that has one (ties: larger flow, later bridge name).
-
-    A deposit is put out when the watermark has passed it, so no earlier flow of it can still arrive.
-    """
-    found = bridge_candidates(deposits, flows, window_s, min_ratio, delay)
-    best = F.max(F.struct("flow_ms", "flow_usd", "bridge", "size_ratio")).alias("f")
-    return found.groupBy("ts", deposit_id, "ts_ms", "usd_value").agg(best).select(
-        deposit_id, "ts_ms", "usd_value", "f.flow_ms", "f.flow_usd", "f.bridge", "f.size_ratio")

@@ -80,6 +80,28 @@ def test_window_dedup_and_join(spark, sf, feed):
     assert joined.where("flow_ms > ts_ms or size_ratio < 0.75").count() == 0 and joined.count() > 0
 
 
+def test_latest_bridge_keeps_no_pair_list(spark, feed):
+    """Newest fits equal brute force over four batches; equal sizes at one time cost rows, not pairs."""
+    rows = [(i if i % 50 else None, 1_000_000_000 + (i * 7_919 % 900) * 60_000, float(1 + i * i % 37), "inflow") for i in range(400)]
+    rows += rows[:40] + [(9_000, None, 5.0, "inflow"), (9_001, 1_000_000_000, None, "inflow"), (9_002, 1_020_000_000, 5.0, "outflow")]
+    coins = [(1_000_000_000 + (i * 104_729 % 900) * 60_000, float(1 + i * 13 % 41), None if i % 9 == 0 else f"b{i % 4}") for i in range(150)]
+    coins += [(None, 3.0, "b"), (1_000_000_000, None, "b")]
+    d = spark.createDataFrame(rows, "id bigint, ts_ms bigint, usd_value double, direction string")
+    f = spark.createDataFrame(coins, "ts_ms bigint, usd_value double, bridge string")
+    stream = state.latest_bridge(feed(d), feed(f), "id", 3600)
+    assert "Join" not in stream._jdf.queryExecution().analyzed().toString()
+    got = sorted(map(str, map(tuple, drain(stream, "newest").select("id", "ts_ms", "usd_value", "flow_ms", "flow_usd", "bridge").collect())))
+    passed = min(max(r[1] or 0 for r in rows if r[2] and r[3] == "inflow"), max(r[0] or 0 for r in coins if r[1])) - 60_000
+    want = set()
+    for i, ts, usd, way in rows:
+        if way == "inflow" and usd and ts and ts <= passed:
+            fits = [(t, u, b or "", b) for t, u, b in coins if t and u and ts - 3_600_000 <= t <= ts and min(u, usd) / max(u, usd) >= 0.75]
+            if fits:
+                t, u, _, b = max(fits, key=lambda x: x[:3])
+                want.add(str((i, ts, usd, t, u, b)))
+    assert want and got == sorted(want)
+
+
 def test_score_stream_matches_batch_state(spark, sf, feed):
     e = v.market_events(spark, sf)
     out, ckpt = (tempfile.mkdtemp(prefix="run-score-", dir="/tmp") for _ in range(2))
