@@ -3,6 +3,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapevigil.operators import rolling, series
@@ -188,3 +189,14 @@ def test_latency_summary(spark):
         r = rolling.latency_summary(rows, ["k"], "x", ["ts_ms"], keep=keep).first()
         assert r["count"] == len(values) and r.p95 == sorted(values)[math.ceil(0.95 * len(values)) - 1]
         assert r.breaches == sum(v > 200 for v in values)
+
+
+def test_previous_row_moves_rows_once(spark):
+    """One shuffle of the rows and no join; NULL keys, times and values as the plain window has them."""
+    rows = [(["a", "b", None][i % 3], None if i % 17 == 0 else (i * 7_919) % 90_000, i, None if i % 5 == 0 else f"x{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, ts_ms bigint, id bigint, x string")
+    got = series.with_previous(df, ["k"], ["ts_ms", "id"], {"px": "x", "pid": "id"}, block_ms=9_000)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    w = Window.partitionBy("k").orderBy("ts_ms", "id")
+    want = df.withColumn("px", F.lag("x").over(w)).withColumn("pid", F.lag("id").over(w))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
