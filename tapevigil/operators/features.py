@@ -199,8 +199,11 @@ def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: in
         return F.when(cond if also is None else cond & also, value)
 
     def peak(metric: str, column: str) -> Column:
-        v = F.col(column) * decay
-        return F.max(when(metric, F.struct(F.abs(v).alias("size"), v.alias("v")), F.col(column).isNotNull()))["v"]
+        return strongest(when(metric, F.col(column) * decay))
+
+    def strongest(v: Column) -> Column:
+        """The value furthest from zero, the positive one of two: of plain extremes, which are hashed and not sorted."""
+        return F.when(F.max(v) >= -F.min(v), F.max(v)).otherwise(F.min(v))
 
     def only(metric: str, column: str) -> Column:
         return F.max(when(metric, F.col(column)))
@@ -217,7 +220,7 @@ def _assemble(obs: DataFrame, ttl_ms: int, half_life_s: float, concurrent_ms: in
         F.max(when("order_book", F.col("spread"))).alias("spread"),
         F.sum(when("order_book", F.col("walls"))).alias("walls"),
         peak("cvd", "z").alias("cvd_z"),
-        F.max(when("cvd", F.struct(F.abs(d).alias("size"), d.alias("v"))))["v"].alias("div"),
+        strongest(when("cvd", d)).alias("div"),
         F.count(when("wallet_transfer", F.lit(1))).alias("n_transfer"),
         only("wallet_transfer", "z").alias("whale_z"),
         F.max(when("liquidity", F.abs("value"))).alias("drop"),

@@ -110,3 +110,25 @@ def test_a_failing_scorer_is_seen(spark):
     r = model_sentiment(spark.createDataFrame([("moon",), (None,)], "text string"), "text", scorer).select("text", "sentiment.*").collect()
     assert {x["backend"] for x in r} == {"lexicon"} and {x["error"] for x in r} == {"MemoryError: no room"}
     assert next(x for x in r if x["text"])["score"] > 0
+
+
+def test_layers_are_computed_below_their_generator(spark):
+    """Spark interprets a generator's own expressions, so it gets a finished struct."""
+    from tapevigil.functions.scalars import layer
+
+    got = layer(spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double"), c=F.col("a") + F.col("b"), d=F.col("b") * 2)
+    assert sorted(map(tuple, got.collect()), key=str) == [(1.0, 2.0, 3.0, 4.0), (None, 3.0, None, 6.0)]
+    generator = got._jdf.queryExecution().analyzed().toString().split("Generate inline(array(")[1]
+    assert generator.startswith("__made#")
+
+
+def test_feature_inputs_are_hashed(spark):
+    """The strongest values come of plain extremes: a maximum of structs would sort all cells."""
+    from tapevigil.operators import features
+
+    row = "asset string, at_ms bigint, metric string, venue string, ts_ms bigint, value double, z double, spike double, spread double, walls bigint, divergence double, acceleration double"
+    rows = [("A", 0, "cvd", v, 0, None, z, 1.0, 0.0, 0, d, 0.0) for v, z, d in (("x", 2.0, -3.0), ("y", -2.0, 3.0), ("z", None, 1.0), ("w", 1.0, -3.0))]
+    rows += [("B", 0, "cvd", "x", 0, None, -5.0, 1.0, 0.0, 0, -1.0, 0.0), ("B", 0, "cvd", "y", 0, None, 4.0, 1.0, 0.0, 0, None, 0.0)]
+    got = features._assemble(spark.createDataFrame(rows, row), 1000, 60.0, 1000).select("asset", "cvd_z", "div", "vol_z")
+    assert {tuple(r) for r in got.collect()} == {("A", 2.0, 3.0, None), ("B", -5.0, -1.0, None)}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
