@@ -211,7 +211,11 @@ def calibration(rows: DataFrame, raw: str) -> tuple[float, float]:
 
 def raw_scores(model: ForestModel, values: Column) -> Column:
     """-2^(-mean depth / c(sample)) for an array of the twenty features; lower is stranger."""
-    feature, threshold, path = model.feature, model.threshold, model.path
+    path, width = model.path, model.feature.shape[1]
+    # A leaf leads to itself, so that all rows take the same steps.
+    inner, ids = model.feature >= 0, np.arange(width)
+    column, child = np.where(inner, model.feature, 0).astype(np.intp), np.where(inner, 2 * ids + 1, ids).astype(np.intp)
+    cut = np.where(inner, model.threshold, np.inf)
     center, scale = np.asarray(model.center), np.asarray(model.scale)
     norm = average_path(model.sample) or 1.0
     levels = math.ceil(math.log2(max(model.sample, 2)))
@@ -222,19 +226,16 @@ def raw_scores(model: ForestModel, values: Column) -> Column:
         x_all = np.nan_to_num(np.stack(batch.to_numpy()).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
         x_all = (x_all - center) / scale
         for lo in range(0, len(x_all), SLAB):
-            x = x_all[lo : lo + SLAB]
-            rows = np.arange(len(x))
-            depth = np.zeros(len(x))
-            for t in range(feature.shape[0]):
-                f_t, c_t = feature[t], threshold[t]
-                node = np.zeros(len(x), dtype=np.intp)
+            x = x_all[lo : lo + SLAB].T.ravel()
+            rows = np.arange(len(x) // len(center))
+            depth = np.zeros(len(rows))
+            for t in range(len(path)):
+                node = np.zeros(len(rows), dtype=np.intp)
                 for _ in range(levels):
-                    f = f_t[node]
-                    inner = f >= 0
-                    right = x[rows, np.where(inner, f, 0)] > c_t[node]
-                    node = np.where(inner, 2 * node + 1 + right, node)
-                depth += path[t][node]
-            out[lo : lo + len(x)] = -np.power(2.0, -(depth / feature.shape[0]) / norm)
+                    at = column[t].take(node, mode="clip") * len(rows) + rows
+                    node = child[t].take(node, mode="clip") + (x.take(at, mode="clip") > cut[t].take(node, mode="clip"))
+                depth += path[t].take(node)
+            out[lo : lo + len(rows)] = -np.power(2.0, -(depth / len(path)) / norm)
         return pd.Series(out)
 
     return score(values)
