@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tapevigil.functions import kernels
-from tapevigil.operators import orderbook
+from tapevigil.operators import orderbook, trades
 
 NAN = float("nan")
 
@@ -41,3 +41,22 @@ def test_trailing_rank_starts_behind_a_halo():
     known = np.arange(50) % 7 != 0
     whole, part = kernels.trailing_rank(x, known, 0, 12), kernels.trailing_rank(x[9:], known[9:], 11, 12)
     assert all((a[20:] == b).all() for a, b in zip(whole, part))
+
+
+def test_divergence_reads_no_whole_frame_per_row(spark):
+    rng = random.Random(3)
+    rows = [("v", "A", i, i, rng.choice([None, 0.0, 100 + rng.random()]), rng.choice([None, rng.gauss(0, 500)]), i + 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "venue string, symbol string, ts_ms long, trade_id long, price double, cvd double, __n long")
+    assert "-199, currentrow" not in plan(trades.price_divergence(df)).replace("$()", "")
+    clamp = lambda v: max(-1.0, min(1.0, v))
+    for keep, need in ((1, 1), (2, 2), (30, 5)):
+        found = {r.trade_id: r.divergence for r in trades.price_divergence(df, keep, need).collect()}
+        for i, (*_, price, cvd, _) in enumerate(rows):
+            frame = rows[max(0, i + 1 - keep):i + 1]
+            p0, c0 = frame[0][4], frame[0][5]
+            want = 0.0
+            if len(frame) >= need and p0:
+                scale = max((abs(r[5]) for r in frame if r[5] is not None), default=0.0) or 1.0
+                known = None not in (price, cvd, c0)
+                want = clamp((clamp((cvd - c0) / scale) - clamp((price - p0) / p0 * 100)) / 2) if known else None
+            assert found[i] == (None if want is None else pytest.approx(want)), (keep, i)
