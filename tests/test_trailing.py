@@ -1,12 +1,13 @@
 """Trailing ranks, divergences and windows: each row is read a fixed number of times, and moved once."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 
 from tapevigil.functions import kernels
-from tapevigil.operators import orderbook, trades
+from tapevigil.operators import orderbook, rolling, trades
 
 NAN = float("nan")
 
@@ -60,3 +61,20 @@ def test_divergence_reads_no_whole_frame_per_row(spark):
                 known = None not in (price, cvd, c0)
                 want = clamp((clamp((cvd - c0) / scale) - clamp((price - p0) / p0 * 100)) / 2) if known else None
             assert found[i] == (None if want is None else pytest.approx(want)), (keep, i)
+
+
+def test_window_sums_move_each_row_once(spark):
+    rows = [("a" if i % 3 else None, 100 * (i // 2), i, None if i % 5 == 4 else float(i % 11), 2**60 + i) for i in range(80)]
+    df = spark.createDataFrame(rows + [("a", None, 99, 1.0, 0)], "k string, ts_ms long, id long, x double, big long")
+    out = rolling.rolling_window(df, ["k"], ["ts_ms", "id"], "x", 900)
+    assert "window [" not in plan(out) and plan(out).count("explode(") == 1
+    found = {r.id: r for r in out.collect()}
+    assert len(found) == 80 and all(found[r[2]].big == r[4] for r in rows)
+    for k in ("a", None):
+        own = [r for r in rows if r[0] == k]
+        for i, (_, t, id_, x, _) in enumerate(own):
+            frame = [r for r in own[:i + 1] if r[1] >= t - 900]
+            r = found[id_]
+            assert (r.w_count, r.w_first_ts) == (len(frame), frame[0][1])
+            if all(f[3] is not None for f in frame):
+                assert r.w_sum == pytest.approx(sum(f[3] for f in frame)) and not math.isnan(r.w_std)
