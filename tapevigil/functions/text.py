@@ -148,9 +148,10 @@ def model_sentiment(df: DataFrame, text: str, scorer: Callable[[list[str]], list
 def fingerprint(text: Column) -> Column:
     """Distinct three-word shingles; the distinct words when there are fewer than three."""
     def shingles(words: Column) -> Column:
+        # Words are picked by index: a slice would copy all words of the text for each shingle.
         triples = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))),
-            lambda i: F.array_join(F.slice(words, i, 3), " "),
+            F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))),
+            lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)),
         )
         return F.array_distinct(F.when(F.size(words) < 3, words).otherwise(triples))
 

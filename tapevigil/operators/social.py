@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tapevigil.functions.scalars import clamp, sentiment_label, text
 from tapevigil.functions.text import fingerprint
-from tapevigil.operators.cells import blocked, celled, cells, common, similar
+from tapevigil.operators.cells import blocked, cells, similar
 from tapevigil.operators.rolling import dynamic_z
 from tapevigil.operators.series import DEFAULT_CHUNK_ROWS, on_keys, running_by_rows
 from tapevigil.plans.storage import settle
@@ -175,57 +175,80 @@ def age_cohorts(windowed: DataFrame, max_age_days: float = 30.0, need: int = 4,
 
 
 def prefix_index(counted: DataFrame, min_jaccard: float) -> DataFrame:
-    """Where different fingerprints of a group may meet: (*GROUP, token, cls, n, prints, earlier).
+    """Where different fingerprints of a group may meet: (cls, size, token), a token being a shingle of one group.
 
-    Shingles of a group are ordered by the number of its fingerprints that hold them, the
-    rarest first. Two fingerprints of the wanted similarity share one of the first
-    size - ceil(min_jaccard * size) + 1 shingles of each, so only these are indexed, and only
-    where another fingerprint has them. `earlier` holds a fingerprint's indexed shingles that
-    come before `token`: a pair belongs to the token before which it shares none.
+    Tokens are ordered by the number of fingerprints that hold them, the rarest first. Two
+    fingerprints of the wanted similarity share one of the first
+    size - ceil(min_jaccard * size) + 1 tokens of each, so only these are indexed, and only
+    where another fingerprint has them. Rows hold no shingles besides their own, so that the
+    index stays small where many shingles are shared.
     """
     rows = counted.select(*GROUP, "cls", F.size("prints").alias("size"), F.explode("prints").alias("token"))
-    place = [*GROUP, "token"]
-    often = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2)
-    held = on_keys(rows, often, place).groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
-    # Shingles of one fingerprint only come first in the order and can't be shared.
+    rows = rows.select("cls", "size", F.xxhash64(*GROUP, "token").alias("token"))
+    often = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    held = rows.withColumn("df", often).where("df >= 2").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    # Tokens of one fingerprint only come first in the order and can't be shared.
     first = F.col("size") - F.ceil(F.col("size") * min_jaccard - 1e-9) + 1 - (F.col("size") - F.size("held"))
-    prefix = held.select("cls", F.slice("held", 1, F.greatest(first, F.lit(0)).cast("int"))["token"].alias("prefix"))
-    index = counted.join(prefix, "cls").select(*GROUP, "cls", "n", "prints", "prefix", F.posexplode("prefix").alias("at", "token"))
-    index = settle(index.withColumn("earlier", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix", "at"))
-    shared = index.groupBy(*place).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2).drop("df")
-    return settle(on_keys(index, shared, place))
+    prefix = F.slice("held", 1, F.greatest(first, F.lit(0)).cast("int"))["token"]
+    index = held.select("cls", "size", F.explode(prefix).alias("token"))
+    return index.withColumn("df", often).where("df >= 2").drop("df")
+
+
+def blocks_of(counted: DataFrame) -> DataFrame:
+    """(cls, own): a block of bounded size for each fingerprint of a group; those with the same smallest shingle mostly share one."""
+    rough = blocked(counted.select(*GROUP, "cls", F.xxhash64("anchor").alias("anchor")), GROUP)
+    rough = settle(rough.select(*GROUP, "cls", F.pmod("anchor", F.col("blocks")).alias("bucket")))
+    part = F.pmod(F.xxhash64(F.lit(11), "cls"), F.col("blocks"))
+    return blocked(rough, [*GROUP, "bucket"]).select("cls", (F.col("bucket") * 2**31 + part).alias("own"))
+
+
+def meetings(index: DataFrame, min_jaccard: float) -> DataFrame:
+    """(cls, own, a, b): the cells, of blocks a <= b, where a fingerprint may be near another; index is a written table.
+
+    A fingerprint meets a block if one of its tokens is held there, by a fingerprint of fitting
+    size and not by itself alone. A pair is in the cell of its two blocks only, however many
+    tokens it shares.
+    """
+    spots = index.groupBy("token", F.col("own").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    size = F.col("size") + 1e-6
+    fits = (size >= F.col("lo") * min_jaccard) & (F.col("hi") + 1e-6 >= F.col("size") * min_jaccard) & ((F.col("own") != F.col("other")) | (F.col("n") >= 2))
+    found = index.join(spots, "token").where(fits)
+    return found.select("cls", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
 
 def duplicate_ratio(posts: DataFrame, sample: int | None = None, min_jaccard: float = 0.6) -> DataFrame:
     """Share of near-duplicate pairs among all posts per (ticker, evaluation), or the newest `sample` of each.
 
     Equal fingerprints are counted first. Different ones meet in the index of their rarest
-    shingles; those that share one are compared in cells of bounded size, however many they
-    are, and each pair is counted at one shingle. Cells put out sums and no pairs.
+    shingles; the blocks of those that share one are compared in cells of bounded size, each
+    pair in one cell. Fingerprints are read once for each cell they are in and not for each
+    shingle they share; cells put out sums and no pairs.
     """
     seen = posts.select(*GROUP).distinct()
     if sample is not None:
         newest = Window.partitionBy(*GROUP).orderBy(F.desc("ts_ms"), F.desc("post_id"))
         posts = posts.withColumn("__rk", F.row_number().over(newest)).where(F.col("__rk") <= sample)
-    prints = posts.select(*GROUP, F.array_sort(F.transform(fingerprint(F.col("text")), lambda s: F.xxhash64(s))).alias("prints"))
-    counted = prints.where(F.size("prints") > 0).groupBy(*GROUP, "prints").agg(F.count(F.lit(1)).alias("n"))
-    counted = settle(counted.withColumn("cls", F.monotonically_increasing_id()))
+    prints = posts.select(*GROUP, F.sort_array(F.transform(fingerprint(F.col("text")), lambda s: F.xxhash64(s))).alias("prints"))
+    counted = prints.groupBy(*GROUP, "prints").agg(F.count(F.lit(1)).alias("n"))
+    counted = settle(counted.withColumns({"cls": F.monotonically_increasing_id(), "anchor": F.get("prints", F.lit(0))}))
+    # Texts without shingles go only now: a condition on fingerprints, pushed down, would compute them twice.
+    counted = counted.where(F.col("anchor").isNotNull())
 
     def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in cells(batches, (*GROUP, "token", "a", "b")):
-            held, earlier = ([np.asarray(x.values, np.int64) for x in cell[c].combine_chunks()] for c in ("prints", "earlier"))
+        for cell in cells(batches, (*GROUP, "a", "b")):
+            held = [np.asarray(x.values, np.int64) for x in cell["prints"].combine_chunks()]
             own, n = np.asarray(cell["own"]), np.asarray(cell["n"]).astype(float)
             near = similar(held, min_jaccard)
             if cell["a"][0] != cell["b"][0]:
                 near &= own[:, None] != own[None, :]
             if near.any():
-                near &= common(earlier) == 0
                 pairs = pa.array([float(n @ near @ n) / 2])
                 yield pa.RecordBatch.from_arrays([cell[k].combine_chunks()[:1] for k in GROUP] + [pairs], names=[*GROUP, "pairs"])
 
-    places = [*GROUP, "token", "a", "b"]
-    index = prefix_index(counted, min_jaccard)
-    dealt = celled(blocked(index, places[:-2]), "cls").repartition(*places).sortWithinPartitions(*places)
+    places = [*GROUP, "a", "b"]
+    index = settle(prefix_index(counted, min_jaccard).join(blocks_of(counted), "cls"))
+    met = meetings(index, min_jaccard).join(counted.select(*GROUP, "cls", "n", "prints"), "cls")
+    dealt = met.repartition(*places).sortWithinPartitions(*places)
     near = dealt.mapInArrow(near_pairs, "ticker string, eval_ms bigint, pairs double").groupBy(*GROUP).agg(F.sum("pairs").alias("near"))
     n = F.col("n")
     sizes = counted.groupBy(*GROUP).agg(F.sum("n").alias("posts"), F.sum(n * (n - 1) / 2).alias("same"))

@@ -113,3 +113,60 @@ def test_work_grows_with_the_posts(spark):
         met = index.groupBy("token").count()
         compared.append(met.agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0])
     assert compared[1] <= 30 * max(compared[0], 100)
+
+
+def counted_prints(spark, rows):
+    """The fingerprints of rows as duplicate_ratio counts them, all of them different, as a written table."""
+    prints = F.sort_array(F.transform(social.fingerprint(F.col("text")), lambda s: F.xxhash64(s)))
+    table = posts(spark, rows).select("ticker", "eval_ms", prints.alias("prints"))
+    return social.settle(table.withColumns({"n": F.lit(1), "cls": F.monotonically_increasing_id(), "anchor": F.get("prints", F.lit(0))}))
+
+
+def test_fingerprints_are_read_once_for_each_cell(spark):
+    """Near copies share most of their shingles; they meet once, and the index carries no fingerprints."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(10):
+        base = [f"c{c}w{i}" for i in range(200)]
+        for v in range(12):
+            changed = list(base)
+            changed[rng.randrange(200)] = f"x{c}_{v}"
+            rows.append(("hot", "a", " ".join(changed), 1.0))
+    counted = counted_prints(spark, rows)
+    index = social.prefix_index(counted, 0.6)
+    assert not any(t.startswith("array") for _, t in index.dtypes)
+    index = social.settle(index.join(social.blocks_of(counted), "cls"))
+    assert index.count() >= 20 * len(rows)
+    assert social.meetings(index, 0.6).count() == len(rows)  # all in one block of the group
+    got = social.duplicate_ratio(posts(spark, rows)).first()["duplicate_ratio"]
+    assert math.isclose(got, plain_share([t for _, _, t, _ in rows]), abs_tol=1e-9) and got > 0
+
+
+def test_duplicate_share_across_blocks(spark, monkeypatch):
+    """Each pair is counted once, whichever blocks its posts are in; texts without words count for nothing."""
+    from tapevigil.operators import cells
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, "a", t, 1.0) for k in ("x", None) for _ in range(25) for t in cluster(rng, rng.randrange(1, 20), words)]
+    wordless = [(None, "a", "", 1.0), ("x", "a", "?! ...", 1.0), ("bare", "a", "\u00e9", 1.0)]
+    texts = defaultdict(list)
+    for k, _, t, _ in rows:
+        texts[k].append(t)
+    for block in (2, 7, 128):
+        monkeypatch.setattr(cells.blocked, "__defaults__", (block,))
+        got = {r["ticker"]: r["duplicate_ratio"] for r in social.duplicate_ratio(posts(spark, rows + wordless)).collect()}
+        assert got.pop("bare") == 0.0 and got.keys() == texts.keys()
+        for k, own in texts.items():
+            assert math.isclose(got[k], plain_share(own), abs_tol=1e-9), (k, block)
+
+
+def test_fingerprint_of_a_long_text(spark):
+    """Shingles cost the same in a long text as in a short one: no copy of all words for each."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    df = spark.createDataFrame([(0, long), (1, "One two,three"), (2, "a b"), (3, "a a"), (4, ""), (5, "?! ..."), (6, "a b c a b c a")], "id int, text string")
+    prints = df.select("id", social.fingerprint(F.col("text")).alias("f"))
+    assert "slice(" not in prints._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["f"] for r in prints.where("id > 0").collect()}
+    assert got == {1: ["one two three"], 2: ["a", "b"], 3: ["a"], 4: [], 5: [], 6: ["a b c", "b c a", "c a b"]}
+    assert prints.where("id = 0").select(F.size("f"), F.get("f", F.lit(29_997))).first()[:] == (29_998, "w29997 w29998 w29999")
